@@ -32,21 +32,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, total: int, rows: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, total: int, rows: int = 20_000, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, as column `name`.
 
-    A key's rows are dealt by a hash of `order` to buckets of about `rows`; ranks are taken in a bucket
-    and moved by the sizes of the buckets before it, so that no task holds a whole hot key. `total` is
-    the number of rows. df must give the same rows when it is read again.
+    A key's rows are dealt by a hash of `order`, or by `bucket`, to buckets of about `rows`; ranks are taken in
+    a bucket and moved by the sizes of the buckets before it, so that no task holds a whole hot key. Ranks
+    follow `order` throughout if `bucket` rises with it. `total` is the number of rows. df must give the same
+    rows when it is read again.
     """
     n = max(1, -(-total // rows))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    starts = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_s")]
-    return local.join(starts, on).withColumn(name, (F.col(name) + F.col("_o")).cast("long")).select(*df.columns, name)
+    dealt = df.withColumn("_rank_b", (F.pmod(F.xxhash64(*order), F.lit(n)) if bucket is None else bucket).cast("int"))
+    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_rank_b").orderBy(*order)) - 1)
+    before = Window.partitionBy(*keys).orderBy("_rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "_rank_b").agg(F.count("*").alias("_rank_n"))
+    starts = sizes.select(*(F.col(k).alias(f"_rank_k{i}") for i, k in enumerate(keys)), F.col("_rank_b").alias("_rank_s"), F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_o"))
+    on = [F.col(k).eqNullSafe(F.col(f"_rank_k{i}")) for i, k in enumerate(keys)] + [F.col("_rank_b") == F.col("_rank_s")]
+    return local.join(starts, on).withColumn(name, (F.col(name) + F.col("_rank_o")).cast("long")).select(*df.columns, name)
 
 
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

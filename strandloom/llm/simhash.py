@@ -67,7 +67,8 @@ def links(points: DataFrame, distance: int = 4, count: int = 6, limit: int = 204
     """
     masks = slabs(count)
     fp = F.col("fp")
-    packed = fp.bitwiseAND(F.lit(LOW)) + F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW))
+    low, high = fp.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW))
+    packed = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))  # low + high in each segment
     keys = [F.xxhash64(F.lit(i), F.col("packed").bitwiseAND(F.lit(signed(sum(c))))) for i, c in enumerate(combinations(masks, count - distance))]
     cells = points.withColumn("packed", packed).select("fp", "rep", F.explode(F.array(*keys)).alias("cell"))
     unsigned = np.array(masks, np.uint64)

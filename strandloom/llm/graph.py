@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def blocks(members: DataFrame, cell: str, item: str, limit: int) -> DataFrame:
+def blocks(members: DataFrame, cell: str, item: str, limit: int, few: bool = False) -> DataFrame:
     """Split the members of each cell into blocks to be compared: adds _i, _j (the block) and _c (the member's chunk).
 
     A cell of up to `limit` members is one block. A larger one is dealt into chunks of about `limit`, and each
     pair of chunks is a block: every pair of members meets, no block holds more than two chunks. Cells of one
-    member are left out. The sizes reach the members by a join that Spark may split where it is skewed.
+    member are left out. The sizes reach the members by a join that Spark may split where it is skewed; where
+    the number of cells has a fixed bound (few), by broadcast.
     """
     sizes = members.groupBy(cell).agg(F.count("*").alias("_n")).where("_n > 1")
     k = F.ceil(F.col("_n") / limit).cast("int")
     return (
-        members.join(sizes, cell)
+        members.join(F.broadcast(sizes) if few else sizes, cell)
         .withColumn("_k", k)
         .withColumn("_c", F.pmod(F.xxhash64(item), F.col("_k")).cast("int"))
         .withColumn("_o", F.explode(F.expr("sequence(0, _k - 1)")))

@@ -52,8 +52,13 @@ def schedule(needs: DataFrame, slots: int) -> DataFrame:
     return ranked(drawn, ["_s"], ["slot"], "rank", slots, bucket=F.floor(F.col("slot") / 20_000))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 9) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row.
+def mix(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row; options and results as of drawn_words()."""
+    return drawn_words(documents, **options).drop("_h")
+
+
+def drawn_words(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 9) -> DataFrame:
+    """(_h, doc_id, source, size, source_size, target, taken) for every row; _h is a hash of doc_id, text and seed.
 
     Each source's documents, shuffled by a hash of doc_id, text and seed, lie end to end on a line of words that
     is cut into blocks of `block` words. A source needs as many slots of the schedule as blocks fill its target;
@@ -97,12 +102,17 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     parts = lying.where("size > 0").select("_s", "at", "to", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("b"))
     inside = F.aggregate("upto", F.lit(0).cast("long"), lambda s, u: s + F.greatest(F.least(F.col("to"), u) - F.greatest(F.col("at"), F.col("b") * block), F.lit(0)).cast("long"))
     got = parts.join(given, ["_s", "b"]).select("_s", "at", inside.alias("taken")).groupBy("_s", "at").agg(F.sum("taken").alias("taken"))
-    spots = lying.select("doc_id", "source", "size", "_s", F.when(F.col("size") > 0, F.col("at")).alias("at"))
+    spots = lying.select("_h", "doc_id", "source", "size", "_s", F.when(F.col("size") > 0, F.col("at")).alias("at"))
     out = spots.join(got, ["_s", "at"], "left").join(goal.select("_s", "source_size", "target"), "_s")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("_h", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes at least one word of, and those without words; columns as given."""
-    taken = mix(documents, **options).where("taken > 0 OR size = 0").select(F.col("doc_id").alias("_m")).distinct()
-    return documents.join(taken, documents["doc_id"].cast("long").eqNullSafe(F.col("_m")), "left_semi")
+def mixed_documents(documents: DataFrame, seed: int = 9, **options) -> DataFrame:
+    """The documents as often as the mix takes them, in whole numbers: taken over size, rounded; those without words once.
+
+    Columns as given. Equal rows share the largest of their numbers.
+    """
+    ratio = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    times = drawn_words(documents, seed=seed, **options).groupBy(F.col("_h").alias("_m")).agg(F.max(ratio).alias("_times")).where("_times > 0")
+    out = documents.join(times, F.xxhash64("doc_id", "text", F.lit(seed)) == F.col("_m"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)

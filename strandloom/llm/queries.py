@@ -30,6 +30,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .run_index import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_forest import near_duplicates
 
@@ -76,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_run_index": op3_run_index,
     "op4_forest": op4_forest,
     "op5_media": op5_media,
     "op6_packing": op6_packing,

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,30 +174,24 @@ def repeats(segments: list[bytes], order: np.ndarray) -> Iterator[tuple[int, int
         yield int(owner[a]), int(inner[a]), int(inner[b - 1]) + LENGTH
 
 
-def digest(b: bytes) -> tuple[str, int]:
-    own = hashlib.sha256(b)
-    return own.hexdigest(), int.from_bytes(own.digest()[:8], "little", signed=True)
+def text_id(b: bytes) -> int:
+    """The leading 60 bits of the text's SHA-256."""
+    return int(hashlib.sha256(b).hexdigest()[:15], 16)
 
 
-def removed(documents: DataFrame, limit: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of documents(doc_id, text).
+def table_of(columns: dict[str, tuple]) -> pa.RecordBatch:
+    """From name -> (type, values)."""
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns.values()], names=list(columns))
 
-    A byte is removed if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or earlier
-    in the same document. Anchors that occur twice bring together the places around them; equal surroundings are
-    one segment with its first place, and the different ones of an anchor go into run-length indexes, whose
-    matching statistics mark what an earlier one has. An anchor with more than `limit` different segments is
-    lengthened to the left and to the right, which every LENGTH-byte string survives on one side, until few are
-    left or the anchor is the whole string. Null text: empty. A missing doc_id counts as the smallest; equal
-    rows get equal results; no rows give no rows.
-    """
-    import xxhash
-    import zstandard
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc")
-    whole = documents.select(doc, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+SEGMENT = {"key": pa.int64(), "core": pa.int32(), "size": pa.int32(), "sid": pa.int64(), "segment": pa.binary(), "long": pa.int32(), "doc": pa.int64(), "tid": pa.int64(), "at": pa.int32(), "kinds": pa.int32()}
+SCHEMA = "key long, core int, size int, sid long, segment binary, long int, doc long, tid long, at int, kinds int"
+
 
-    def look(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("tid", "n_bytes", "sha", "grams", "places", "again")}
+def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, tid, place, sure): the anchors of the texts. Of an anchor that a few texts read together repeat, only
+    the first place is sent to be matched with the rest; all its places are sure already."""
+    for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         lo = 0
         while lo < len(texts):
@@ -205,115 +200,253 @@ def removed(documents: DataFrame, limit: int = 4096) -> DataFrame:
                 total += len(texts[hi])
                 hi += 1
             text, at, h = anchors(texts[lo:hi])
-            cut = np.searchsorted(text, np.arange(hi - lo + 1))
-            for k, b in enumerate(texts[lo:hi]):
-                sha, tid = digest(b)
-                own = h[cut[k] : cut[k + 1]]
-                seen, count = np.unique(own, return_counts=True)
-                for name, v in zip(out, (tid, len(b), sha, own, at[cut[k] : cut[k + 1]], seen[count > 1])):
-                    out[name].append(v)
+            tid = np.array([text_id(b) for b in texts[lo:hi]], np.int64)[text]
+            order = np.lexsort((at, tid, h))
+            h, tid, at = h[order], tid[order], at[order]
+            if len(h):
+                new = np.append(True, (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))
+                h, tid, at = h[new], tid[new], at[new]
+                head = np.append(True, h[1:] != h[:-1])
+                count = np.diff(np.append(np.flatnonzero(head), len(h)))
+                sure = np.repeat(count > 1, count)
+                yield table_of({"gram": (pa.int64(), np.append(h[head], tid[sure])), "tid": (pa.int64(), np.append(tid[head], tid[sure])), "place": (pa.int32(), np.append(at[head], at[sure])), "sure": (pa.bool_(), np.append(np.zeros(head.sum(), bool), np.ones(sure.sum(), bool)))})
             lo = hi
-        return {"doc": batch.column("doc")} | out
 
-    rows = stored(per_batch(whole, look, "doc long, tid long, n_bytes long, sha string, grams array<long>, places array<int>, again array<long>"), "anchors")
-    # anchors of two texts, or twice in one; the least and the largest text of each tell
-    seen = rows.select(F.explode("grams").alias("gram"), "tid").union(rows.select(F.explode("again").alias("gram"), F.bitwise_not("tid").alias("tid")))
-    twice = seen.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("gram")
-    spots = rows.select("tid", F.explode(F.arrays_zip("grams", "places")).alias("x")).select(F.col("x.grams").alias("gram"), "tid", F.col("x.places").alias("place"))
-    spots = spots.join(twice, "gram").groupBy("tid").agg(F.collect_set("place").alias("places"))
 
-    def shrink(batch: pa.RecordBatch) -> dict:
-        pack = zstandard.ZstdCompressor(level=1)
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
-        return {"tid": [digest(b)[1] for b in texts], "doc": batch.column("doc"), "z": [pack.compress(b) for b in texts]}
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, place) of sure anchors and of those that two places share; sorted by gram, tid, place. Holds one row."""
+    held: tuple[np.ndarray, ...] | None = None  # the last row, and whether its anchor has been shared
+    shared = False
+    for batch in batches:
+        sure = batch.column("sure").to_numpy(zero_copy_only=False)
+        g, t, p = (batch.column(c).to_numpy() for c in ("gram", "tid", "place"))
+        out = [(t[sure], p[sure])]
+        g, t, p = g[~sure], t[~sure], p[~sure]
+        told = 0
+        if held is not None:
+            g, t, p = np.append(held[0], g), np.append(held[1], t), np.append(held[2], p)
+        if len(g):
+            new = np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1]))
+            g, t, p = g[new], t[new], p[new]
+            head = np.append(True, g[1:] != g[:-1])
+            count = np.diff(np.append(np.flatnonzero(head), len(g)))
+            many = count > 1
+            if held is not None and shared:
+                many[0] = True
+                told = 1  # the held row has been given
+            hit = np.repeat(many, count)
+            hit[:told] = False
+            out.append((t[hit], p[hit]))
+            held, shared = (g[-1:], t[-1:], p[-1:]), bool(many[-1])
+        yield table_of({"tid": (pa.int64(), np.concatenate([x for x, _ in out])), "place": (pa.int32(), np.concatenate([x for _, x in out]))})
+
+
+def firsts(rows: dict[tuple[int, int], tuple], marks: list[tuple], row: tuple) -> None:
+    """Keep the earliest row of each (key, sid); the others are repeats throughout and become marks."""
+    name = row[0], row[3]
+    old = rows.get(name)
+    if old is None:
+        rows[name] = row
+        return
+    early, late = (row, old) if row[6:9] < old[6:9] else (old, row)
+    rows[name] = early
+    if late[5] >= LENGTH and late[6:9] != early[6:9]:
+        marks.append(late)
+
+
+def sent(rows: dict[tuple[int, int], tuple], marks: list[tuple]) -> pa.RecordBatch:
+    """Segments, kinds 0, and marks, kinds -1; marks are spread by their text."""
+    all_rows = [(*r, 0) for r in rows.values()] + [(m[7], *m[1:4], None, *m[5:], -1) for m in marks]
+    columns = zip(*all_rows) if all_rows else [()] * len(SEGMENT)
+    return table_of({n: (t, c) for (n, t), c in zip(SEGMENT.items(), columns)})
+
+
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The surroundings of each anchor, without their bytes: what every LENGTH-byte string with it may reach."""
+    import xxhash
+    import zstandard
 
-    texts = per_batch(whole, shrink, "tid long, doc long, z binary").groupBy("tid").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
-    found = stored(texts.join(spots, "tid"), "found")
+    unpack, h = zstandard.ZstdDecompressor(), xxhash.xxh64_intdigest
+    for batch in batches:
+        rows, marks = {}, []
+        for tid, doc, z, places in zip(*(batch.column(c).to_pylist() for c in ("tid", "doc", "z", "places"))):
+            b = unpack.decompress(z)
+            for p in places:
+                at = max(0, p + GRAM - LENGTH)
+                s = b[at : p + LENGTH]
+                firsts(rows, marks, (h(b[p : p + GRAM]) - 2**63, p - at, GRAM, h(s, p - at) - 2**63, None, len(s), doc, tid, at))
+            if len(rows) + len(marks) > 50_000:
+                yield sent(rows, marks)
+                rows, marks = {}, []
+        yield sent(rows, marks)
+
+
+def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Longer anchors, to the left and to the right, of rows with bytes."""
+    import xxhash
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        names = ["key", "core", "size", "sid", "segment", "doc", "tid", "at"]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        for batch in batches:
-            out = []
-            for tid, doc, z, places in zip(*(batch.column(c).to_pylist() for c in ("tid", "doc", "z", "places"))):
-                b = unpack.decompress(z)
-                for p in places:
-                    at = max(0, p + GRAM - LENGTH)
-                    s = b[at : p + LENGTH]
-                    out.append((xxhash.xxh64_intdigest(b[p : p + GRAM]) - 2**63, p - at, GRAM, xxhash.xxh64_intdigest(s, p - at) - 2**63, s, doc, tid, at))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    h = xxhash.xxh64_intdigest
+    for batch in batches:
+        rows, marks = {}, []
+        for key, core, size, s, doc, tid, at in zip(*(batch.column(c).to_pylist() for c in ("key", "core", "size", "segment", "doc", "tid", "at"))):
+            more = (LENGTH - size + 1) // 2
+            for side, a, b in ((0, core - more, core + size), (1, core, core + size + more)):
+                lo, hi = max(0, b - LENGTH), min(len(s), a + LENGTH)
+                if a >= 0 and b <= len(s) and hi - lo >= LENGTH:
+                    t = s[lo:hi]
+                    firsts(rows, marks, (h(s[a:b], (key + 2**63) ^ side) - 2**63, a - lo, b - a, h(t, a - lo) - 2**63, t, len(t), doc, tid, at + lo))
+        yield sent(rows, marks)
+
+
+def told_apart(limit: int):
+    """Over rows sorted by key, sid, doc, tid, at: the first of each (key, sid) with the number of kinds of its key,
+    limit + 1 where there are more, and all others as marks. Lone kinds and short ones go. Holds limit rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the first rows of the last key, not given yet
+        last: tuple | None = None  # the last row's key, sid, doc, tid, at
+        over = False  # whether that key has been found to have more than limit kinds
         for batch in batches:
-            out = []
-            for key, core, size, s, doc, tid, at in zip(*(batch.column(c).to_pylist() for c in ("key", "core", "size", "segment", "doc", "tid", "at"))):
-                more = (LENGTH - size + 1) // 2
-                for side, a, b in ((0, core - more, core + size), (1, core, core + size + more)):
-                    if a >= 0 and b <= len(s):
-                        lo, hi = max(0, b - LENGTH), a + LENGTH
-                        t = s[lo:hi]
-                        if len(t) >= LENGTH:
-                            name = xxhash.xxh64_intdigest(s[a:b], (key + 2**63) ^ side) - 2**63
-                            out.append((name, a - lo, b - a, xxhash.xxh64_intdigest(t, a - lo) - 2**63, t, doc, tid, at + lo))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.select(["key", "core", "size", "sid", "segment", "doc", "tid", "at"]).schema)], names=["key", "core", "size", "sid", "segment", "doc", "tid", "at"])
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key"], 6000):
-            segments = table.column("segment").to_pylist()
-            docs, tids, at = (table.column(c).to_numpy() for c in ("doc", "tid", "at"))
-            by = np.lexsort((tids, docs))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.cumsum(np.append(False, (docs[by][1:] != docs[by][:-1]) | (tids[by][1:] != tids[by][:-1])))
-            marks = [(tids[k], at[k] + a, at[k] + b) for k, a, b in repeats(segments, np.stack([rank, at.astype(np.int64)], 1))]
-            if marks:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*marks)], names=["tid", "a", "b"])
-
-    schema = "key long, core int, size int, sid long, segment binary, doc long, tid long, at int"
-    level = stored(found.mapInArrow(cut_out, schema), "segments")
-    marks, size = None, GRAM
+            if not batch.num_rows:
+                continue
+            marks = batch.filter(pa.compute.equal(batch.column("kinds"), -1))
+            own = batch.filter(pa.compute.equal(batch.column("kinds"), 0))
+            if marks.num_rows:
+                yield marks
+            if not own.num_rows:
+                continue
+            key, sid, doc, tid, at, long = (own.column(c).to_numpy() for c in ("key", "sid", "doc", "tid", "at", "long"))
+            first = np.append(last is None or (key[0], sid[0]) != last[:2], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+            twin = np.append(last is not None and (key[0], sid[0], doc[0], tid[0], at[0]) == last, (key[1:] == key[:-1]) & (sid[1:] == sid[:-1]) & (doc[1:] == doc[:-1]) & (tid[1:] == tid[:-1]) & (at[1:] == at[:-1]))
+            later = own.filter(pa.array(~first & ~twin & (long >= LENGTH)))
+            if later.num_rows:
+                yield later.set_column(own.schema.get_field_index("kinds"), "kinds", pa.array(np.full(later.num_rows, -1, np.int32)))
+            open_key, last = last and last[0], (key[-1], sid[-1], doc[-1], tid[-1], at[-1])
+            fresh = pa.Table.from_batches([own.filter(pa.array(first))])
+            if over:  # more kinds of the open key
+                more = fresh.column("key").to_numpy() == open_key
+                yield from counted(fresh.filter(pa.array(more)), limit, limit + 1)
+                fresh = fresh.filter(pa.array(~more))
+            elif held is not None:
+                fresh = pa.concat_tables([held, fresh])
+            closed = fresh.column("key").to_numpy() != last[0]
+            yield from counted(fresh.filter(pa.array(closed)), limit)
+            held = fresh.filter(pa.array(~closed))
+            over = over and open_key == last[0]
+            if held.num_rows > limit:
+                yield from counted(held, limit, limit + 1)
+                held, over = None, True
+        if held is not None:
+            yield from counted(held, limit)
+
+    return run
+
+
+def counted(table: pa.Table, limit: int, kinds: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of rows of their key, unless it is 1."""
+    if not table.num_rows:
+        return
+    key = table.column("key").to_numpy()
+    head = np.append(True, key[1:] != key[:-1])
+    count = np.diff(np.append(np.flatnonzero(head), len(key)))
+    n = np.full(len(key), kinds, np.int32) if kinds else np.minimum(np.repeat(count, count), limit + 1).astype(np.int32)
+    table = table.set_column(table.schema.get_field_index("kinds"), "kinds", pa.array(n)).filter(pa.array((n > 1) & (table.column("long").to_numpy() >= LENGTH)))
+    yield from table.combine_chunks().to_batches()
+
+
+def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for z, doc, tid, some in zip(*(batch.column(c).to_pylist() for c in ("z", "doc", "tid", "some"))):
+            b = unpack.decompress(z)
+            out += [(x["key"], x["core"], x["size"], x["sid"], b[x["at"] : x["at"] + x["long"]], x["long"], doc, tid, x["at"], x["kinds"]) for x in some]
+        if out:
+            yield table_of({n: (t, c) for (n, t), c in zip(SEGMENT.items(), zip(*out))})
+
+
+def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, a, b): marks from run-length indexes over the segments of whole keys."""
+    for table in runs(batches, ["key"], 6000):
+        segments = table.column("segment").to_pylist()
+        docs, tids, at = (table.column(c).to_numpy() for c in ("doc", "tid", "at"))
+        by = np.lexsort((tids, docs))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.append(False, (docs[by][1:] != docs[by][:-1]) | (tids[by][1:] != tids[by][:-1])))
+        marks = [(tids[k], at[k] + a, at[k] + b) for k, a, b in repeats(segments, np.stack([rank, at.astype(np.int64)], 1))]
+        if marks:
+            yield table_of({n: (pa.int64(), c) for n, c in zip(("tid", "a", "b"), zip(*marks))})
+
+
+def shrunk(batch: pa.RecordBatch) -> dict:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    texts = [t.encode() for t in batch.column("text").to_pylist()]
+    return {"tid": [text_id(b) for b in texts], "doc": batch.column("doc"), "z": [pack.compress(b) for b in texts]}
+
+
+def kept(batch: pa.RecordBatch) -> dict:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
+    for z, a, b in zip(*(batch.column(c).to_pylist() for c in ("z", "a", "b"))):
+        text, end, left, spans = unpack.decompress(z), 0, [], 0
+        for lo, hi in sorted(zip(a, b)):
+            if lo > end or not spans:
+                left.append(text[end:lo])
+                spans += 1
+            end = max(end, hi)
+        own = b"".join(left) + text[end:]
+        for name, v in zip(out, (len(text) - len(own), spans, hashlib.sha256(own).hexdigest())):
+            out[name].append(v)
+    return {"tid": batch.column("tid")} | out
+
+
+def removed(documents: DataFrame, limit: int = 4096) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of documents(doc_id, text).
+
+    A byte is removed if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or earlier
+    in the same document. Anchors that occur twice bring together the places around them; equal surroundings are
+    one segment with its first place, and the different ones of an anchor go into run-length indexes, whose
+    matching statistics mark what an earlier one has. An anchor with more than `limit` different segments is
+    lengthened to the left and to the right, which every LENGTH-byte string survives on one side, until few are
+    left or the anchor is the whole string. What repeats within a batch is gathered there, before any shuffle.
+    Null text: empty. A missing doc_id counts as the smallest; equal rows get equal results; no rows give no rows.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc")
+    whole = documents.select(doc, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    spots = whole.select("text").mapInArrow(grams, "gram long, tid long, place int, sure boolean")
+    spots = spots.repartition("gram").sortWithinPartitions("gram", "tid", "place").mapInArrow(repeated, "tid long, place int")
+    spots = spots.groupBy("tid").agg(F.collect_set("place").alias("places"))
+    texts = per_batch(whole, shrunk, "tid long, doc long, z binary").groupBy("tid").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
+    found = stored(texts.join(spots, "tid"), "found")
+    level, marks, size = found.mapInArrow(cut_out, SCHEMA), None, GRAM
     while True:
-        firsts = level.groupBy("key", "sid").agg(F.min(F.struct("doc", "tid", "at")).alias("f"), F.first("core").alias("core"), F.first("segment").alias("segment"), F.count("*").alias("n"))
-        firsts = stored(firsts.where(F.octet_length("segment") >= LENGTH), "firsts")
-        many = firsts.where("n > 1").select(F.col("key").alias("_k"), F.col("sid").alias("_s"), "f", F.octet_length("segment").alias("long"))
-        again = level.select("key", "sid", "doc", "tid", "at").join(many, (F.col("key") == F.col("_k")) & (F.col("sid") == F.col("_s")))
-        again = again.where(F.struct("doc", "tid", "at") != F.col("f")).select("tid", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("long")).cast("long").alias("b"))
-        counts = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        few = firsts.join(counts.where(F.col("kinds") <= limit), "key").select("key", "segment", "f.doc", "f.tid", "f.at")
-        marked = again.union(few.repartition("key").sortWithinPartitions("key").mapInArrow(index, "tid long, a long, b long"))
+        order = ("key", "sid", "doc", "tid", "at")
+        apart = stored(level.repartition("key").sortWithinPartitions(*order).mapInArrow(told_apart(limit), SCHEMA), "apart")
+        again = apart.where("kinds = -1").select("tid", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("long")).cast("long").alias("b"))
+        apart = apart.where("kinds > 1")
+        if size == GRAM:
+            some = apart.groupBy("tid").agg(F.collect_list(F.struct("key", "core", "size", "sid", "long", "at", "kinds")).alias("some"))
+            apart = stored(found.select("tid", "doc", "z").join(some, "tid").mapInArrow(with_bytes, SCHEMA), "segments")
+        few = apart.where(F.col("kinds") <= limit).select("key", "segment", "doc", "tid", "at")
+        marked = again.union(few.repartition("key").sortWithinPartitions("key").mapInArrow(indexed, "tid long, a long, b long"))
         marks = marked if marks is None else marks.union(marked)
-        if size >= LENGTH or counts.where(F.col("kinds") > limit).isEmpty():
+        hot = apart.where(F.col("kinds") > limit)
+        if size >= LENGTH or hot.isEmpty():
             break
-        hot = firsts.join(counts.where(F.col("kinds") > limit).select("key"), "key")
-        hot = hot.select("key", "core", F.lit(size).alias("size"), "sid", "segment", "f.doc", "f.tid", "f.at")
-        level = stored(hot.mapInArrow(extend, schema), "segments")
+        level = hot.mapInArrow(extend, SCHEMA)
         size += (LENGTH - size + 1) // 2
-
-    def keep(batch: pa.RecordBatch) -> dict:
-        unpack = zstandard.ZstdDecompressor()
-        out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
-        for z, a, b in zip(*(batch.column(c).to_pylist() for c in ("z", "a", "b"))):
-            text, at, left, spans = unpack.decompress(z), 0, [], 0
-            end = -1
-            for lo, hi in sorted(zip(a, b)):
-                if lo > end:
-                    left.append(text[at:lo])
-                    spans += 1
-                end = at = max(end, hi)
-            kept = b"".join(left) + text[at:]
-            for name, v in zip(out, (len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest())):
-                out[name].append(v)
-        return {"tid": batch.column("tid")} | out
-
     per_text = marks.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("m")).select("tid", "m.a", "m.b")
-    result = per_batch(found.select("tid", "z").join(per_text, "tid"), keep, "tid long, n_removed long, n_spans long, kept string")
+    result = per_batch(found.select("tid", "z").join(per_text, "tid"), kept, "tid long, n_removed long, n_spans long, kept string")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    rows = whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")).withColumn("tid", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
     first = rows.groupBy("tid").agg(F.min("doc").alias("first")).join(result, "tid", "left").withColumnRenamed("tid", "_t")
-    out = rows.select("doc", "tid", "n_bytes", "sha").join(first, F.col("tid") == F.col("_t"))
+    out = rows.join(first, F.col("tid") == F.col("_t"))
     copy = (F.col("doc") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return out.select(
         F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id"),

@@ -97,18 +97,24 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts outside the held-out fold, chosen by a hash of doc_id, with their labels.
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> DataFrame:
+    """(doc, text, y) of at most `rows` labelled documents outside the held-out fold, chosen by a hash of doc_id.
 
-    The chosen ids have a fixed bound and are broadcast; only their texts reach the driver.
+    The chosen ids have a fixed bound and are broadcast. Null texts count as empty.
     """
     picked = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
-        .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"), folds, fold))
-        .dropDuplicates(["_id"])
+        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
+        .where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id"), folds, fold))
+        .groupBy("_id")
+        .agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
-    texts = documents.select(F.col("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("_t"))
-    got = texts.join(F.broadcast(picked), F.col("_d") == F.col("_id")).select("_d", "_t", "_y").collect()
-    return [(r["_t"], r["_y"]) for r in sorted(got, key=lambda r: (r["_d"], r["_t"]))]
+    texts = documents.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), F.col("doc") == F.col("_id")).select("doc", "text", "y")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> list[tuple[str, int]]:
+    """The texts and labels of labelled_rows(), on the driver, in an order of their own."""
+    got = labelled_rows(documents, labels, label, folds, fold, rows).collect()
+    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc"], r["text"]))]

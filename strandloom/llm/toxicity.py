@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, per_batch
+from .common import held_out, labelled_rows, per_batch, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -51,46 +51,93 @@ def swapped(text: str, turn: int) -> str | None:
     return out if hit else None
 
 
-def rows_of(sets: list[set[str]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    own = [[number[t] for t in s if t in number] for s in sets]
+def flat(own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], np.int64)
 
 
-def train(sample: list[tuple[str, int]], features: int = 8000, least: int = 3, gain: float = 5.0, decay: float = 0.0005, even: float = 1.0, steps: int = 400) -> dict:
-    """Weights of a logistic regression on the traits, with `even` times the squared change of the score of
-    labelled sentences when identity terms are swapped as a penalty. {} without two classes: all score 0.5.
-    """
-    y = np.array([label for _, label in sample], float)
-    if not len(y) or y.min() == y.max():
-        return {}
-    sets = [traits(t) for t, _ in sample]
-    in_toxic, in_all = Counter(), Counter()
-    for s, label in zip(sets, y):
-        in_all.update(s)
-        if label:
-            in_toxic.update(s)
-    base = y.mean()
-    gains = {t: (in_toxic[t] - n * base) ** 2 / (n * base * (1 - base) + 1) for t, n in in_all.items() if n >= least}
-    kept = sorted((t for t in gains if gains[t] >= gain), key=lambda t: (-gains[t], t))[:features]
-    number = {t: i for i, t in enumerate(kept)}
-    number |= {t: len(number) + i for i, t in enumerate(sorted(set(GROUP) - set(number)))}
-    r, c = rows_of(sets, number)
-    pairs = [(s, swapped(s, k)) for k, (text, _) in enumerate(sample) for s in SENTENCE.findall(text) if GROUP.keys() & set(WORD.findall(s.lower()))]
-    before, after = rows_of([traits(a) for a, _ in pairs], number), rows_of([traits(b) for _, b in pairs], number)
-    n, p = len(y), max(1, len(pairs))
-    w, b = np.zeros(len(number)), np.log(base / (1 - base))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+def chosen(sample: DataFrame, features: int, least: int, gain: float) -> list[str]:
+    """The traits that tell most: at most `features`, in at least `least` texts, by their chi-square with the label."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                for t in traits(text):
+                    got = found.setdefault(t, [0, 0])
+                    got[0] += 1
+                    got[1] += y
+        both = list(found.values())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([n for n, _ in both], pa.int64()), pa.array([k for _, k in both], pa.int64())], names=["trait", "n", "k"])
+
+    size, base = sample.agg(F.count("*"), F.avg("y")).first()
+    if not size or base in (0, 1):
+        return []
+    sums = sample.select("text", "y").mapInArrow(count, "trait string, n long, k long").groupBy("trait").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    told = sums.where(F.col("n") >= least).withColumn("gain", F.pow(F.col("k") - F.col("n") * base, 2) / (F.col("n") * base * (1 - base) + 1))
+    return [r["trait"] for r in told.where(F.col("gain") >= gain).orderBy(F.desc("gain"), "trait").limit(features).collect()]
+
+
+def numbered(sample: DataFrame, number: dict[str, int]) -> tuple[list, list, list]:
+    """Each sampled text's label and trait numbers, and those of its sentences with identity terms before and after a swap."""
+    terms = GROUP.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(text: str) -> list[int]:
+            return sorted(number[t] for t in traits(text) & number.keys())
+
+        for batch in batches:
+            rows = []
+            for doc, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "y"))):
+                rows.append((doc, y, of(text), None))
+                for k, sentence in enumerate(SENTENCE.findall(text) if terms & set(WORD.findall(text.lower())) else ()):
+                    if (other := swapped(sentence, k)) is not None:
+                        rows.append((doc, None, of(sentence), of(other)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["doc", "y", "a", "b"])
+
+    got = sample.select(F.col("doc").cast("long").alias("doc"), "text", "y").mapInArrow(run, "doc long, y int, a array<int>, b array<int>").collect()
+    got.sort(key=lambda r: (r["doc"], r["a"], r["b"] or []))
+    whole, pairs = [r for r in got if r["y"] is not None], [r for r in got if r["y"] is None]
+    return [r["y"] for r in whole], [r["a"] for r in whole], [(r["a"], r["b"]) for r in pairs]
+
+
+def fit(y: np.ndarray, own: list[list[int]], pairs: list[tuple[list[int], list[int]]], size: int, decay: float, even: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression; `even` weighs the mean squared change of a sentence's score when its identity terms are swapped."""
+    r, c = flat(own)
+    before, after = flat([a for a, _ in pairs]), flat([b for _, b in pairs])
+    n, p, base = len(y), max(1, len(pairs)), y.mean()
+    w, b = np.zeros(size), np.log(base / (1 - base))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(r, w[c], n) + b
-        off = 1 / (1 + np.exp(-z)) - y
+        off = 1 / (1 + np.exp(-(np.bincount(r, w[c], n) + b))) - y
         change = np.bincount(before[0], w[before[1]], p) - np.bincount(after[0], w[after[1]], p)
-        g = np.bincount(c, off[r], len(w)) / n + decay * w / np.sqrt(n)
-        g += even / p * (np.bincount(before[1], change[before[0]], len(w)) - np.bincount(after[1], change[after[0]], len(w)))
+        g = np.bincount(c, off[r], size) / n + decay * w / np.sqrt(n)
+        g += even / p * (np.bincount(before[1], change[before[0]], size) - np.bincount(after[1], change[after[0]], size))
         g = np.append(g, off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return {"bias": float(b), "weights": {t: float(w[i]) for t, i in number.items() if w[i]}}
+    return w, float(b)
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = 6000, features: int = 8000, least: int = 3, gain: float = 5.0, decay: float = 0.0005, even: float = 1.0, steps: int = 400) -> dict:
+    """A model from at most `rows` labelled texts outside the held-out third. {} without two classes: all score 0.5.
+
+    Traits are counted where the texts are; the driver gets at most `features` traits and their numbers per text.
+    """
+    sample = stored(labelled_rows(documents, labels, "toxic", 3, 1, rows), "labelled")
+    kept = chosen(sample, features, least, gain)
+    y = np.zeros(0)
+    if kept:
+        number = {t: i for i, t in enumerate(dict.fromkeys([*kept, *sorted(GROUP)]))}
+        y, own, pairs = numbered(sample, number)
+        y = np.array(y, float)
+    elif sample.isEmpty() or sample.select("y").distinct().count() < 2:
+        return {}
+    else:
+        return {"bias": 0.0, "weights": {}}
+    w, b = fit(y, own, pairs, len(number), decay, even, steps)
+    return {"bias": b, "weights": {t: float(w[i]) for t, i in number.items() if w[i]}}
 
 
 def score(documents: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
@@ -109,12 +156,12 @@ def score(documents: DataFrame, model: dict, threshold: float = 0.7) -> DataFram
 
 def toxicity(documents: DataFrame, labels: DataFrame, rows: int = 6000, threshold: float = 0.7) -> DataFrame:
     """score() by a model fitted on at most `rows` labelled texts outside the held-out third."""
-    return score(documents, train(labelled_sample(documents, labels, "toxic", 3, 1, rows)), threshold)
+    return score(documents, train(documents, labels, rows), threshold)
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier does not reject; rows with null ids and texts are scored too. Columns as given."""
-    model = train(labelled_sample(documents, labels, "toxic", 3, 1, 6000))
+    model = train(documents, labels)
     weights, bias = model.get("weights", {}), model.get("bias", 0.0)
 
     def toxic(texts):

@@ -69,14 +69,14 @@ class RunIndex:
         body = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8).astype(np.int64) + 1
         body[body == 256] = 0  # ends; UTF-8 has no byte 255
         self.text, n = body, len(body)
-        ranks, rank = {1: body}, body
-        for step in (1, 2, 4, 8, 16, 32, 64):
-            rank = self.joined(rank, rank, step)
-            ranks[2 * step] = rank
-        order = np.argsort(rank, kind="stable")
-        same = self.joined(ranks[64], ranks[32], 64)
-        same = self.joined(same, ranks[4], 96)  # equal for equal LENGTH bytes
-        self.group = same[order]
+        eight = np.zeros(n, np.uint64)
+        for k in range(8):  # suffixes by their first 8, 16, 32, 64, then LENGTH characters; ends are least
+            eight[: n - k] |= np.minimum(body[k:], 255).astype(np.uint64) << np.uint64(8 * (7 - k))
+        rank, order = self.numbered(eight)
+        for step in (8, 16, 32):
+            rank, order = self.joined(rank, rank, step)
+        self.groups, order = self.joined(rank, rank, LENGTH - 64)  # equal for equal LENGTH bytes
+        self.group = self.groups[order]
         bwt = body[order - 1]
         new = np.append(True, bwt[1:] != bwt[:-1])
         self.run = np.flatnonzero(new)  # first row of each run
@@ -90,20 +90,23 @@ class RunIndex:
         base[by] = np.cumsum(length[by]) - length[by]
         self.lf = base - self.run  # what a step to the left adds to a row
         self.by, self.key = by, self.head[by] * len(by) + by
-        self.groups = same
 
     @staticmethod
-    def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
-        """Ranks of the pairs of a here and b `step` on."""
-        n = len(a)
-        later = np.zeros(n, np.int64)
-        later[: n - step if n > step else 0] = b[step:] + 1
-        key = a * (int(b.max()) + 2) + later
+    def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dense ranks of the keys, and the places in their order."""
         order = np.argsort(key)
         key = key[order]
-        out = np.empty(n, np.int64)
+        out = np.empty(len(key), np.int64)
         out[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
-        return out
+        return out, order
+
+    @classmethod
+    def joined(cls, a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs of a here and b `step` on, and their order."""
+        n = len(a)
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - step)] = b[step:] + 1
+        return cls.numbered(a * (int(b.max()) + 2) + later)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many characters agree from the places a and b on, up to `most` or 128."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,21 @@ class Encoder:
     The vocabulary drops white space and never joins ids across it, so a text's ids are those of its runs.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.known, self.old = Tokenizer.from_file(path), keep, {}, {}
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
+        if len(self.known) > self.keep:  # what comes again is taken over from the old, the rest goes
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, []
+        for w in set(chain.from_iterable(split)).difference(known):
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
         for lo in range(0, len(new), 5000):
             some = new[lo : lo + 5000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):

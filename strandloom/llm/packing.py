@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -14,10 +15,16 @@ from pyspark.sql import functions as F
 from .common import ranked, stored
 
 
+#: A word that ends in ASCII marks after an ASCII letter or digit: there the vocabulary's pattern always cuts.
+MARKED = re.compile(rb"(.*[A-Za-z0-9])([!-/:-@\[-`{-~]+)", re.S)
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes; the ids of a run without ASCII white space are kept.
 
-    The vocabulary drops white space and never joins ids across it, so a text's ids are those of its runs.
+    The vocabulary drops white space, lower-cases, and never joins ids across white space or from letters or digits
+    to marks, so a text's ids are those of its runs, and a run's those of its word and of the marks after it.
+    Texts with <| may hold special tokens: their letters stay, and their runs stay whole.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -26,19 +33,31 @@ class Encoder:
         self.tokenizer, self.keep, self.known, self.old = Tokenizer.from_file(path), keep, {}, {}
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        raw = [(t or "").encode() for t in texts]
+        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
         if len(self.known) > self.keep:  # what comes again is taken over from the old, the rest goes
             self.known, self.old = {}, self.known
-        known, old, new = self.known, self.old, []
+        known, old, new, parts = self.known, self.old, set(), {}
         for w in set(chain.from_iterable(split)).difference(known):
             if w in old:
                 known[w] = old[w]
-            else:
-                new.append(w)
+                continue
+            m = None if b"<|" in w else MARKED.fullmatch(w)
+            parts[w] = m.groups() if m else (w,)
+            for part in parts[w]:
+                if part not in known:
+                    if part in old:
+                        known[part] = old[part]
+                    else:
+                        new.add(part)
+        new = list(new)
         for lo in range(0, len(new), 5000):
             some = new[lo : lo + 5000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, own in parts.items():
+            if len(own) > 1:
+                known[w] = known[own[0]] + known[own[1]]
         last = end.to_bytes(4, "little")
         return [b"".join([known[w] for w in words]) + last for words in split]
 

@@ -31,6 +31,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known, self.old = Tokenizer.from_file(path), keep, {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
@@ -50,17 +53,34 @@ class Encoder:
                         known[part] = old[part]
                     else:
                         new.add(part)
-        new = list(new)
-        for lo in range(0, len(new), 5000):
-            some = new[lo : lo + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         for w, own in parts.items():
             if len(own) > 1:
                 known[w] = known[own[0]] + known[own[1]]
         last = end.to_bytes(4, "little")
         return [b"".join([known[w] for w in words]) + last for words in split]
 
+    def learn(self, new: set[bytes]) -> None:
+        """Words of letters alone are encoded many at a time, and told apart by the tokens that end words."""
+        known, alone = self.known, []
+        letters = [w for w in new if w.isalpha() or (not w.isascii() and w.decode().isalpha())]
+        for lo in range(0, len(letters), 2000):
+            some = letters[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                alone += some
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist()):
+                known[w] = raw[at:end]
+                at = end
+        alone += new.difference(letters)
+        for lo in range(0, len(alone), 5000):
+            some = alone[lo : lo + 5000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
 
 def pieces(documents: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and `end`, cut where longer than capacity."""

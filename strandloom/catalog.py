@@ -1,11 +1,263 @@
-"""All registered queries of the omics and network operators."""
+"""All registered queries of the omics and network operators, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import association as qtl
+from .operators import intervals as iv
+from .operators import network as net
+from .operators import reads as rd
+from .sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "q7_nominal"
+
+
+def query(name: str, views: str, sql: str) -> Callable:
+    """Register a function of the named views, with its SQL over the same."""
+    names = views.split()
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
+        ORACLE[name] = with_views(sql, *names)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# Intervals
+
+
+@query("i2_tags", "genes", "SELECT gene_id, chrom || ':' || start_pos || '-' || end_pos AS tag, end_pos - start_pos AS len FROM genes")
+def tags(genes):
+    return genes.select("gene_id", iv.tag().alias("tag"), iv.length().alias("len"))
+
+
+@query("i4_anchors", "genes", "SELECT gene_id, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) AS mid, CASE WHEN strand = '+' THEN start_pos ELSE end_pos END AS tss, CASE WHEN strand = '-' THEN start_pos ELSE end_pos END AS tes FROM genes")
+def anchors(genes):
+    return iv.anchors(genes).select("gene_id", "mid", "tss", "tes")
+
+
+@query("i5_tss_regions", "genes", "SELECT gene_id, chrom, CASE WHEN strand = '-' THEN end_pos - 1 ELSE start_pos END AS start_pos, CASE WHEN strand = '-' THEN end_pos ELSE start_pos + 1 END AS end_pos FROM genes")
+def tss_regions(genes):
+    return iv.tss_regions(genes).select("gene_id", "chrom", "start_pos", "end_pos")
+
+
+@query("i6_widen", "peaks", "SELECT peak_id, chrom, start_pos - 100 AS start_pos, end_pos + 100 AS end_pos FROM peaks")
+def widen(peaks):
+    return iv.widen(peaks, 100)
+
+
+@query("i8_transform", "genes", "SELECT gene_id, start_pos - 50 + s AS start_pos, end_pos + 50 + s AS end_pos FROM (SELECT *, CASE WHEN strand = '-' THEN -30 ELSE 30 END AS s FROM genes) q")
+def transform(genes):
+    return iv.transform(genes, 50, 30).select("gene_id", "start_pos", "end_pos")
+
+
+@query("i12_in_interval", "peaks", "SELECT * FROM peaks WHERE chrom = 'chr7' AND end_pos > 100000 AND start_pos < 400000")
+def in_interval(peaks):
+    return iv.in_interval(peaks, "chr7", 100_000, 400_000)
+
+
+@query("i13_overlapping", "genes peaks", "SELECT * FROM genes g WHERE EXISTS (SELECT 1 FROM peaks p WHERE p.chrom = g.chrom AND p.start_pos < g.end_pos AND g.start_pos < p.end_pos)")
+def overlapping(genes, peaks):
+    return iv.overlapping(genes, peaks)
+
+
+@query("i14_overlaps", "tf_sites peaks", "SELECT tf, peak_id, least(t.end_pos, p.end_pos) - greatest(t.start_pos, p.start_pos) AS overlap FROM tf_sites t JOIN peaks p ON p.chrom = t.chrom AND p.start_pos < t.end_pos AND t.start_pos < p.end_pos")
+def overlaps(tf_sites, peaks):
+    return iv.overlaps(tf_sites, peaks, "tf", "peak_id")
+
+
+@query("i16_adjacent", "peaks", "SELECT * FROM (SELECT peak_id, lead(peak_id, 2) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, peak_id) AS next FROM peaks) q WHERE next IS NOT NULL")
+def adjacent(peaks):
+    return iv.adjacent(peaks, "peak_id", 2)
+
+
+@query("i18_nearest", "peaks", "SELECT *, CAST(floor((start_pos + end_pos) / 2) AS BIGINT) - 500000 AS distance FROM peaks WHERE chrom = 'chr3' ORDER BY abs(CAST(floor((start_pos + end_pos) / 2) AS BIGINT) - 500000), start_pos, end_pos LIMIT 10")
+def nearest(peaks):
+    return iv.nearest(peaks, "chr3", 500_000, 10)
+
+
+@query("i20_previous", "genes peaks", "SELECT gene_id, (SELECT max_by(peak_id, (p.start_pos, p.peak_id)) FROM peaks p WHERE p.chrom = g.chrom AND p.start_pos < g.start_pos) AS peak_id FROM genes g")
+def previous(genes, peaks):
+    return iv.previous(genes, peaks, "gene_id", "peak_id")
+
+
+@query("i21_clusters", "tf_sites", "SELECT tf, chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max(end_pos) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_pos THEN 0 ELSE 1 END AS fresh FROM tf_sites) a) b GROUP BY tf, chrom, i")
+def clusters(tf_sites):
+    return iv.clusters(tf_sites, ["tf", "chrom"])
+
+
+# Reads
+
+USABLE = "(SELECT *, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM reads WHERE flag & 1796 = 0)"
+SPANS = f"(SELECT read_id, sample_id, chrom, strand, pos AS start_pos, pos + CASE cigar WHEN '50M' THEN 50 WHEN '20M100N30M' THEN 150 WHEN '10S40M' THEN 40 WHEN '30M5D20M' THEN 55 ELSE 45 END AS end_pos FROM {USABLE} u)"
+BLOCKS = f"(SELECT read_id, sample_id, chrom, strand, pos + o AS start_pos, pos + o + n AS end_pos FROM {USABLE} u JOIN (VALUES ('50M', 0, 50), ('20M100N30M', 0, 20), ('20M100N30M', 120, 30), ('10S40M', 0, 40), ('30M5D20M', 0, 30), ('30M5D20M', 35, 20), ('25M5I20M', 0, 25), ('25M5I20M', 25, 20)) c(cigar, o, n) ON c.cigar = u.cigar)"
+DEPTH = "SELECT sample_id, chrom, strand, pos, sum(change) OVER (PARTITION BY sample_id, chrom, strand ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT sample_id, chrom, strand, pos, sum(d) AS change FROM (SELECT sample_id, chrom, strand, start_pos AS pos, 1 AS d FROM {0} a UNION ALL SELECT sample_id, chrom, strand, end_pos, -1 FROM {0} b) e GROUP BY sample_id, chrom, strand, pos) f"
+
+
+@query("c1_usable_reads", "reads", f"SELECT * FROM {USABLE} u")
+def usable(reads):
+    return rd.usable(reads)
+
+
+@query("c3_coverage", "reads genes", f"SELECT gene_id, sample_id, r.strand, sum(CASE WHEN r.start_pos >= g.start_pos AND r.end_pos <= g.end_pos THEN 1 ELSE 0 END)::BIGINT AS complete_overlap, sum(CASE WHEN r.start_pos >= g.start_pos AND r.end_pos <= g.end_pos THEN 0 ELSE 1 END)::BIGINT AS partial_overlap FROM {SPANS} r JOIN genes g ON g.chrom = r.chrom AND r.start_pos < g.end_pos AND g.start_pos < r.end_pos GROUP BY ALL")
+def coverage(reads, genes):
+    return rd.coverage(reads, genes, "gene_id")
+
+
+@query("c4_binned", "reads", f"SELECT sample_id, strand, CAST(floor((p - 200000) / 5000) AS BIGINT) AS bin, count(*) AS n FROM (SELECT *, CASE WHEN strand = '+' THEN start_pos ELSE end_pos END AS p FROM {SPANS} r WHERE chrom = 'chr5') q WHERE p >= 200000 AND p < 600000 GROUP BY ALL")
+def binned(reads):
+    return rd.binned(reads, "chr5", 200_000, 600_000, 5000)
+
+
+@query("c5_blocks", "reads", f"SELECT * FROM {BLOCKS} b")
+def blocks(reads):
+    return rd.blocks(reads)
+
+
+@query("c6_pileup", "reads", DEPTH.format(BLOCKS))
+def pileup(reads):
+    return rd.pileup(rd.blocks(reads))
+
+
+@query("c7_filled_pileup", "reads", DEPTH.format(SPANS))
+def filled(reads):
+    return rd.pileup(rd.spans(reads))
+
+
+@query("a35_depth", "reads", "SELECT sample_id, count(*) / 1e6 AS depth FROM reads GROUP BY sample_id")
+def depth(reads):
+    return rd.depth_per_million(reads)
+
+
+# Counts and association
+
+TPM = "(SELECT gene_id, sample_id, n, rpk / (sum(rpk) OVER (PARTITION BY sample_id) / 1e6) AS tpm FROM (SELECT c.gene_id, sample_id, n, n / ((end_pos - start_pos) / 1000.0) AS rpk FROM counts c JOIN genes g ON g.gene_id = c.gene_id) q)"
+IMPUTED = "(SELECT variant_id, sample_id, coalesce(CAST(dosage AS DOUBLE), avg(dosage) OVER (PARTITION BY variant_id)) AS d FROM genotypes)"
+CIS = "(SELECT gene_id AS phenotype_id, variant_id, pos - start_pos AS tss_distance FROM genes g JOIN variants v ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos - 50000 AND g.start_pos + 50000)"
+NOMINAL = f"(SELECT p.phenotype_id, c.variant_id, tss_distance, count(*) - 2 AS dof, regr_r2(value, d) AS r2, regr_slope(value, d) AS slope, corr(value, d) AS r FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id GROUP BY ALL HAVING min(value) < max(value))"
+STATS = "round(r2, 6) AS r2, round(slope, 6) AS slope, round(slope / (r * sqrt(dof / (1 - r2))), 6) AS slope_se, round(r * sqrt(dof / (1 - r2)), 6) AS tstat"
+
+
+@query("n1_tpm", "counts genes", f"SELECT gene_id, sample_id, round(tpm, 6) AS tpm FROM {TPM} t")
+def tpm(counts, genes):
+    return rounded(qtl.tpm(counts, genes), "tpm")
+
+
+@query("n2_cpm_factors", "counts", "SELECT sample_id, sum(n) / 1e6 AS factor FROM counts GROUP BY sample_id")
+def cpm(counts):
+    return qtl.cpm_factors(counts)
+
+
+@query("n7_expressed", "counts genes", f"SELECT gene_id, avg(CASE WHEN n >= 6 THEN 1 ELSE 0 END) >= 0.2 AND avg(CASE WHEN tpm >= 0.1 THEN 1 ELSE 0 END) >= 0.2 AS kept FROM {TPM} t GROUP BY gene_id")
+def expressed(counts, genes):
+    return qtl.expressed(counts, genes)
+
+
+@query("a34_covariates", "samples", "SELECT sample_id, CASE condition WHEN 'CASE' THEN 1 ELSE -1 END AS condition, CASE sex WHEN 'Female' THEN 1 ELSE -1 END AS sex FROM samples")
+def covariates(samples):
+    return samples.select("sample_id", F.when(F.col("condition") == "CASE", 1).otherwise(-1).alias("condition"), F.when(F.col("sex") == "Female", 1).otherwise(-1).alias("sex"))
+
+
+@query("e4_imputed", "genotypes", f"SELECT variant_id, sample_id, round(d, 6) AS dosage FROM {IMPUTED} g")
+def imputed(genotypes):
+    return rounded(qtl.imputed(genotypes), "dosage")
+
+
+@query("e2_e8_allele_stats", "genotypes", f"SELECT variant_id, round(CASE WHEN af <= 0.5 THEN af ELSE 1 - af END, 6) AS maf, CASE WHEN af <= 0.5 THEN up ELSE down END AS ma_samples, round(CASE WHEN af <= 0.5 THEN c ELSE 2 * n - s END, 6) AS ma_count FROM (SELECT variant_id, sum(d) / (2 * count(*)) AS af, count(*) AS n, sum(d) AS s, count(*) FILTER (d > 0.5) AS up, count(*) FILTER (d < 1.5) AS down, coalesce(sum(d) FILTER (d > 0.5), 0) AS c FROM {IMPUTED} g GROUP BY variant_id) q")
+def allele_stats(genotypes):
+    return rounded(qtl.allele_stats(genotypes), "maf", "ma_count")
+
+
+@query("q4_cis_pairs", "variants genes", f"SELECT * FROM {CIS} c")
+def cis_pairs(variants, genes):
+    return qtl.cis_pairs(variants, genes)
+
+
+@query("q5_constant", "phenotypes", "SELECT phenotype_id FROM phenotypes GROUP BY phenotype_id HAVING min(value) = max(value)")
+def constant(phenotypes):
+    return qtl.constant(phenotypes)
+
+
+@query("q7_nominal", "genotypes phenotypes variants genes", f"SELECT phenotype_id, variant_id, tss_distance, dof, {STATS} FROM {NOMINAL} n")
+def nominal(genotypes, phenotypes, variants, genes):
+    return rounded(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)).withColumn("dof", F.col("dof").cast("long")), "r2", "slope", "slope_se", "tstat")
+
+
+@query("q11_strongest", "genotypes phenotypes variants genes", f"SELECT phenotype_id, round(max(r2), 6) AS r2, count(*) AS n FROM {NOMINAL} n GROUP BY phenotype_id")
+def strongest(genotypes, phenotypes, variants, genes):
+    found = qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes))
+    n = found.groupBy("phenotype_id").agg(F.count("*").alias("n"))
+    return rounded(qtl.strongest(found).join(n, "phenotype_id").select("phenotype_id", "r2", "n"), "r2")
+
+
+@query("q29_adjusted", "pvals", "SELECT phenotype_id, pval_beta, round(least(min(pval_beta * m / r) OVER (ORDER BY pval_beta DESC), 1.0), 9) AS adjusted FROM (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY pval_beta) AS r FROM pvals) q")
+def adjusted(pvals):
+    return rounded(qtl.benjamini_hochberg(pvals.select("phenotype_id", "pval_beta"), "phenotype_id", "pval_beta"), "adjusted", digits=9)
+
+
+@query("q30_bonferroni", "pvals", "SELECT phenotype_id, round(least(pval_beta * count(*) OVER (), 1.0), 9) AS adjusted FROM pvals")
+def bonferroni(pvals):
+    m = pvals.agg(F.count("*")).scalar()
+    return pvals.select("phenotype_id", F.round(F.least(F.col("pval_beta") * m, F.lit(1.0)), 9).alias("adjusted"))
+
+
+# Networks
+
+DEGREES = "(SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) e GROUP BY node)"
+PREPARED = "(SELECT n.node, coalesce(b.prize, 0.0) AS prize, coalesce(b.type, 'protein') AS type, b.prize IS NOT NULL AS terminal FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN (SELECT name, max(prize) AS prize, max(type) AS type FROM prizes GROUP BY name) b ON b.name = n.node)"
+
+
+@query("g2_degrees", "edges", f"SELECT * FROM {DEGREES} d")
+def degrees(edges):
+    return net.degrees(edges)
+
+
+@query("g3_penalised", "edges", f"SELECT src, dst, cost, round(1000.0 * a.degree * b.degree / ((n - a.degree - 1) * (n - b.degree - 1) + a.degree * b.degree), 6) AS penalty, round(cost + 1000.0 * a.degree * b.degree / ((n - a.degree - 1) * (n - b.degree - 1) + a.degree * b.degree), 6) AS total FROM edges JOIN {DEGREES} a ON a.node = src JOIN {DEGREES} b ON b.node = dst, (SELECT count(*) AS n FROM {DEGREES} d) t")
+def penalised(edges):
+    return rounded(net.penalised(edges), "penalty", "total")
+
+
+@query("g4_prizes", "edges prizes", f"SELECT * FROM {PREPARED} p")
+def prepared(edges, prizes):
+    return net.prepared_prizes(edges, prizes)
+
+
+@query("g4_unknown_prizes", "edges prizes", "SELECT DISTINCT name AS node FROM prizes WHERE name NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+def unknown(edges, prizes):
+    return net.unknown_prizes(edges, prizes)
+
+
+@query("g5_root_edges", "edges prizes", f"SELECT 'DUMMY' AS src, node AS dst, CAST(5.0 AS DOUBLE) AS cost FROM {PREPARED} p WHERE terminal")
+def root_edges(edges, prizes):
+    return net.root_edges(edges, prizes)
+
+
+@query("g8_induced", "edges prizes", f"SELECT src, dst, cost FROM edges WHERE src IN (SELECT node FROM {PREPARED} p WHERE terminal) AND dst IN (SELECT node FROM {PREPARED} p WHERE terminal)")
+def induced(edges, prizes):
+    return net.induced(edges, net.prepared_prizes(edges, prizes).where("terminal"))
+
+
+@query("g25_degree_by_type", "edges prizes", f"SELECT e.src AS node, type, count(*) AS degree FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) e JOIN {PREPARED} p ON p.node = e.dst GROUP BY e.src, type")
+def degree_by_type(edges, prizes):
+    return net.degree_by_type(edges, net.prepared_prizes(edges, prizes))
+
+
+@query("term_depths", "terms", "SELECT * FROM (WITH RECURSIVE d AS (SELECT term_id, 0 AS depth FROM terms WHERE parent_id IS NULL UNION ALL SELECT t.term_id, d.depth + 1 FROM terms t JOIN d ON d.term_id = t.parent_id) SELECT * FROM d) q")
+def term_depths(terms):
+    return net.term_depths(terms)
+
+
+@query("term_sizes", "gene_terms", "SELECT term_id, count(DISTINCT gene) AS genes FROM gene_terms WHERE evidence IN ('EXP', 'IDA', 'HTP') GROUP BY term_id")
+def term_sizes(gene_terms):
+    return net.term_sizes(gene_terms, ["EXP", "IDA", "HTP"])

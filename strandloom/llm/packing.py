@@ -128,7 +128,7 @@ def configuration(sizes: list[int], counts: list[int], room: int) -> list[int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 96, small: int = 8) -> list[tuple[int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 256, small: int = 3) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, items, first sequence, items a sequence, offset): where each length's items go.
 
     The histogram has at most `capacity` lengths, and the plan is made of runs of equally filled sequences, so

@@ -92,7 +92,7 @@ def previous(genes, peaks):
     return iv.previous(genes, peaks, "gene_id", "peak_id")
 
 
-@query("i21_clusters", "tf_sites", "SELECT tf, chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max(end_pos) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_pos THEN 0 ELSE 1 END AS fresh FROM tf_sites) a) b GROUP BY tf, chrom, i")
+@query("i21_clusters", "tf_sites", "SELECT tf, chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max(end_pos) OVER (PARTITION BY tf, chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_pos THEN 0 ELSE 1 END AS fresh FROM (SELECT tf, chrom, start_pos, end_pos, count(*) AS n FROM tf_sites GROUP BY ALL) o) a) b GROUP BY tf, chrom, i")
 def clusters(tf_sites):
     return iv.clusters(tf_sites, ["tf", "chrom"])
 

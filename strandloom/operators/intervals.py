@@ -87,11 +87,13 @@ def previous(queries: DataFrame, features: DataFrame, query: str, feature: str)
 
 
 def clusters(regions: DataFrame, by: list[str]) -> DataFrame:
-    """Unions of touching or overlapping regions per key and chromosome, with how many went in."""
+    """Unions of touching or overlapping regions per key, with how many went in. Equal regions are counted first."""
+    once = regions.groupBy(*by, "start_pos", "end_pos").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by).orderBy("start_pos", "end_pos")
     reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach >= F.col("start_pos"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return regions.withColumn("_i", island).groupBy(*by, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n")).drop("_i")
+    marked = once.withColumn("_new", F.when(reach >= F.col("start_pos"), 0).otherwise(1))
+    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("_i", island).groupBy(*by, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n")).drop("_i")
 
 
 def nearest(regions: DataFrame, chrom: str, position: int, k: int) -> DataFrame:

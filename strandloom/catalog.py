@@ -212,6 +212,36 @@ def bonferroni(pvals):
     return pvals.select("phenotype_id", F.round(F.least(F.col("pval_beta") * m, F.lit(1.0)), 9).alias("adjusted"))
 
 
+@query("n5_average_ranks", "phenotypes", "SELECT phenotype_id, sample_id, rank() OVER (PARTITION BY phenotype_id ORDER BY value) + (count(*) OVER (PARTITION BY phenotype_id, value) - 1) / 2.0 AS rank, round((rank() OVER (PARTITION BY phenotype_id ORDER BY value) + (count(*) OVER (PARTITION BY phenotype_id, value) - 1) / 2.0) / (count(*) OVER (PARTITION BY phenotype_id) + 1), 9) AS u FROM phenotypes")
+def average_ranks(phenotypes):
+    return rounded(qtl.average_ranks(phenotypes, "phenotype_id", "value"), "u", digits=9).select("phenotype_id", "sample_id", "rank", "u")
+
+
+@query("e17_sample_correlation", "phenotypes", "SELECT a.sample_id AS a, b.sample_id AS b, round(corr(a.value, b.value), 6) AS r FROM phenotypes a JOIN phenotypes b ON a.phenotype_id = b.phenotype_id AND a.sample_id < b.sample_id GROUP BY ALL")
+def sample_correlation(phenotypes):
+    return rounded(qtl.sample_correlation(phenotypes, "phenotype_id", "value"), "r")
+
+
+@query("e1_residualised", "phenotypes samples", "SELECT phenotype_id, p.sample_id, round(value - s * c, 6) AS value FROM phenotypes p JOIN (SELECT sample_id, cov1 - avg(cov1) OVER () AS c FROM samples) x ON x.sample_id = p.sample_id JOIN (SELECT phenotype_id AS k, sum(value * c) / sum(c * c) AS s FROM phenotypes p JOIN (SELECT sample_id, cov1 - avg(cov1) OVER () AS c FROM samples) x ON x.sample_id = p.sample_id GROUP BY phenotype_id) q ON q.k = p.phenotype_id")
+def residualised(phenotypes, samples):
+    return rounded(qtl.residualised(phenotypes, samples, "phenotype_id", "value", "cov1"), "value")
+
+
+@query("e16_group_t", "phenotypes samples", "SELECT phenotype_id, round((m1 - m0) / sqrt(p * (1.0 / n1 + 1.0 / n0)), 6) AS t FROM (SELECT *, ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) AS p FROM (SELECT phenotype_id, count(*) FILTER (condition = 'CASE') AS n1, count(*) FILTER (condition <> 'CASE') AS n0, avg(value) FILTER (condition = 'CASE') AS m1, avg(value) FILTER (condition <> 'CASE') AS m0, var_samp(value) FILTER (condition = 'CASE') AS v1, var_samp(value) FILTER (condition <> 'CASE') AS v0 FROM phenotypes p JOIN samples s ON s.sample_id = p.sample_id GROUP BY phenotype_id) a) b WHERE p > 0")
+def group_t(phenotypes, samples):
+    return rounded(qtl.group_t(phenotypes, samples, "phenotype_id", "value", "condition", "CASE"), "t")
+
+
+@query("q15_q18_trans", "genotypes phenotypes variants genes", f"SELECT g.variant_id, p.phenotype_id, round(regr_r2(value, d), 6) AS r2 FROM {IMPUTED} g JOIN phenotypes p ON p.sample_id = g.sample_id JOIN variants v ON v.variant_id = g.variant_id JOIN genes t ON t.gene_id = p.phenotype_id WHERE NOT (v.chrom = t.chrom AND abs(v.pos - t.start_pos) <= 200000) GROUP BY ALL HAVING regr_r2(value, d) >= 0.5 AND min(value) < max(value)")
+def trans(genotypes, phenotypes, variants, genes):
+    return rounded(qtl.trans_pairs(genotypes, phenotypes, variants, genes, 0.5, 200_000), "r2")
+
+
+@query("p11_info", "gene_terms", "SELECT evidence, count(*) AS rows, count(DISTINCT gene) AS genes, count(DISTINCT term_id) AS terms FROM gene_terms GROUP BY evidence")
+def info(gene_terms):
+    return gene_terms.groupBy("evidence").agg(F.count("*").alias("rows"), F.countDistinct("gene").alias("genes"), F.countDistinct("term_id").alias("terms"))
+
+
 # Networks
 
 DEGREES = "(SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) e GROUP BY node)"

@@ -86,3 +86,75 @@ def benjamini_hochberg(pvals: DataFrame, key: str, p: str) -> DataFrame:
     ranks = by.withColumn("r", F.sum("k").over(up)).withColumn("m", F.sum("k").over(Window.partitionBy()))
     adjusted = ranks.withColumn("adjusted", F.least(F.min(F.col(p) * F.col("m") / F.col("r")).over(down), F.lit(1.0))).select(F.col(p).alias("_p"), "adjusted")
     return pvals.join(adjusted, F.col(p) == F.col("_p")).select(key, p, "adjusted")
+
+
+def average_ranks(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds rank, the average rank among a key's values, and u, that over n + 1: what the normal quantile is taken of."""
+    w = Window.partitionBy(key)
+    ties = rows.withColumn("_low", F.rank().over(w.orderBy(value))).withColumn("_k", F.count("*").over(Window.partitionBy(key, value))).withColumn("_n", F.count("*").over(w))
+    return ties.withColumn("rank", F.col("_low") + (F.col("_k") - 1) / 2.0).withColumn("u", F.col("rank") / (F.col("_n") + 1)).drop("_low", "_k", "_n")
+
+
+def sample_correlation(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(a, b, r): the correlation of each two samples over the rows, a before b.
+
+    Each row's values are packed first, so the pairs of samples come from arrays, not from a join of the table with itself.
+    """
+    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sample_id", F.col(value).cast("double").alias("x")))).alias("v"))
+    left = packed.select("v", F.posexplode("v").alias("i", "a"))
+    pairs = left.select(F.col("a"), F.explode(F.expr("slice(v, i + 2, size(v))")).alias("b"))
+    return pairs.groupBy(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b")).agg(F.corr("a.x", "b.x").alias("r"))
+
+
+def residualised(rows: DataFrame, samples: DataFrame, key: str, value: str, covariate: str) -> DataFrame:
+    """Each row's values less what a centred covariate explains; the row's mean stays."""
+    x = samples.select("sample_id", (F.col(covariate) - F.avg(covariate).over(Window.partitionBy())).alias("_c"))
+    both = rows.join(x, "sample_id")
+    slope = both.groupBy(key).agg((F.sum(F.col(value) * F.col("_c")) / F.sum(F.col("_c") * F.col("_c"))).alias("_s"))
+    return both.join(slope, key).select(key, "sample_id", (F.col(value) - F.col("_s") * F.col("_c")).alias(value))
+
+
+def group_t(rows: DataFrame, samples: DataFrame, key: str, value: str, group: str, first: str) -> DataFrame:
+    """(key, t): pooled-variance t of the samples of group `first` against the others."""
+    both = rows.join(samples.select("sample_id", (F.col(group) == first).alias("_g")), "sample_id")
+
+    def of(f, g):
+        return f(F.when(F.col("_g") == g, F.col(value)))
+
+    s = both.groupBy(key).agg(*(of(f, g).alias(f"{n}{int(g)}") for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp)) for g in (True, False)))
+    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2)
+    return s.withColumn("_p", pooled).where("_p > 0").select(key, ((F.col("m1") - F.col("m0")) / F.sqrt(F.col("_p") * (1 / F.col("n1") + 1 / F.col("n0")))).alias("t"))
+
+
+def trans_pairs(genotypes: DataFrame, phenotypes: DataFrame, variants: DataFrame, genes: DataFrame, least_r2: float, window: int = 5_000_000, block: int = 2000) -> DataFrame:
+    """Pairs of strong correlation that are not on one chromosome within the window.
+
+    Packed variants and phenotypes are dealt into blocks of about `block` rows; each block of the ones meets each of
+    the others as matrices in a task of its own, which emits what passes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes, "phenotype_id", "value", "p")
+    m, n = (max(1, -(-x.count() // block)) for x in (variants, genes))
+
+    def dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, every)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"variant_id": [], "phenotype_id": [], "r2": []})
+        if not len(left) or not len(right):
+            return empty
+        a, b = np.stack(left["g"]), np.stack(right["p"])
+        a, b = (x / np.where((n := np.linalg.norm(x, axis=1)) > 0, n, np.inf)[:, None] for x in (a, b))
+        r2 = (a @ b.T) ** 2
+        i, j = np.nonzero(r2 >= least_r2)
+        return pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[i], "phenotype_id": right["phenotype_id"].to_numpy()[j], "r2": r2[i, j]})
+
+    left, right = dealt(g, "variant_id", "i", m, "j", n), dealt(p, "phenotype_id", "j", n, "i", m)
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "variant_id string, phenotype_id string, r2 double")
+    v = variants.select("variant_id", F.col("chrom").alias("_vc"), "pos")
+    t = genes.select(F.col("gene_id").alias("phenotype_id"), F.col("chrom").alias("_gc"), F.col("start_pos").alias("tss"))
+    near = (F.col("_vc") == F.col("_gc")) & (F.abs(F.col("pos") - F.col("tss")) <= window)
+    return found.join(v, "variant_id").join(t, "phenotype_id").where(~near).select("variant_id", "phenotype_id", "r2")

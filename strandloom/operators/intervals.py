@@ -100,3 +100,42 @@ def nearest(regions: DataFrame, chrom: str, position: int, k: int) -> DataFrame:
     """The k regions whose middles are nearest to a position; ties in genome order."""
     d = F.floor((F.col("start_pos") + F.col("end_pos")) / 2).cast("long") - position
     return regions.where(F.col("chrom") == chrom).withColumn("distance", d).orderBy(F.abs("distance"), "start_pos", "end_pos").limit(k)
+
+
+def parsed(rows: DataFrame, tag: str) -> DataFrame:
+    """Adds chrom, start_pos, end_pos and strand of tags such as chr1:5-9_+; without strand, null."""
+    form = r"^(chr.{1,2}):([0-9]+)-([0-9]+)_?([+-]?)$"
+    at = [F.regexp_extract(tag, form, k) for k in range(1, 5)]
+    return rows.withColumns({"chrom": F.nullif(at[0], F.lit("")), "start_pos": at[1].try_cast("long"), "end_pos": at[2].try_cast("long"), "strand": F.nullif(at[3], F.lit(""))})
+
+
+def is_sorted(regions: DataFrame, order: str) -> DataFrame:
+    """(chrom, sorted): whether each start lies after the one before it in the given order."""
+    before = F.lag("start_pos").over(Window.partitionBy("chrom").orderBy(order))
+    return regions.withColumn("_ok", before.isNull() | (F.col("start_pos") > before)).groupBy("chrom").agg(F.bool_and("_ok").alias("sorted"))
+
+
+def stranded(regions: DataFrame) -> DataFrame:
+    """With the strand as a part of chrom, so that only one strand's regions overlap."""
+    return regions.withColumn("chrom", F.concat("chrom", "strand"))
+
+
+def distances(regions: DataFrame, chrom: str, position: int, strand: str, anchor: Column) -> DataFrame:
+    """Adds distance from a position on a chromosome to the regions' anchors, negated on -."""
+    d = anchor - position
+    return regions.where(F.col("chrom") == chrom).withColumn("distance", -d if strand == "-" else d)
+
+
+def adjacent_to(regions: DataFrame, chrom: str, position: int, k: int) -> DataFrame:
+    """The k regions that start before a position and the k from it on."""
+    own = regions.where(F.col("chrom") == chrom)
+    names = ["start_pos", "end_pos", *(c for c in regions.columns if c.endswith("_id"))]
+    before = own.where(F.col("start_pos") < position).orderBy(*(F.desc(n) for n in names)).limit(k)
+    return before.union(own.where(F.col("start_pos") >= position).orderBy(*names).limit(k))
+
+
+def feature_counts(regions: DataFrame, features: DataFrame, key: str, feature: str, kinds: list[str]) -> DataFrame:
+    """(key, a column per kind): how many features of each kind a region overlaps; 0 where none."""
+    hit = overlaps(regions, features, key, feature)
+    counts = hit.groupBy(key).pivot(feature, kinds).agg(F.count(F.lit(1)))
+    return regions.select(key).join(counts, key, "left").fillna(0, kinds)

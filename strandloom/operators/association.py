@@ -63,13 +63,13 @@ def dot(a: str, b: str):
 
 
 def nominal(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each pair's r2, slope, its error and t statistic. Rows are packed once, so a pair moves two arrays, not samples."""
+    """Each pair's r2, slope, its error and t statistic. Rows are packed once, so a pair moves two arrays, not samples. A perfect fit has a null t, a slope of 0 a null error."""
     g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
     both = pairs.join(p, "phenotype_id").join(g, "variant_id")
     s = both.select("phenotype_id", "variant_id", "tss_distance", dot("g", "p").alias("gp"), dot("g", "g").alias("gg"), dot("p", "p").alias("pp"), (F.size("g") - 2).alias("dof")).where("gg > 0")
     s = s.withColumn("r2", F.col("gp") * F.col("gp") / (F.col("gg") * F.col("pp"))).withColumn("slope", F.col("gp") / F.col("gg"))
-    s = s.withColumn("tstat", F.signum("gp") * F.sqrt(F.col("dof") * F.col("r2") / (1 - F.col("r2"))))
-    return s.select("phenotype_id", "variant_id", "tss_distance", "dof", "r2", "slope", (F.col("slope") / F.col("tstat")).alias("slope_se"), "tstat")
+    s = s.withColumn("tstat", F.signum("gp") * F.sqrt(F.try_divide(F.col("dof") * F.col("r2"), 1 - F.col("r2"))))
+    return s.select("phenotype_id", "variant_id", "tss_distance", "dof", "r2", "slope", F.try_divide("slope", "tstat").alias("slope_se"), "tstat")
 
 
 def strongest(found: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def beta_fit(p: np.ndarray) -> tuple[float, float]:
 
 
 def effective_dof(r2: np.ndarray, start: float) -> float:
-    """The degrees of freedom at which the permutations' least p-values have first shape 1, by halving."""
+    """The degrees of freedom at which the permutations' least p-values have first shape 1, between an eighth and four times the start; the start if none is."""
 
     def shape(dof: float) -> float:
         p = t_two_sided(np.sqrt(dof * r2 / (1 - r2)), dof)
@@ -139,16 +139,19 @@ def effective_dof(r2: np.ndarray, start: float) -> float:
         return m * (m * (1 - m) / v - 1) - 1 if v > 0 else 0.0
 
     lo, hi = start / 8, start * 4
-    if shape(lo) * shape(hi) > 0:
+    at_lo, at_hi = shape(lo), shape(hi)
+    if at_lo * at_hi > 0:
         return start
-    falling = shape(lo) > 0
     for _ in range(40):
-        mid = (lo * hi) ** 0.5
-        if (shape(mid) > 0) == falling:
-            lo = mid
-        else:
-            hi = mid
-    return (lo * hi) ** 0.5
+        mid = hi - at_hi * (hi - lo) / (at_hi - at_lo) if at_hi != at_lo else (lo + hi) / 2
+        here = shape(mid)
+        if abs(here) < 1e-6 or abs(hi - lo) < 1e-9 * abs(hi):
+            return mid
+        if here * at_hi < 0:
+            lo, at_lo, hi, at_hi = hi, at_hi, mid, here
+        else:  # the kept end counts half, so that both ends move
+            hi, at_hi, at_lo = mid, here, at_lo / 2
+    return hi
 
 
 TOP = "phenotype_id string, num_var int, beta_shape1 double, beta_shape2 double, true_df double, pval_true_df double, variant_id string, tss_distance long, pval_nominal double, slope double, slope_se double, pval_perm double, pval_beta double"
@@ -160,11 +163,11 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, permutations: int = 10_000, seed: int = 1, block: int = 1000) -> DataFrame:
+def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, permutations: int = 10_000, seed: int = 1, block: int = 1000, share: int = 50) -> DataFrame:
     """Each phenotype's strongest variant with empirical and beta-approximated p-values.
 
-    A task holds one phenotype's cis variants and `block` permutations at a time; the permutations follow from
-    the seed, so a lost task gives the same result again. Constant variants and phenotypes are left out.
+    A task has about `share` phenotypes and holds one's cis variants and `block` permutations at a time; the
+    permutations follow from the seed, so a lost task gives the same result again. Constant variants and phenotypes are left out.
     """
     g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
     cis = pairs.join(g, "variant_id")
@@ -193,6 +196,8 @@ def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, perm
         row = own.iloc[live[top]]
         return pd.DataFrame([(key[0], len(live), a, b, true, at_true, row["variant_id"], row["tss_distance"], float(t_two_sided(t, dof)), slope, slope / t if t else np.nan, (int((best >= r2).sum()) + 1) / (permutations + 1), float(beta_cdf(at_true, a, b)))], columns=columns)
 
+    parts = max(1, -(-phenotypes.select("phenotype_id").distinct().count() // share))  # by the work, as the bytes are few
+    cis, p = cis.repartition(parts, "phenotype_id"), p.repartition(parts, "phenotype_id")
     return cis.groupBy("phenotype_id").cogroup(p.groupBy("phenotype_id")).applyInPandas(of, TOP)
 
 
@@ -257,10 +262,11 @@ def numbers_of_tests(genotypes: DataFrame, pairs: DataFrame, window: int = 200,
 
 
 def paired_correlation(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, r, pval, adjusted): the correlation of a row's values in two tables; Bonferroni over the rows."""
+    """(key, n, r, pval, adjusted): the correlation of a row's values in two tables; Bonferroni over the rows. Rows that are constant in either are left out."""
     r = a.select(key, "sample_id", F.col(value).cast("double").alias("_a")).join(b.select(key, "sample_id", F.col(value).cast("double").alias("_b")), [key, "sample_id"])
-    r = r.groupBy(key).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("r")).where("n > 2 AND NOT isnan(r)")
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    sums = r.groupBy(key).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_ab"), F.var_pop("_a").alias("_aa"), F.var_pop("_b").alias("_bb"), (F.min("_a") < F.max("_a")).alias("_va"), (F.min("_b") < F.max("_b")).alias("_vb"))
+    r = sums.where("n > 2 AND _va AND _vb").select(key, "n", (F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias("r"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     m = r.agg(F.count("*").alias("_m"))
     return r.withColumn("pval", t_pvalue(t, F.col("n") - 2)).crossJoin(F.broadcast(m)).withColumn("adjusted", F.least(F.col("pval") * F.col("_m"), F.lit(1.0))).drop("_m")
 

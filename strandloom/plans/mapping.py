@@ -11,7 +11,7 @@ from ..operators import association as qtl
 from ..operators import mapping as mp
 from ..operators import normalise as nm
 from .fragments import CIS, IMPUTED, NOMINAL, STATS
-from .registry import query, rounded
+from .registry import off_halves, query, rounded
 
 #: The two-sided tail of Student's t for 23 degrees of freedom, a finite sum of powers of cosines.
 SERIES = " + ".join(f"{c!r} * power(co, {2 * k + 1})" for k, c in enumerate(accumulate(range(1, 11), lambda c, k: c * 2 * k / (2 * k + 1), initial=1.0)))
@@ -88,11 +88,11 @@ def paired_correlation(phenotypes, counts):
     return rounded(mp.paired_correlation(a, counts.withColumnRenamed("n", "value"), "gene_id", "value"), "r").select("gene_id", "n", "r")
 
 
-@query("e13_spearman", "phenotypes counts", "SELECT gene_id, round(corr(a, b), 6) AS r FROM (SELECT gene_id, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY gene_id ORDER BY n) + (count(*) OVER (PARTITION BY gene_id, n) - 1) / 2.0 AS b FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) q GROUP BY gene_id HAVING min(a) < max(a) AND min(b) < max(b)")
+@query("e13_spearman", "phenotypes counts", "SELECT gene_id, round(corr(a, b), 6) + 0.0 AS r FROM (SELECT gene_id, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY gene_id ORDER BY n) + (count(*) OVER (PARTITION BY gene_id, n) - 1) / 2.0 AS b FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) q GROUP BY gene_id HAVING min(a) < max(a) AND min(b) < max(b)")
 def spearman(phenotypes, counts):
     a = qtl.average_ranks(phenotypes.select(F.col("phenotype_id").alias("gene_id"), "sample_id", "value"), "gene_id", "value").select("gene_id", "sample_id", F.col("rank").alias("value"))
     b = qtl.average_ranks(counts, "gene_id", "n").select("gene_id", "sample_id", F.col("rank").alias("value"))
-    return rounded(mp.paired_correlation(a, b, "gene_id", "value"), "r").select("gene_id", "r")
+    return rounded(mp.paired_correlation(a, b, "gene_id", "value"), "r").select("gene_id", (F.col("r") + 0.0).alias("r"))
 
 
 @query("e15_fisher_exact", "genes peaks", 'SELECT count(*) FILTER (x AND y) AS "both", count(*) FILTER (x AND NOT y) AS only_one, count(*) FILTER (NOT x AND y) AS only_other, count(*) FILTER (NOT x AND NOT y) AS neither, round(count(*) FILTER (x AND y) * count(*) FILTER (NOT x AND NOT y) / nullif(count(*) FILTER (x AND NOT y) * count(*) FILTER (NOT x AND y), 0), 6) AS odds FROM (SELECT strand = \'+\' AS x, end_pos - start_pos > 600 AS y FROM genes) q')
@@ -107,7 +107,7 @@ def fisher_exact(genes, peaks):
 @query("q7_full", "genotypes phenotypes variants genes", f"SELECT t.phenotype_id, t.variant_id, tss_distance, round(maf, 6) AS maf, ma_samples, round(ma_count, 6) AS ma_count, {STATS}, round(p, 6) AS pval_nominal FROM {TESTED} t JOIN {MAF} m ON m.variant_id = t.variant_id WHERE maf >= 0.05")
 def full_nominal(genotypes, phenotypes, variants, genes):
     found = mp.full_nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes), 0.05)
-    return rounded(found.drop("dof"), "r2", "slope", "slope_se", "tstat", "maf", "ma_count", "pval_nominal")
+    return rounded(off_halves(found.drop("dof"), "slope"), "r2", "slope", "slope_se", "tstat", "maf", "ma_count", "pval_nominal")
 
 
 @query("q2_difference", "genotypes phenotypes variants genes samples", None)

@@ -28,3 +28,8 @@ def query(name: str, views: str, sql: str | None) -> Callable:
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def off_halves(df: DataFrame, name: str) -> DataFrame:
+    """The column moved by 1e-9, off the exact halves of its last digit, which engines may round apart."""
+    return df.withColumn(name, F.col(name) + 1e-9)

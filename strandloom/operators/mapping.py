@@ -302,3 +302,235 @@ def adjusted_by_tests(found: DataFrame, tests: DataFrame) -> DataFrame:
     """The phenotypes' least p-values times their numbers of tests, and those step-up adjusted."""
     least = found.groupBy("phenotype_id").agg(F.min("pval_nominal").alias("_p")).join(tests, "phenotype_id").select("phenotype_id", F.least(F.col("_p") * F.col("tests"), F.lit(1.0)).alias("pval_emt"))
     return benjamini_hochberg(least, "phenotype_id", "pval_emt")
+
+
+def by_pairs(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, covariates: int = 0) -> DataFrame:
+    """The given pairs (phenotype_id, variant_id), each once, with slope, error, t and p; none that was not asked for."""
+    return with_pvalues(nominal(genotypes, phenotypes, pairs.select("phenotype_id", "variant_id").distinct().withColumn("tss_distance", F.lit(0))), covariates).drop("tss_distance")
+
+
+def beta_approximation(best: np.ndarray, r2: float, dof: float) -> tuple[float, float, float, float, float]:
+    """(pval_beta, shape1, shape2, true_df, pval_true_df) of an observed r2 among the largest ones of permutations."""
+    best, r2 = np.minimum(best, 1 - 1e-12), min(r2, 1 - 1e-12)
+    true = effective_dof(best, dof)
+    a, b = beta_fit(t_two_sided(np.sqrt(true * best / (1 - best)), true))
+    at = float(t_two_sided(np.sqrt(true * r2 / (1 - r2)), true))
+    return float(beta_cdf(at, a, b)), a, b, true, at
+
+
+def orthonormal(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """An orthonormal basis of the centred columns, without those that depend on others."""
+    if not columns:
+        return np.zeros((n, 0))
+    c = np.column_stack(columns).astype(float)
+    u, s, _ = np.linalg.svd(c - c.mean(0), full_matrices=False)
+    return u[:, s > 1e-9 * max(s[0], 1e-300)] if s[0] > 0 else np.zeros((n, 0))
+
+
+def search(x: np.ndarray, ys: list[np.ndarray], basis: np.ndarray, permutations: int, seed: int, block: int = 1000) -> tuple[int, int, float, float, np.ndarray, float]:
+    """(phenotype, variant, r, slope, largest r2 of each permutation, dof): the strongest of some phenotypes over variants, less what the basis explains.
+
+    The same permutations are drawn for each phenotype, so that their maxima belong together. Variants that the
+    basis explains have r 0.
+    """
+
+    def rest(m: np.ndarray) -> np.ndarray:
+        m = m - m.mean(-1, keepdims=True)
+        return m - (m @ basis) @ basis.T
+
+    def scaled(m: np.ndarray, like: np.ndarray) -> np.ndarray:
+        n, whole = np.linalg.norm(m, axis=-1, keepdims=True), np.linalg.norm(like - like.mean(-1, keepdims=True), axis=-1, keepdims=True)
+        return np.where(n > 1e-7 * np.maximum(whole, 1e-300), m / np.where(n > 0, n, 1), 0.0)
+
+    rx = rest(x)
+    u = scaled(rx, x)
+    top, best = None, np.zeros(permutations)
+    for k, y in enumerate(ys):
+        ry = rest(y)
+        r = u @ scaled(ry, y)
+        i = int(np.argmax(r * r))
+        if top is None or r[i] ** 2 > top[2] ** 2:
+            top = (k, i, float(r[i]), float(r[i] * np.linalg.norm(ry) / max(np.linalg.norm(rx[i]), 1e-300)))
+        rng = np.random.default_rng(seed)
+        for at in range(0, permutations, block):
+            own = rng.permuted(np.tile(y, (min(block, permutations - at), 1)), axis=1)
+            best[at : at + len(own)] = np.maximum(best[at : at + len(own)], ((u @ scaled(rest(own), own).T) ** 2).max(0))
+    return *top, best, len(ys[0]) - 2 - basis.shape[1]
+
+
+LEADS = "group_id string, group_size int, phenotype_id string, variant_id string, tss_distance long, num_var int, beta_shape1 double, beta_shape2 double, true_df double, pval_true_df double, pval_nominal double, slope double, slope_se double, pval_perm double, pval_beta double, rank int"
+
+
+def lead(group: str, own: pd.DataFrame, x: np.ndarray, names: list[str], ys: list[np.ndarray], basis: np.ndarray, permutations: int, seed: int, rank: int) -> tuple:
+    k, i, r, slope, best, dof = search(x, ys, basis, permutations, seed)
+    beta, a, b, true, at = beta_approximation(best, r * r, dof)
+    r2 = min(r * r, 1 - 1e-12)
+    t = np.sign(r) * np.sqrt(dof * r2 / (1 - r2))
+    row = own.iloc[i]
+    return (group, len(names), names[k], row["variant_id"], int(row["tss_distance"]), len(own), a, b, true, at, float(t_two_sided(t, dof)), slope, slope / t if t else np.nan, (int((best >= r2).sum()) + 1) / (permutations + 1), beta, rank)
+
+
+def leads(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, groups: DataFrame | None = None, covariates: np.ndarray | None = None, threshold: float | None = None, permutations: int = 10_000, seed: int = 1, share: int = 50) -> DataFrame:
+    """Each group's strongest pair of a phenotype and a variant with permutation p-values; with a threshold, its independent variants.
+
+    groups has phenotype_id and group_id; without it each phenotype is a group. covariates is an orthonormal basis,
+    rows in sample order. A permutation's maximum is over a group's phenotypes. With a threshold, the strongest variant
+    joins the covariates until pval_beta is above it; then each one found is tested anew beside the others, and what
+    passes is kept once. A task holds one group's cis variants, and `share` groups go to a task.
+    """
+    names = groups if groups is not None else phenotypes.select("phenotype_id", F.col("phenotype_id").alias("group_id")).distinct()
+    live = phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti")
+    p = vectors(live, "phenotype_id", "value", "p").join(names, "phenotype_id").select(F.col("group_id").alias("_group"), "phenotype_id", "p")
+    g = vectors(imputed(genotypes), "variant_id", "dosage", "g")
+    near = pairs.join(names, "phenotype_id").groupBy("group_id", "variant_id").agg(F.min_by("tss_distance", "phenotype_id").alias("tss_distance"))
+    cis = near.join(g, "variant_id")
+    columns = [c.split()[0] for c in LEADS.split(", ")]
+
+    def of(key: tuple, own: pd.DataFrame, cases: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(cases):
+            return pd.DataFrame(columns=columns)
+        own, cases = own.sort_values(["tss_distance", "variant_id"], ignore_index=True), cases.sort_values("phenotype_id", ignore_index=True)
+        x = np.stack(own["g"])
+        own, x = own[np.ptp(x, axis=1) > 0].reset_index(drop=True), x[np.ptp(x, axis=1) > 0]
+        if not len(own):
+            return pd.DataFrame(columns=columns)
+        ids, ys = list(cases["phenotype_id"]), [np.array(v) for v in cases["p"]]
+        base = [] if covariates is None else list(covariates.T)
+        at = {v: i for i, v in enumerate(own["variant_id"])}
+
+        def tested(beside: list[str], rank: int) -> tuple:
+            return lead(key[0], own, x, ids, ys, orthonormal([*base, *(x[at[v]] for v in beside)], x.shape[1]), permutations, seed, rank)
+
+        found = [tested([], 1)]
+        if threshold is None:
+            return pd.DataFrame(found, columns=columns)
+        if found[0][-2] > threshold:
+            return pd.DataFrame(columns=columns)
+        while len(found) < min(len(own), x.shape[1] - 4 - len(base)):
+            new = tested([f[3] for f in found], len(found) + 1)
+            if new[-2] > threshold or new[3] in {f[3] for f in found}:
+                break
+            found.append(new)
+        if len(found) == 1:
+            return pd.DataFrame(found, columns=columns)
+        again = [tested([o[3] for o in found if o is not f], f[-1]) for f in found]
+        kept = {}
+        for f in again:
+            if f[-2] <= threshold:
+                kept.setdefault(f[3], f)
+        return pd.DataFrame(list(kept.values()), columns=columns)
+
+    parts = max(1, -(-names.select("group_id").distinct().count() // share))
+    cis, p = cis.repartition(parts, "group_id"), p.repartition(parts, "_group")
+    return cis.groupBy("group_id").cogroup(p.groupBy("_group")).applyInPandas(of, LEADS)
+
+
+def trans_interaction(genotypes: DataFrame, phenotypes: DataFrame, samples: DataFrame, term: str, least_t: float, least_maf: float = 0.05, block: int = 2000, covariates: int = 0) -> DataFrame:
+    """(variant_id, phenotype_id, b_gi, t_gi, pval_gi) over all variants and phenotypes, where |t| of genotype x term is at least least_t.
+
+    Variants are dealt into blocks of about `block` rows, phenotypes too; two blocks meet as matrices in a task.
+    Genotype, term and their product are made orthogonal per variant, so a pair costs three products.
+    """
+    i = samples.select("sample_id", F.col(term).cast("double").alias("_i"))
+    one = np.array([r["_i"] for r in i.orderBy("sample_id").collect()])  # a number per sample
+    one = one - one.mean()
+    alleles = allele_stats(genotypes).where(F.col("maf") >= least_maf).select("variant_id")
+    packed = imputed(genotypes).join(alleles, "variant_id", "left_semi")
+    g = packed.groupBy("variant_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "dosage"))), lambda s: s["dosage"]).alias("g"))
+    p = vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
+    raw = np.array([r["_i"] for r in i.orderBy("sample_id").collect()])
+    m, n = (max(1, -(-x.count() // block)) for x in (alleles, phenotypes.select("phenotype_id").distinct()))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"variant_id": [], "phenotype_id": [], "b_gi": [], "t_gi": [], "dof": []})
+        x, y = np.stack(left["g"]), np.stack(right["p"])
+        e0 = one / np.linalg.norm(one)
+        a, z = x - x.mean(1, keepdims=True), x * raw
+        z = z - z.mean(1, keepdims=True)
+        a1 = a - (a @ e0)[:, None] * e0
+        na = np.linalg.norm(a1, axis=1, keepdims=True)
+        a1 = a1 / np.where(na > 1e-9, na, np.inf)
+        z1 = z - (z @ e0)[:, None] * e0
+        z1 = z1 - (z1 * a1).sum(1, keepdims=True) * a1
+        nz = np.linalg.norm(z1, axis=1, keepdims=True)
+        u = z1 / np.where((nz > 1e-6 * np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)) & (na > 1e-9), nz, np.inf)
+        dof = x.shape[1] - 4 - covariates
+        c = u @ y.T
+        left_over = (y * y).sum(1)[None, :] - (y @ e0)[None, :] ** 2 - (a1 @ y.T) ** 2 - c * c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = c * np.sqrt(dof / left_over)
+        k, j = np.nonzero((np.abs(t) >= least_t) & (left_over > 0))
+        return pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[k], "phenotype_id": right["phenotype_id"].to_numpy()[j], "b_gi": c[k, j] / nz[k, 0], "t_gi": t[k, j], "dof": dof})
+
+    def dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+    left, right = dealt(g, "variant_id", "_v", m, "_w", n), dealt(p, "phenotype_id", "_w", n, "_v", m)
+    found = left.groupBy("_v", "_w").cogroup(right.groupBy("_v", "_w")).applyInPandas(meet, "variant_id string, phenotype_id string, b_gi double, t_gi double, dof int")
+    return found.withColumn("pval_gi", t_pvalue("t_gi", "dof")).drop("dof")
+
+
+def permutation_maxima(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, permutations: int, seed: int = 1, block: int = 2000) -> DataFrame:
+    """(chrom, permutation, r2): the largest r2 of permuted normal scores with all variants of the other chromosomes.
+
+    Each block of variants gives a maximum per chromosome and permutation; the two largest over chromosomes then
+    give every chromosome's maximum without itself. Chrom null: over all of them.
+    """
+    n = samples.count()
+    import statistics
+
+    base = np.array([statistics.NormalDist().inv_cdf((k + 1) / (n + 1)) for k in range(n)])
+    scores = unit(np.random.default_rng(seed).permuted(np.tile(base, (permutations, 1)), axis=1))
+    g = vectors(imputed(genotypes), "variant_id", "dosage", "g").join(variants.select("variant_id", "chrom"), "variant_id")
+
+    def largest(batches):
+        for b in batches:
+            for chrom, own in b.groupby("chrom"):
+                for at in range(0, len(own), block):
+                    x = unit(np.stack(own["g"].iloc[at : at + block]))
+                    yield pd.DataFrame({"chrom": chrom, "permutation": np.arange(permutations, dtype=np.int32), "r2": ((x @ scores.T) ** 2).max(0)})
+
+    per = g.select("chrom", "g").mapInPandas(largest, "chrom string, permutation int, r2 double").groupBy("permutation", "chrom").agg(F.max("r2").alias("r2"))
+    by = per.groupBy("permutation").agg(F.array_sort(F.collect_list(F.struct(-F.col("r2"), "chrom"))).alias("_all"))  # a row per chromosome
+    top = by.select("permutation", F.col("_all")[0].alias("_x"), F.try_element_at("_all", F.lit(2)).alias("_y"))
+    names = per.select("chrom").distinct()
+    each = names.crossJoin(top).select("chrom", "permutation", (-F.when(F.col("_x.chrom") == F.col("chrom"), F.col("_y.col1")).otherwise(F.col("_x.col1"))).alias("r2")).where("r2 IS NOT NULL")
+    return each.union(top.select(F.lit(None).cast("string"), "permutation", -F.col("_x.col1")))
+
+
+def with_permutations(pairs: DataFrame, maxima: DataFrame) -> DataFrame:
+    """Adds pval_perm to pairs (r2, chrom of the phenotype; null: all): the share of permutations whose maximum is at least r2, one added to both counts.
+
+    maxima has at most chromosomes x permutations rows, packed to one array per chromosome.
+    """
+    packed = maxima.groupBy("chrom").agg(F.collect_list("r2").alias("_max"))
+    both = pairs.join(F.broadcast(packed.withColumnRenamed("chrom", "_c")), F.col("chrom").eqNullSafe(F.col("_c")))
+    return both.withColumn("pval_perm", (F.size(F.filter("_max", lambda m: m >= F.col("r2"))) + 1) / (F.size("_max") + 1)).drop("_max", "_c")
+
+
+def true_share(found: DataFrame, p: str, knot: float = 0.94) -> DataFrame:
+    """(n, pi1): the share of true effects among p-values, 1 less the share of nulls at the last knot; under 100 rows it is 0."""
+    pi0 = F.when(F.count(p) < 100, 1.0).otherwise(F.least(F.lit(1.0), F.count_if(F.col(p) > knot) / F.count(p) / (1 - knot)))
+    return found.agg(F.count(p).alias("n"), (1 - pi0).alias("pi1"))
+
+
+def replication(pairs: DataFrame, genotypes: DataFrame, phenotypes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listed pairs tested in another cohort, and the share of them that are true there."""
+    found = by_pairs(genotypes, phenotypes, pairs)
+    return found, true_share(found, "pval_nominal")
+
+
+def kendall(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, n, tau): Kendall's rank correlation with ties; null where a side is constant.
+
+    A key's values are packed into an array, and pairs are counted inside it.
+    """
+    packed = rows.groupBy(key).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("v"))
+
+    def counted(f):
+        return F.aggregate("v", F.lit(0).cast("long"), lambda s, a: s + F.aggregate("v", F.lit(0).cast("long"), lambda u, b: u + f(a, b)))
+
+    concordant = counted(lambda a, b: (F.signum(a["x"] - b["x"]) * F.signum(a["y"] - b["y"])).cast("long"))
+    tx, ty = counted(lambda a, b: (a["x"] != b["x"]).cast("long")), counted(lambda a, b: (a["y"] != b["y"]).cast("long"))
+    return packed.select(key, F.size("v").alias("n"), F.try_divide(concordant, F.sqrt(tx.cast("double") * ty)).alias("tau"))

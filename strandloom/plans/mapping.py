@@ -160,3 +160,63 @@ def numbers_of_tests(genotypes, variants, genes):
 def adjusted_by_tests(genotypes, phenotypes, variants, genes):
     pairs = qtl.cis_pairs(variants, genes)
     return mp.adjusted_by_tests(mp.with_pvalues(qtl.nominal(genotypes, phenotypes, pairs)), mp.numbers_of_tests(genotypes, pairs))
+
+
+LISTED = "(SELECT gene_id AS phenotype_id, variant_id FROM genes g JOIN variants v ON v.chrom = g.chrom AND v.pos BETWEEN g.end_pos - 20000 AND g.end_pos + 20000)"
+
+
+@query("q3_by_pairs", "genotypes phenotypes variants genes", f"SELECT * FROM (SELECT c.phenotype_id, c.variant_id, round(regr_r2(value, d), 6) AS r2, round(regr_slope(value, d) + 1e-9, 6) AS slope FROM {LISTED} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id GROUP BY ALL HAVING min(value) < max(value) AND min(d) < max(d)) q")
+def by_pairs(genotypes, phenotypes, variants, genes):
+    ends = genes.withColumn("start_pos", F.col("end_pos"))
+    found = mp.by_pairs(genotypes, phenotypes, qtl.cis_pairs(variants, ends, 20_000))
+    return rounded(off_halves(found, "slope"), "r2", "slope").select("phenotype_id", "variant_id", "r2", "slope")
+
+
+@query("q12_grouped_leads", "genotypes phenotypes variants genes", None)
+def grouped_leads(genotypes, phenotypes, variants, genes):
+    groups = genes.select(F.col("gene_id").alias("phenotype_id"), F.concat_ws(":", "chrom", F.floor(F.col("start_pos") / 20_000).cast("string")).alias("group_id"))
+    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), groups, permutations=1000)
+
+
+@query("q13_independent", "genotypes phenotypes variants genes samples", None)
+def independent(genotypes, phenotypes, variants, genes, samples):
+    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), covariates=mp.residualiser(samples, ["cov1"]), threshold=0.05, permutations=1000)
+
+
+@query("q17_trans_interaction", "genotypes phenotypes samples", None)
+def trans_interaction(genotypes, phenotypes, samples):
+    return mp.trans_interaction(genotypes, phenotypes, samples, "cov1", 4.5)
+
+
+@query("q19_permutation_maxima", "genotypes samples variants", None)
+def permutation_maxima(genotypes, samples, variants):
+    return mp.permutation_maxima(genotypes, samples, variants, 1000)
+
+
+@query("q20_with_permutations", "genotypes phenotypes samples variants genes", None)
+def with_permutations(genotypes, phenotypes, samples, variants, genes):
+    found = qtl.trans_pairs(genotypes, phenotypes, variants, genes, 0.5).join(genes.select(F.col("gene_id").alias("phenotype_id"), "chrom"), "phenotype_id")
+    return mp.with_permutations(found, mp.permutation_maxima(genotypes, samples, variants, 1000))
+
+
+@query("q24_below_thresholds", "genotypes phenotypes variants genes pvals", None)
+def below_thresholds(genotypes, phenotypes, variants, genes, pvals):
+    limits = mp.thresholds(pvals.withColumn("phenotype_id", F.concat(F.lit("G"), F.substring("phenotype_id", 2, 20))), 0.5)
+    return mp.significant(mp.with_pvalues(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes))), limits)
+
+
+@query("q26_replication", "genotypes phenotypes variants genes samples", f"SELECT count(*) AS n, round(1 - CASE WHEN count(*) < 100 THEN 1.0 ELSE least(1.0, count(*) FILTER (p > 0.94) / count(*) / (1 - 0.94)) END, 6) AS pi1 FROM {TESTED} t")
+def replication(genotypes, phenotypes, variants, genes, samples):
+    return rounded(mp.replication(qtl.cis_pairs(variants, genes), genotypes, phenotypes)[1], "pi1")
+
+
+@query("q27_annotated", "genotypes phenotypes variants genes", f"SELECT g.gene_id, g.chrom, g.start_pos, g.end_pos, g.strand, n.variant_id, v.pos, v.ref, v.alt, round(r2, 6) AS r2 FROM {NOMINAL} n JOIN genes g ON g.gene_id = n.phenotype_id JOIN variants v ON v.variant_id = n.variant_id")
+def annotated(genotypes, phenotypes, variants, genes):
+    found = rounded(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), "r2").withColumnRenamed("phenotype_id", "gene_id")
+    return found.join(genes, "gene_id", "left").join(variants.drop("chrom"), "variant_id", "left").select("gene_id", "chrom", "start_pos", "end_pos", "strand", "variant_id", "pos", "ref", "alt", "r2")
+
+
+@query("e13_kendall", "phenotypes counts", "SELECT gene_id, count(DISTINCT a.sample_id) AS n, round(sum(sign(a.value - b.value) * sign(a.n - b.n)) / nullif(sqrt(sum(CASE WHEN a.value <> b.value THEN 1.0 ELSE 0.0 END) * sum(CASE WHEN a.n <> b.n THEN 1.0 ELSE 0.0 END)), 0), 6) + 0.0 AS tau FROM (SELECT gene_id, p.sample_id, value, n FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) a JOIN (SELECT gene_id, p.sample_id, value, n FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) b USING (gene_id) GROUP BY gene_id")
+def kendall(phenotypes, counts):
+    both = phenotypes.withColumnRenamed("phenotype_id", "gene_id").join(counts, ["gene_id", "sample_id"])
+    return rounded(mp.kendall(both, "gene_id", "value", "n"), "tau").select("gene_id", F.col("n").cast("long").alias("n"), (F.col("tau") + 0.0).alias("tau"))

@@ -103,7 +103,7 @@ def betweenness(edges):
 
 @query("g18_communities", "edges", None)
 def communities(edges):
-    return cl.communities(edges)
+    return cl.communities(edges, levels=2, rounds=4)
 
 
 @query("g20_power_clusters", "edges", None)

@@ -9,7 +9,7 @@ from strandloom.llm.mixing import mixed_documents
 from strandloom.llm.packing import pack
 from strandloom.llm.pii import redacted
 from strandloom.llm.queries import table, vocabulary
-from strandloom.llm.simhash import first_of_each
+from strandloom.llm.resemblance import first_of_each
 from strandloom.llm.toxicity import without_toxic
 
 
@@ -19,7 +19,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near-duplicates."""
+    """One document, the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return first_of_each(docs)
 
 

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from strandloom.llm import embed_forest, media, mixing, packing, pii, quality_crf, run_index, sharding, simhash, toxicity
+from strandloom.llm import embed_forest, media, mixing, packing, pii, quality_crf, resemblance, run_index, sharding, simhash, toxicity
 from strandloom.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +80,41 @@ def test_simhash_links_in_chunks(spark):
         assert (label == want).all()
 
 
+def test_near_copies_of_the_pipeline(spark, docs, none):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [t for _, t, *_ in awkward()]
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4, 6, 8):  # similarities 0.95 to 0.7
+            copy = list(words)
+            for at in rng.sample(range(10, 190), changes):
+                copy[at] = "new"
+            texts.append(" ".join(copy))
+    rows = [(i, t, "en", "a", 1, 7, 8) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    label = simhash.star(len(sets), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    frame = spark.createDataFrame(rows, COLUMNS)
+    for limit in (128, 3):
+        assert {(r.doc_id, r.component_id) for r in resemblance.groups(frame, limit=limit).collect()} == set(enumerate(label.tolist()))
+    assert {r.doc_id for r in corpus_pipeline.simhash(spark, frame, SF).collect()} == set(label.tolist())
+    assert resemblance.groups(none).count() == 0 and corpus_pipeline.simhash(spark, docs, SF).columns == docs.columns
+
+
+def test_near_copies_that_only_meet_away_from_the_head(spark):
+    words = [f"w{i}" for i in range(120)]
+    sets = [resemblance.shingles(" ".join(words[lo : lo + 60])) for lo in (0, 30, 33, 60)]
+    frame = spark.createDataFrame([(0, k, k, bytearray(s.tobytes())) for k, s in enumerate(sets)] + [(0, 9, 1, bytearray(sets[1].tobytes()))], "cell long, key long, of long, shingles binary")
+    for limit in (128, 1):
+        assert {frozenset((r.a, r.b)) for r in resemblance.compared(frame, 0.8, limit).collect()} & {frozenset((1, 2)), frozenset((2, 9))}
+
+
 def test_long_repeats(spark, docs, none):
     def brute(rows):
         seen, out = set(), {}

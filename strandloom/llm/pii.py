@@ -15,7 +15,12 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# What stands for each character of a base span, and the words that hold none of it: one, or several in a row.
+MASK = "\ue000"
+WORD = rf"[^\s0-9@{MASK}]*+[0-9@][^\s{MASK}]*+(?!\S)"
+CANDIDATE = rf"(?<!\S){WORD}"
+SEVERAL = rf"{CANDIDATE}\x20++{WORD}"
+RUN = rf"(?<!\S){WORD}(?:\x20++{WORD})++"
 
 
 def matches(text: Column, pattern: str, when: Column) -> Column:
@@ -73,21 +78,47 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(of_kind, range(len(KINDS)))))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """array<struct<start,end,token,kind,patterns>>: words that hold a digit or @, at least six characters, with
-    the contexts around them; kind is a span's that the word overlaps, or null."""
+def masked(text: Column, spans: Column) -> Column:
+    """The text with MASK in place of every character of the spans."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), end - start))
+        return F.struct(end.alias("at"), more.alias("out"))
+
+    rest = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
 
-    def one(m: Column) -> Column:
-        token = F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "")
-        left = F.slice(F.filter(F.split(F.lower(m["before"]), r"\s+"), lambda w: w != ""), -2, 2)
-        left = F.when(F.size(F.filter(F.split(m["before"], r"\s+"), lambda w: w != "")) >= 2, left)
-        right = F.get(F.filter(F.split(F.lower(m["after"]), r"\s+"), lambda w: w != ""), F.lit(0))
-        kind = F.get(F.filter(spans, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])), F.lit(0))["kind"]
+def contexts(text: Column, bare: Column, rows: Column, spans: Column) -> Column:
+    """array<struct<start,end,token,kind,patterns>>: the base spans, each as one, and what else may be an identifier:
+    words that hold a digit or @, and runs of them, at least six characters; with the contexts around them.
+    kind is null where it is no base span. bare: as of masked(). rows: the runs, a column
+    of its own as every word looks at it. A word of a run leaves the contexts to the run."""
+
+    def words(x: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(F.lower(x), f"{MASK}+", "#"), r"\s+"), lambda w: w != "")
+
+    def one(start: Column, end: Column, last: Column, token: Column, kind: Column, alone: Column) -> Column:
+        before = words(F.regexp_replace(F.substring(bare, F.greatest(start - 59, F.lit(1)), F.least(start, F.lit(60))), r"\S+$", ""))
+        left = F.when(F.size(before) >= 2, F.slice(before, -2, 2))
+        right = F.get(words(F.regexp_replace(F.substring(bare, last + 1, F.lit(30)), r"^\S+", "")), F.lit(0))
         patterns = F.filter(F.array(F.concat(F.lit("L:"), F.array_join(left, " ")), F.concat(F.lit("B:"), F.get(left, F.lit(1)), F.lit(" _ "), right)), lambda p: p.isNotNull())
-        return F.struct(m["start"].alias("start"), (m["start"] + F.char_length(token)).alias("end"), token.alias("token"), kind.alias("kind"), patterns.alias("patterns"))
+        patterns = F.when(alone, patterns).otherwise(F.array().cast("array<string>"))
+        return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), kind.alias("kind"), patterns.alias("patterns"))
+
+    def unseen(found: Column, inside: Column | None) -> Column:
+        def of(m: Column) -> Column:
+            token = F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "")
+            alone = F.lit(True) if inside is None else ~F.exists(inside, lambda r: (r["start"] <= m["start"]) & (r["end"] >= m["end"]))
+            return one(m["start"], m["start"] + F.char_length(token), m["end"], token, F.lit(None).cast("int"), alone)
+
+        long = F.filter(found, lambda m: F.char_length(F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "")) >= 6)
+        return F.transform(long, of)
 
-    words = matches(text, CANDIDATE, text.rlike("[0-9@]"))
-    return F.filter(F.transform(words, one), lambda c: F.char_length(c["token"]) >= 6)
+    base = F.transform(spans, lambda s: one(s["start"], s["end"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["kind"], F.lit(True)))
+    return F.concat(base, unseen(matches(bare, CANDIDATE, bare.rlike("[0-9@]")), rows), unseen(rows, None))
 
 
 def discovered(rows: DataFrame, rounds: int = 2, least: float = 0.8, seeds: int = 3) -> DataFrame:
@@ -115,19 +146,21 @@ def discovered(rows: DataFrame, rounds: int = 2, least: float = 0.8, seeds: int
 def spans(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, found): the spans of every whole text; start and end in code points, end exclusive.
 
-    base: array<struct<start,kind,end>>, kind the place in KINDS. found: the same, of words that only contexts
-    show, without those that overlap base spans. Null texts count as empty. Rows with the same doc_id and text
+    base: array<struct<start,kind,end>>, kind the place in KINDS. found: the same, of words and runs
+    of words that only contexts show, without those that overlap base spans or lie in a longer one. Null texts count as empty. Rows with the same doc_id and text
     give the same spans; no rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts(F.col("text"), F.col("base")).alias("cands"))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("bare", masked(F.col("text"), F.col("base")))
+    rows = rows.withColumn("rows", matches(F.col("bare"), RUN, F.col("bare").rlike(SEVERAL)))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts(F.col("text"), F.col("bare"), F.col("rows"), F.col("base")).alias("cands"))
     rows = stored(rows, "spans")
     new = discovered(rows).withColumnRenamed("kind", "_kind")
     spots = rows.select("doc_id", "text_hash", F.explode("cands").alias("c")).where("c.kind IS NULL").select("doc_id", "text_hash", "c.start", "c.end", "c.token")
     spots = spots.join(new, "token").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", F.col("_kind").alias("kind"), "end"))).alias("found"))
-    spots = spots.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "found")
+    whole = F.filter("found", lambda s: ~F.exists("found", lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
+    spots = spots.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), whole.alias("found"))
     out = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
     return out.select("doc_id", "text_hash", "base", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("found"))
 

@@ -260,6 +260,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "word0 please write user id: [email] today" and clean[50] == "go on please write user id: [email] today"
 
 
+@pytest.mark.parametrize("kind, base, unseen", [(3, "+1 (743) 555-{:04}", "(212) 555-0199"), (2, "4111 1111 1111 1111", "9999 8888 7777 6666")])
+def test_contexts_of_identifiers_with_spaces(spark, kind, base, unseen):
+    cards = ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "4012 8888 8888 1881")
+    seeds = [base.format(3824 + i) for i in range(20)] if kind == 3 else list(cards)
+    rows = [(i, f"word{i} please reach me at {t} before noon") for i, t in enumerate(seeds)] + [(50, f"go on please reach me at {unseen} before noon"), (51, "there were 1999 2000 and 2001 of them")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(frame).collect()}
+    at = rows[-2][1].index(unseen)
+    assert [tuple(s) for s in got[50].found] == [(at, kind, at + len(unseen))] and got[51].found == []
+    assert all([s.kind for s in got[i].base] == [kind] for i in range(len(seeds)))
+    assert {r.text for r in pii.redacted(frame).where("doc_id = 50").collect()} == {f"go on please reach me at [{pii.KINDS[kind]}] before noon"}
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs, block=16).collect()
     assert len(got) == docs.count()

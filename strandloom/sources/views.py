@@ -15,7 +15,7 @@ VIEWS = {
     "phenotypes": """SELECT 'G' || CAST(p_partkey AS STRING) AS phenotype_id, 'S' || CAST(n_nationkey AS STRING) AS sample_id, CAST(((p_partkey * 13 + 5) * (n_nationkey * n_nationkey + 11 * n_nationkey + 1)) % 1009 AS DOUBLE) / 100.0 AS value FROM {part} CROSS JOIN {nation}""",
     "counts": """SELECT 'G' || CAST(p_partkey AS STRING) AS gene_id, 'S' || CAST(n_nationkey AS STRING) AS sample_id, COALESCE(q.n, 0) AS n FROM {part} CROSS JOIN {nation} LEFT JOIN (SELECT l_partkey, l_orderkey % 25 AS s, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM {lineitem} GROUP BY l_partkey, l_orderkey % 25) q ON q.l_partkey = p_partkey AND q.s = n_nationkey""",
     "reads": """SELECT l_orderkey * 8 + l_linenumber AS read_id, 'S' || CAST(l_orderkey % 25 AS STRING) AS sample_id, 'chr' || CAST(l_partkey % 22 + 1 AS STRING) AS chrom, (l_partkey * 7919 + l_orderkey * 13) % 1000000 AS pos, (CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END) + (CASE WHEN l_linenumber = 7 THEN 1024 ELSE 0 END) + (CASE WHEN l_orderkey % 97 = 0 THEN 256 ELSE 0 END) AS flag, CASE l_linenumber % 5 WHEN 0 THEN '50M' WHEN 1 THEN '20M100N30M' WHEN 2 THEN '10S40M' WHEN 3 THEN '30M5D20M' ELSE '25M5I20M' END AS cigar FROM {lineitem}""",
-    "edges": """SELECT DISTINCT 'G' || CAST(a.l_partkey AS STRING) AS src, 'G' || CAST(b.l_partkey AS STRING) AS dst, 1.5 - CAST((a.l_partkey * 3 + b.l_partkey * 5) % 100 AS DOUBLE) / 100.0 AS cost FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey % 10 = 0""",
+    "edges": """SELECT DISTINCT 'G' || CAST(a.l_partkey AS STRING) AS src, 'G' || CAST(b.l_partkey AS STRING) AS dst, 1.5 - CAST((a.l_partkey * 3 + b.l_partkey * 5) % 100 AS DOUBLE) / 100.0 AS cost FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey""",
     "prizes": """SELECT 'G' || CAST(p_partkey AS STRING) AS name, p_retailprice / 1000.0 AS prize, CASE WHEN p_size % 2 = 0 THEN 'TF' ELSE 'protein' END AS type FROM {part} WHERE p_size > 40 UNION ALL SELECT 'X' || CAST(s_suppkey AS STRING), 1.0, 'protein' FROM {supplier} WHERE s_suppkey < 3 UNION ALL SELECT 'G' || CAST(p_partkey AS STRING), 0.5, 'protein' FROM {part} WHERE p_size > 48""",
     "pvals": """SELECT 'F' || CAST(o_orderkey AS STRING) AS phenotype_id, CASE WHEN o_orderkey % 5 = 0 THEN CAST((o_orderkey * 7919) % 1009 + 1 AS DOUBLE) / 1000000.0 ELSE CAST((o_orderkey * 7919) % 100003 + 1 AS DOUBLE) / 100004.0 END AS pval_beta, 1.0 + CAST(o_orderkey % 3 AS DOUBLE) / 10.0 AS beta_shape1, 5.0 + CAST(o_orderkey % 40 AS DOUBLE) AS beta_shape2 FROM {orders}""",
     "terms": """SELECT p_partkey AS term_id, 'term ' || CAST(p_partkey AS STRING) || ' activity' AS name, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 5) AS BIGINT) END AS parent_id FROM {part}""",

@@ -36,3 +36,13 @@ def test_query_without_sql_runs(spark, name):
     assert rows or name == "q25_significant"  # nothing need be significant
     p = [v for r in rows for k, v in r.asDict().items() if k.startswith("pval") and "threshold" not in k and v is not None]
     assert all(-1e-12 <= v <= 1 + 1e-12 for v in p)
+
+
+def test_edges_of_all_orders(spark):
+    from strandloom.sources.views import view
+
+    orders = {}
+    for order, part in duckdb.sql(f"SELECT l_orderkey, l_partkey FROM '{SF}/lineitem.parquet'").fetchall():
+        orders.setdefault(order, set()).add(part)
+    want = {(f"G{a}", f"G{b}") for parts in orders.values() for a in parts for b in parts if a < b}
+    assert {(r.src, r.dst) for r in view(spark, SF, "edges").collect()} == want

@@ -131,7 +131,7 @@ def interaction(genotypes, phenotypes, variants, genes, samples):
 
 @query("q11_permuted", "genotypes phenotypes variants genes", None)
 def permuted(genotypes, phenotypes, variants, genes):
-    return mp.permuted(genotypes, phenotypes, qtl.cis_pairs(variants, genes), 1000)
+    return mp.permuted(genotypes, phenotypes, qtl.cis_pairs(variants, genes), 10_000)
 
 
 @query("q21_qvalues", "pvals", f"SELECT phenotype_id, pval_beta, round(qval, 9) AS qval FROM {QVAL} v")
@@ -147,7 +147,7 @@ def thresholds(pvals):
 @query("q25_significant", "genotypes phenotypes variants genes", None)
 def significant(genotypes, phenotypes, variants, genes):
     pairs = qtl.cis_pairs(variants, genes)
-    limits = mp.thresholds(mp.permuted(genotypes, phenotypes, pairs, 1000).withColumnRenamed("pval_nominal", "min_pval"))
+    limits = mp.thresholds(mp.permuted(genotypes, phenotypes, pairs, 10_000).withColumnRenamed("pval_nominal", "min_pval"))
     return mp.significant(mp.with_pvalues(qtl.nominal(genotypes, phenotypes, pairs)), limits, 0.05)
 
 
@@ -175,12 +175,12 @@ def by_pairs(genotypes, phenotypes, variants, genes):
 @query("q12_grouped_leads", "genotypes phenotypes variants genes", None)
 def grouped_leads(genotypes, phenotypes, variants, genes):
     groups = genes.select(F.col("gene_id").alias("phenotype_id"), F.concat_ws(":", "chrom", F.floor(F.col("start_pos") / 20_000).cast("string")).alias("group_id"))
-    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), groups, permutations=1000)
+    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), groups, permutations=10_000)
 
 
 @query("q13_independent", "genotypes phenotypes variants genes samples", None)
 def independent(genotypes, phenotypes, variants, genes, samples):
-    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), covariates=mp.residualiser(samples, ["cov1"]), threshold=0.05, permutations=1000)
+    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), covariates=mp.residualiser(samples, ["cov1"]), threshold=0.05, permutations=10_000)
 
 
 @query("q17_trans_interaction", "genotypes phenotypes samples", None)
@@ -190,13 +190,13 @@ def trans_interaction(genotypes, phenotypes, samples):
 
 @query("q19_permutation_maxima", "genotypes samples variants", None)
 def permutation_maxima(genotypes, samples, variants):
-    return mp.permutation_maxima(genotypes, samples, variants, 1000)
+    return mp.permutation_maxima(genotypes, samples, variants, 10_000)
 
 
 @query("q20_with_permutations", "genotypes phenotypes samples variants genes", None)
 def with_permutations(genotypes, phenotypes, samples, variants, genes):
     found = qtl.trans_pairs(genotypes, phenotypes, variants, genes, 0.5).join(genes.select(F.col("gene_id").alias("phenotype_id"), "chrom"), "phenotype_id")
-    return mp.with_permutations(found, mp.permutation_maxima(genotypes, samples, variants, 1000))
+    return mp.with_permutations(found, mp.permutation_maxima(genotypes, samples, variants, 10_000))
 
 
 @query("q24_below_thresholds", "genotypes phenotypes variants genes pvals", None)

@@ -51,3 +51,11 @@ def test_modes_components_and_missing_calls(spark):
     calls = fm.read_vcf(lines).select("sample_id", fm.dosage(F.col("value")).alias("d")).collect()
     assert {r["sample_id"]: r["d"] for r in calls} == {"A": 1, "B": None}
     assert {r["value"] for r in fm.read_vcf(lines, "DS").collect()} == {"0.9", "."}
+
+
+def test_queries_draw_ten_thousand_permutations(spark):
+    from strandloom.catalog import QUERIES
+
+    rows = QUERIES["q13_independent"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(abs(r.pval_perm * 10_001 - round(r.pval_perm * 10_001)) < 1e-6 for r in rows)
+    assert QUERIES["q19_permutation_maxima"](spark, "/root/testdata/sf0.001").count() % 10_000 == 0

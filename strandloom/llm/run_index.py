@@ -15,20 +15,24 @@ from .common import per_batch, runs, stored
 
 LENGTH = 100  # of a repeated string
 GRAM = 24  # of an anchor
+PIECE = 500_000  # bytes hashed together; longer texts in pieces that share LENGTH - 1 bytes
+PLACE = 21  # bits of a place among the bytes hashed together
+KNOWN = 50_000  # anchors that a task remembers as repeated
+SIDE = LENGTH - GRAM + 1  # how far a string reaches beyond its anchor: less than this
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 BYTES = np.random.default_rng(24).integers(0, 2**64, 256, np.uint64)
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash): of every LENGTH-byte string the leftmost GRAM of least hash, each place once.
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, place, hash, first, end): of every LENGTH-byte string the leftmost GRAM of least hash, each place once.
 
-    Equal strings have their anchor at the same place within.
+    first and end bound the strings whose anchor lies there. Equal strings have their anchor at the same place
+    within, whatever lies around them: hashes are compared by their leading bits, as many for every call.
     """
-    none = np.zeros(0, np.int64)
     joined = np.frombuffer(b"".join(texts), np.uint8)
     n, window = len(joined), LENGTH - GRAM + 1
     if n < LENGTH:
-        return none, none, none
+        return (np.zeros(0, np.int64),) * 5
     h = BYTES[joined]
     kept = None
     with np.errstate(over="ignore"):
@@ -39,8 +43,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(ODD[5])
         h ^= h >> np.uint64(32)
-    bits = np.uint64(n.bit_length())
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    mask = np.uint64((1 << PLACE) - 1)
     least = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while width < window:
@@ -48,16 +51,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[:-step], least[step:])
         width += step
     starts = np.cumsum([0, *map(len, texts)])
-    at = (least & mask).astype(np.int64)
     inside = np.zeros(n + 1, np.int64)
-    size = np.diff(starts)
-    long = size >= LENGTH
+    long = np.diff(starts) >= LENGTH
     np.add.at(inside, starts[:-1][long], 1)
     np.add.at(inside, starts[1:][long] - LENGTH + 1, -1)
-    at = at[np.cumsum(inside[: len(at)]) > 0]
-    at = np.unique(at[np.append(True, at[1:] != at[:-1])]) if len(at) else at
+    window = np.flatnonzero(np.cumsum(inside[: len(least)]))
+    at = (least[window] & mask).astype(np.int64)
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    at, first, end = at[new], window[new], window[np.append(new[1:], len(at))[: len(new)] - 1] + LENGTH
     text = np.searchsorted(starts, at, side="right") - 1
-    return text, at - starts[text], h[at].view(np.int64)
+    return text, at - starts[text], h[at].view(np.int64), first - starts[text], end - starts[text]
 
 
 class RunIndex:
@@ -66,21 +69,22 @@ class RunIndex:
     def __init__(self, texts: list[bytes]):
         self.size = np.array([len(t) for t in texts])
         self.starts = np.cumsum(np.append(0, self.size[:-1] + 1))
-        body = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8).astype(np.int64) + 1
-        body[body == 256] = 0  # ends; UTF-8 has no byte 255
-        self.text, n = body, len(body)
-        eight = np.zeros(n, np.uint64)
-        for k in range(8):  # suffixes by their first 8, 16, 32, 64, then LENGTH characters; ends are least
-            eight[: n - k] |= np.minimum(body[k:], 255).astype(np.uint64) << np.uint64(8 * (7 - k))
-        rank, order = self.numbered(eight)
-        for step in (8, 16, 32):
-            rank, order = self.joined(rank, rank, step)
-        self.groups, order = self.joined(rank, rank, LENGTH - 64)  # equal for equal LENGTH bytes
+        self.text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it ends texts, as 0
+        n, width = len(self.text), 5
+        body, key = np.append(self.text, np.zeros(width, np.uint8)).astype(np.uint64), np.zeros(n, np.uint64)
+        for k in range(width):  # suffixes by their first 5, 10, 20, 40, 80, then LENGTH characters; ends are least
+            key = key << np.uint64(8) | body[k : k + n]
+        rank, order = self.numbered(key)
+        while 2 * width <= LENGTH:
+            rank, order = self.joined(rank, width)
+            width *= 2
+        rank, order = self.joined(rank, LENGTH - width)
+        self.groups = rank.astype(np.int64)  # equal for equal LENGTH bytes
         self.group = self.groups[order]
-        bwt = body[order - 1]
+        bwt = self.text[order - 1]
         new = np.append(True, bwt[1:] != bwt[:-1])
         self.run = np.flatnonzero(new)  # first row of each run
-        self.head = bwt[self.run]
+        self.head = bwt[self.run].astype(np.int64)
         last = np.append(self.run[1:], n) - 1
         self.sample = np.stack([order[self.run], order[last]])  # where the runs' first and last rows lie
         self.row = np.stack([self.run, last])
@@ -93,20 +97,24 @@ class RunIndex:
 
     @staticmethod
     def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Dense ranks of the keys, and the places in their order."""
-        order = np.argsort(key)
-        key = key[order]
-        out = np.empty(len(key), np.int64)
+        """Dense ranks of the keys, and the places in their order; equal keys by place. Keys that leave room take the place along."""
+        bits = len(key).bit_length()
+        if int(key.max()).bit_length() + bits <= 64:
+            packed = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+            order, key = (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        out = np.empty(len(key), np.uint64)
         out[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
         return out, order
 
     @classmethod
-    def joined(cls, a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of the pairs of a here and b `step` on, and their order."""
-        n = len(a)
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - step)] = b[step:] + 1
-        return cls.numbered(a * (int(b.max()) + 2) + later)
+    def joined(cls, rank: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs of the rank here and the one `step` on, and their order."""
+        later = np.zeros(len(rank), np.uint64)
+        later[: max(0, len(rank) - step)] = rank[step:] + np.uint64(1)
+        return cls.numbered(rank * (rank.max() + np.uint64(2)) + later)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many characters agree from the places a and b on, up to `most` or 128."""
@@ -137,7 +145,7 @@ class RunIndex:
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, side="left"))
             at = start[:live] + size[:live] - 1 - t
-            c = self.text[at]
+            c = self.text[at].astype(np.int64)
             run = np.searchsorted(self.run, row[:live], side="right") - 1
             off = np.flatnonzero(self.head[run] != c)
             if len(off):
@@ -178,8 +186,8 @@ def repeats(segments: list[bytes], order: np.ndarray) -> Iterator[tuple[int, int
 
 
 def text_id(b: bytes) -> int:
-    """The leading 60 bits of the text's SHA-256."""
-    return int(hashlib.sha256(b).hexdigest()[:15], 16)
+    """The leading 64 bits of the text's SHA-256. Texts that agree in them are still told apart by their least doc_id."""
+    return int.from_bytes(hashlib.sha256(b).digest()[:8], "big", signed=True)
 
 
 def table_of(columns: dict[str, tuple]) -> pa.RecordBatch:
@@ -191,38 +199,63 @@ SEGMENT = {"key": pa.int64(), "core": pa.int32(), "size": pa.int32(), "sid": pa.
 SCHEMA = "key long, core int, size int, sid long, segment binary, long int, doc long, tid long, at int, kinds int"
 
 
+def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, start, bytes) of about PIECE bytes in all."""
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+    for k, b in enumerate(texts):
+        for lo in range(0, max(1, len(b) - LENGTH + 1), PIECE):
+            part = b[lo : lo + PIECE + LENGTH - 1]
+            if held and total + len(part) > PIECE:
+                yield held
+                held, total = [], 0
+            held.append((k, lo, part))
+            total += len(part)
+    if held:
+        yield held
+
+
 def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, tid, place, sure): the anchors of the texts. Of an anchor that a few texts read together repeat, only
-    the first place is sent to be matched with the rest; all its places are sure already."""
+    """(gram, tid, spot): the anchors of the texts; spot is the place, how far its strings reach to the left and to the
+    right, and whether it is sure that the anchor occurs twice.
+
+    Of an anchor that the texts read together repeat, only the first place is sent to be matched with the rest; all
+    its places are sure already. Anchors that this task has seen repeated lately aren't sent again.
+    """
+    known = np.zeros(0, np.int64)
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
-        lo = 0
-        while lo < len(texts):
-            hi, total = lo, 0
-            while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= 500_000):
-                total += len(texts[hi])
-                hi += 1
-            text, at, h = anchors(texts[lo:hi])
-            tid = np.array([text_id(b) for b in texts[lo:hi]], np.int64)[text]
-            order = np.lexsort((at, tid, h))
-            h, tid, at = h[order], tid[order], at[order]
-            if len(h):
-                new = np.append(True, (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))
-                h, tid, at = h[new], tid[new], at[new]
-                head = np.append(True, h[1:] != h[:-1])
-                count = np.diff(np.append(np.flatnonzero(head), len(h)))
-                sure = np.repeat(count > 1, count)
-                yield table_of({"gram": (pa.int64(), np.append(h[head], tid[sure])), "tid": (pa.int64(), np.append(tid[head], tid[sure])), "place": (pa.int32(), np.append(at[head], at[sure])), "sure": (pa.bool_(), np.append(np.zeros(head.sum(), bool), np.ones(sure.sum(), bool)))})
-            lo = hi
+        ids = np.array([text_id(b) for b in texts], np.int64)
+        for held in pieces(texts):
+            text, at, h, first, end = anchors([b for _, _, b in held])
+            if not len(h):
+                continue
+            which, start = np.array([k for k, _, _ in held])[text], np.array([lo for _, lo, _ in held])[text]
+            tid = ids[which]
+            spot = (at + start) << 14 | ((at - first) * SIDE + end - at - GRAM) << 1
+            order = np.lexsort((spot, tid, h))
+            h, tid, spot = h[order], tid[order], spot[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (spot[1:] != spot[:-1]))
+            h, tid, spot = h[new], tid[new], spot[new]
+            head = np.append(True, h[1:] != h[:-1])
+            heads = np.flatnonzero(head)
+            count = np.diff(np.append(heads, len(h)))
+            near = np.minimum(np.searchsorted(known, h[heads]), max(0, len(known) - 1))
+            old = known[near] == h[heads] if len(known) else np.zeros(len(heads), bool)
+            sure = np.repeat((count > 1) | old, count)
+            to_match = heads[~old]
+            yield table_of({"gram": (pa.int64(), np.append(h[to_match], tid[sure])), "tid": (pa.int64(), np.append(tid[to_match], tid[sure])), "spot": (pa.int64(), np.append(spot[to_match], spot[sure] | 1))})
+            fresh = h[heads[(count > 1) & ~old]]
+            known = np.union1d(known if len(known) < KNOWN else known[:0], fresh)
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, place) of sure anchors and of those that two places share; sorted by gram, tid, place. Holds one row."""
+    """(tid, spot) of sure anchors and of those that two places share; sorted by gram, tid, spot. Holds one row."""
     held: tuple[np.ndarray, ...] | None = None  # the last row, and whether its anchor has been shared
     shared = False
     for batch in batches:
-        sure = batch.column("sure").to_numpy(zero_copy_only=False)
-        g, t, p = (batch.column(c).to_numpy() for c in ("gram", "tid", "place"))
+        g, t, p = (batch.column(c).to_numpy() for c in ("gram", "tid", "spot"))
+        sure = p & 1 > 0
         out = [(t[sure], p[sure])]
         g, t, p = g[~sure], t[~sure], p[~sure]
         told = 0
@@ -241,47 +274,55 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit[:told] = False
             out.append((t[hit], p[hit]))
             held, shared = (g[-1:], t[-1:], p[-1:]), bool(many[-1])
-        yield table_of({"tid": (pa.int64(), np.concatenate([x for x, _ in out])), "place": (pa.int32(), np.concatenate([x for _, x in out]))})
-
-
-def firsts(rows: dict[tuple[int, int], tuple], marks: list[tuple], row: tuple) -> None:
-    """Keep the earliest row of each (key, sid); the others are repeats throughout and become marks."""
-    name = row[0], row[3]
-    old = rows.get(name)
-    if old is None:
-        rows[name] = row
-        return
-    early, late = (row, old) if row[6:9] < old[6:9] else (old, row)
-    rows[name] = early
-    if late[5] >= LENGTH and late[6:9] != early[6:9]:
-        marks.append(late)
-
-
-def sent(rows: dict[tuple[int, int], tuple], marks: list[tuple]) -> pa.RecordBatch:
-    """Segments, kinds 0, and marks, kinds -1; marks are spread by their text."""
-    all_rows = [(*r, 0) for r in rows.values()] + [(m[7], *m[1:4], None, *m[5:], -1) for m in marks]
-    columns = zip(*all_rows) if all_rows else [()] * len(SEGMENT)
+        yield table_of({"tid": (pa.int64(), np.concatenate([x for x, _ in out])), "spot": (pa.int64(), np.concatenate([x for _, x in out]) | 1)})
+
+
+def settled(rows: list[tuple]) -> pa.RecordBatch:
+    """Of rows (key, core, size, sid, long, doc, tid, at, segment), each an array: the earliest of each (key, sid), kinds 0;
+    the others repeat it throughout and become marks, kinds -1, spread by their text."""
+    *numbers, segment = zip(*rows)
+    key, core, size, sid, long, doc, tid, at = (np.concatenate(x) for x in numbers)
+    order = np.lexsort((at, tid, doc, sid, key))
+    key, core, size, sid, long, doc, tid, at = (x[order] for x in (key, core, size, sid, long, doc, tid, at))
+    same = np.append(False, (key[1:] == key[:-1]) & (sid[1:] == sid[:-1]))
+    twin = same & np.append(False, (doc[1:] == doc[:-1]) & (tid[1:] == tid[:-1]) & (at[1:] == at[:-1]))
+    keep = ~same | (~twin & (long >= LENGTH))
+    values = [b for part in segment if part is not None for b in part]
+    bodies = [None if s else values[k] for k, s in zip(order[keep].tolist(), same[keep].tolist())] if values else pa.nulls(int(keep.sum()), pa.binary())
+    columns = (np.where(same, tid, key)[keep], core[keep], size[keep], sid[keep], bodies, long[keep], doc[keep], tid[keep], at[keep], np.where(same, -1, 0)[keep])
     return table_of({n: (t, c) for (n, t), c in zip(SEGMENT.items(), columns)})
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The surroundings of each anchor, without their bytes: what every LENGTH-byte string with it may reach."""
+    """The surroundings of each anchor, without their bytes: what the strings that have it reach."""
     import xxhash
     import zstandard
 
     unpack, h = zstandard.ZstdDecompressor(), xxhash.xxh64_intdigest
+    rows, n = [], 0
     for batch in batches:
-        rows, marks = {}, []
-        for tid, doc, z, places in zip(*(batch.column(c).to_pylist() for c in ("tid", "doc", "z", "places"))):
-            b = unpack.decompress(z)
-            for p in places:
-                at = max(0, p + GRAM - LENGTH)
-                s = b[at : p + LENGTH]
-                firsts(rows, marks, (h(b[p : p + GRAM]) - 2**63, p - at, GRAM, h(s, p - at) - 2**63, None, len(s), doc, tid, at))
-            if len(rows) + len(marks) > 50_000:
-                yield sent(rows, marks)
-                rows, marks = {}, []
-        yield sent(rows, marks)
+        for lo in range(0, batch.num_rows, 100):
+            part = batch.slice(lo, 100)
+            texts = [unpack.decompress(z) for z in part.column("z").to_pylist()]
+            own = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(part.column("spots")).to_numpy(zero_copy_only=False))
+            spot = part.column("spots").flatten().to_numpy()
+            place, reach = spot >> 14, spot >> 1 & 8191
+            at, end = place - reach // SIDE, place + GRAM + reach % SIDE
+            fits = end <= np.array([len(b) for b in texts])[own]  # not so only if texts agree in their tid
+            own, place, at, end = own[fits], place[fits], at[fits], end[fits]
+            key, sid = [], []
+            for k, p, a, e in zip(own.tolist(), place.tolist(), at.tolist(), end.tolist()):
+                b = texts[k]
+                key.append(h(b[p : p + GRAM]))
+                sid.append(h(b[a:e], p - a))
+            doc, tid = (part.column(c).to_numpy()[own] for c in ("doc", "tid"))
+            rows.append((np.array(key, np.uint64).view(np.int64), place - at, np.full(len(own), GRAM), np.array(sid, np.uint64).view(np.int64), end - at, doc, tid, at, None))
+            n += len(own)
+            if n > 50_000:
+                yield settled(rows)
+                rows, n = [], 0
+    if n:
+        yield settled(rows)
 
 
 def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +331,16 @@ def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     h = xxhash.xxh64_intdigest
     for batch in batches:
-        rows, marks = {}, []
+        rows, bodies = [], []
         for key, core, size, s, doc, tid, at in zip(*(batch.column(c).to_pylist() for c in ("key", "core", "size", "segment", "doc", "tid", "at"))):
             more = (LENGTH - size + 1) // 2
             for side, a, b in ((0, core - more, core + size), (1, core, core + size + more)):
                 lo, hi = max(0, b - LENGTH), min(len(s), a + LENGTH)
                 if a >= 0 and b <= len(s) and hi - lo >= LENGTH:
-                    t = s[lo:hi]
-                    firsts(rows, marks, (h(s[a:b], (key + 2**63) ^ side) - 2**63, a - lo, b - a, h(t, a - lo) - 2**63, t, len(t), doc, tid, at + lo))
-        yield sent(rows, marks)
+                    bodies.append(s[lo:hi])
+                    rows.append((h(s[a:b], (key + 2**63) ^ side) - 2**63, a - lo, b - a, h(bodies[-1], a - lo) - 2**63, hi - lo, doc, tid, at + lo))
+        if rows:
+            yield settled([(*(np.array(x, np.int64) for x in zip(*rows)), bodies)])
 
 
 def told_apart(limit: int):
@@ -362,25 +404,35 @@ def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
-        for z, doc, tid, some in zip(*(batch.column(c).to_pylist() for c in ("z", "doc", "tid", "some"))):
-            b = unpack.decompress(z)
-            out += [(x["key"], x["core"], x["size"], x["sid"], b[x["at"] : x["at"] + x["long"]], x["long"], doc, tid, x["at"], x["kinds"]) for x in some]
-        if out:
-            yield table_of({n: (t, c) for (n, t), c in zip(SEGMENT.items(), zip(*out))})
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            some = part.column("some")
+            own = np.repeat(np.arange(len(some)), pa.compute.list_value_length(some).to_numpy(zero_copy_only=False))
+            flat = some.flatten()
+            texts = [unpack.decompress(z) for z in part.column("z").to_pylist()]
+            cut = [texts[k][a : a + n] for k, a, n in zip(own.tolist(), flat.field("at").to_pylist(), flat.field("long").to_pylist())]
+            given = {"segment": pa.array(cut, pa.binary()), "doc": part.column("doc").take(pa.array(own)), "tid": part.column("tid").take(pa.array(own))}
+            yield pa.RecordBatch.from_arrays([given[n] if n in given else flat.field(n).cast(t) for n, t in SEGMENT.items()], names=list(SEGMENT))
 
 
 def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, a, b): marks from run-length indexes over the segments of whole keys."""
-    for table in runs(batches, ["key"], 6000):
-        segments = table.column("segment").to_pylist()
-        docs, tids, at = (table.column(c).to_numpy() for c in ("doc", "tid", "at"))
-        by = np.lexsort((tids, docs))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.cumsum(np.append(False, (docs[by][1:] != docs[by][:-1]) | (tids[by][1:] != tids[by][:-1])))
-        marks = [(tids[k], at[k] + a, at[k] + b) for k, a, b in repeats(segments, np.stack([rank, at.astype(np.int64)], 1))]
-        if marks:
-            yield table_of({n: (pa.int64(), c) for n, c in zip(("tid", "a", "b"), zip(*marks))})
+    """(tid, doc, a, b): marks from run-length indexes over the segments of whole keys, some 3000 segments each."""
+    for table in runs(batches, ["key"], 3000):
+        key = table.column("key").to_numpy()
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cuts = [0]
+        for end in np.append(heads[1:], len(key)).tolist():
+            if end - cuts[-1] >= 3000 or end == len(key):
+                cuts.append(end)
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = table.slice(lo, hi - lo)
+            docs, tids, at = (part.column(c).to_numpy().astype(np.int64) for c in ("doc", "tid", "at"))
+            by = np.lexsort((tids, docs))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.cumsum(np.append(False, (docs[by][1:] != docs[by][:-1]) | (tids[by][1:] != tids[by][:-1])))
+            marks = [(tids[k], docs[k], at[k] + a, at[k] + b) for k, a, b in repeats(part.column("segment").to_pylist(), np.stack([rank, at], 1))]
+            if marks:
+                yield table_of({n: (pa.int64(), c) for n, c in zip(("tid", "doc", "a", "b"), zip(*marks))})
 
 
 def shrunk(batch: pa.RecordBatch) -> dict:
@@ -388,7 +440,7 @@ def shrunk(batch: pa.RecordBatch) -> dict:
 
     pack = zstandard.ZstdCompressor(level=1)
     texts = [t.encode() for t in batch.column("text").to_pylist()]
-    return {"tid": [text_id(b) for b in texts], "doc": batch.column("doc"), "z": [pack.compress(b) for b in texts]}
+    return {"tid": [text_id(b) for b in texts], "sha": [hashlib.sha256(b).digest() for b in texts], "doc": batch.column("doc"), "z": [pack.compress(b) for b in texts]}
 
 
 def kept(batch: pa.RecordBatch) -> dict:
@@ -406,7 +458,7 @@ def kept(batch: pa.RecordBatch) -> dict:
         own = b"".join(left) + text[end:]
         for name, v in zip(out, (len(text) - len(own), spans, hashlib.sha256(own).hexdigest())):
             out[name].append(v)
-    return {"tid": batch.column("tid")} | out
+    return {"tid": batch.column("tid"), "doc": batch.column("doc")} | out
 
 
 def removed(documents: DataFrame, limit: int = 4096) -> DataFrame:
@@ -418,38 +470,42 @@ def removed(documents: DataFrame, limit: int = 4096) -> DataFrame:
     matching statistics mark what an earlier one has. An anchor with more than `limit` different segments is
     lengthened to the left and to the right, which every LENGTH-byte string survives on one side, until few are
     left or the anchor is the whole string. What repeats within a batch is gathered there, before any shuffle.
-    Null text: empty. A missing doc_id counts as the smallest; equal rows get equal results; no rows give no rows.
+    Equal texts are one, with the smallest doc_id; they are told apart by their whole SHA-256.
+    Null text: empty. A missing doc_id counts as the smallest; equal rows get equal results; other columns do no
+    harm; no rows give no rows. Texts of any length are read in pieces.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc")
     whole = documents.select(doc, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    spots = whole.select("text").mapInArrow(grams, "gram long, tid long, place int, sure boolean")
-    spots = spots.repartition("gram").sortWithinPartitions("gram", "tid", "place").mapInArrow(repeated, "tid long, place int")
-    spots = spots.groupBy("tid").agg(F.collect_set("place").alias("places"))
-    texts = per_batch(whole, shrunk, "tid long, doc long, z binary").groupBy("tid").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
-    found = stored(texts.join(spots, "tid"), "found")
+    spots = whole.select("text").mapInArrow(grams, "gram long, tid long, spot long")
+    spots = spots.repartition("gram").sortWithinPartitions("gram", "tid", "spot").mapInArrow(repeated, "tid long, spot long")
+    spots = spots.groupBy("tid").agg(F.collect_set("spot").alias("spots"))
+    texts = per_batch(whole, shrunk, "tid long, sha binary, doc long, z binary").groupBy("tid", "sha").agg(F.min("doc").alias("doc"), F.first("z").alias("z"))
+    found = stored(texts.drop("sha").join(spots, "tid"), "found")
     level, marks, size = found.mapInArrow(cut_out, SCHEMA), None, GRAM
     while True:
         order = ("key", "sid", "doc", "tid", "at")
         apart = stored(level.repartition("key").sortWithinPartitions(*order).mapInArrow(told_apart(limit), SCHEMA), "apart")
-        again = apart.where("kinds = -1").select("tid", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("long")).cast("long").alias("b"))
+        again = apart.where("kinds = -1").select("tid", "doc", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("long")).cast("long").alias("b"))
         apart = apart.where("kinds > 1")
         if size == GRAM:
-            some = apart.groupBy("tid").agg(F.collect_list(F.struct("key", "core", "size", "sid", "long", "at", "kinds")).alias("some"))
-            apart = stored(found.select("tid", "doc", "z").join(some, "tid").mapInArrow(with_bytes, SCHEMA), "segments")
+            some = apart.groupBy("tid", "doc").agg(F.collect_list(F.struct("key", "core", "size", "sid", "long", "at", "kinds")).alias("some"))
+            apart = stored(found.select("tid", "doc", "z").join(some, ["tid", "doc"]).mapInArrow(with_bytes, SCHEMA), "segments")
         few = apart.where(F.col("kinds") <= limit).select("key", "segment", "doc", "tid", "at")
-        marked = again.union(few.repartition("key").sortWithinPartitions("key").mapInArrow(indexed, "tid long, a long, b long"))
+        marked = again.union(few.repartition("key").sortWithinPartitions("key").mapInArrow(indexed, "tid long, doc long, a long, b long"))
         marks = marked if marks is None else marks.union(marked)
         hot = apart.where(F.col("kinds") > limit)
         if size >= LENGTH or hot.isEmpty():
             break
         level = hot.mapInArrow(extend, SCHEMA)
         size += (LENGTH - size + 1) // 2
-    per_text = marks.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("m")).select("tid", "m.a", "m.b")
-    result = per_batch(found.select("tid", "z").join(per_text, "tid"), kept, "tid long, n_removed long, n_spans long, kept string")
+    per_text = marks.groupBy("tid", "doc").agg(F.collect_set(F.struct("a", "b")).alias("m")).select("tid", "doc", "m.a", "m.b")
+    result = per_batch(found.select("tid", "doc", "z").join(per_text, ["tid", "doc"]), kept, "tid long, doc long, n_removed long, n_spans long, kept string")
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    rows = whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")).withColumn("tid", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    first = rows.groupBy("tid").agg(F.min("doc").alias("first")).join(result, "tid", "left").withColumnRenamed("tid", "_t")
-    out = rows.join(first, F.col("tid") == F.col("_t"))
+    rows = whole.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"))
+    first = rows.groupBy("sha").agg(F.min("doc").alias("first")).withColumn("tid", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
+    result = result.withColumnsRenamed({"tid": "_t", "doc": "_d"})
+    first = first.join(result, (F.col("tid") == F.col("_t")) & (F.col("first") == F.col("_d")), "left").withColumnRenamed("sha", "_s")
+    out = rows.join(first, F.col("sha") == F.col("_s"))
     copy = (F.col("doc") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return out.select(
         F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +25,78 @@ SEVERAL = rf"{CANDIDATE}\x20++{WORD}"
 RUN = rf"(?<!\S){WORD}(?:\x20++{WORD})++"
 
 
+BLOCK = 512  # code points that are read at once around a place
+BEFORE, AFTER = 60, 30  # code points around a candidate that contexts are taken from
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The values of an array joined from the first to each (sums, maxima), in steps of 1, 2, 4, ..."""
+
+    def step(acc: Column, by: Column) -> Column:
+        return F.concat(F.slice(acc, 1, by), F.zip_with(F.slice(acc, by + 1, F.size(acc)), F.slice(acc, 1, F.size(acc) - by), join))
+
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda by: by < F.size(values))
+    return F.aggregate(steps, values, step)
+
+
+def larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
 def matches(text: Column, pattern: str, when: Column) -> Column:
-    """array<struct<start,end,match,before,after>> of the leftmost non-overlapping matches, in code points.
+    """array<struct<start,end,match,tied>> of the leftmost non-overlapping matches, in code points.
 
-    The text between the matches comes from splitting; the lengths add up to the places.
+    tied: whether only spaces lie between the match and one beside it. The text between the matches comes from
+    splitting; the lengths add up to the places.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    item = "struct<start:int,end:int,match:string,before:string,after:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,tied:boolean>>")
+
+    def placed(found: Column, ends: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            end = F.get(ends, i)
+            tied = ((i > 0) & F.get(found["gap"], i).rlike("^\\x20+$")) | ((i + 1 < F.size(ends)) & F.get(found["gap"], i + 1).rlike("^\\x20+$"))
+            return F.struct((end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("match"), tied.alias("tied"))
+
+        return F.transform(found["hit"], one)
+
+    def of(found: Column) -> Column:
+        lengths = F.zip_with(found["hit"], F.slice(found["gap"], 1, F.size(found["hit"])), lambda h, g: F.char_length(h) + F.char_length(g))
+        return F.when(F.size(found["hit"]) > 0, let(running(lengths, lambda x, y: x + y), lambda ends: placed(found, ends))).otherwise(none)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.split(text, pattern, -1).alias("gap"))
+    return F.when(when, let(both, of)).otherwise(none)
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("match"), F.right(pair["gap"], F.lit(60)).alias("before"), F.left(pair["next"], F.lit(30)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    n = F.size(hits)
-    pairs = F.zip_with(F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, n).alias("gap")), F.slice(gaps, 2, n), lambda p, g: F.struct(p["hit"].alias("hit"), p["gap"].alias("gap"), g.alias("next")))
-    return F.when(when, F.aggregate(pairs, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{item}>"))
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The text of blocks() from start to end; its cost is that of the piece, wherever it lies."""
+    a, b = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    first = F.substring(F.get(parts, a), (start % BLOCK + 1).cast("int"), F.least(end - start, F.lit(BLOCK)))
+    more = F.concat(first, F.array_join(F.slice(parts, a + 2, b - a - 1), ""), F.left(F.get(parts, b), end - b * BLOCK))
+    return F.when(end <= start, "").when(a == b, first).otherwise(more)
+
+
+def spliced(text: Column, spans: Column, name: Callable[[Column, Column], Column]) -> Column:
+    """The text with name(span, end of those before it) in place of each of the spans, which are sorted by start."""
+
+    def of(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            last = F.coalesce(F.get(x["ends"], i - 1), F.lit(0))
+            return F.concat(cut(x["parts"], last, s["start"]), name(s, last))
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), cut(x["parts"], F.element_at(x["ends"], -1), x["n"]))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), larger)
+    whole = F.struct(blocks(text).alias("parts"), ends.alias("ends"), F.char_length(text).alias("n"))
+    return F.when(F.size(spans) > 0, let(whole, of)).otherwise(text)
 
 
 def luhn(digits: Column) -> Column:
@@ -53,7 +109,7 @@ def luhn(digits: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start,kind,end>> in order; kind is the place in KINDS."""
+    """array<struct<start,kind,end,token>> in order; kind is the place in KINDS, token the span's text."""
 
     def digits(m: Column) -> Column:
         return F.regexp_replace(m, "[^0-9]", "")
@@ -73,52 +129,48 @@ def base_spans(text: Column) -> Column:
     ]
 
     def of_kind(k: int) -> Column:
-        return F.transform(found[k], lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
+        return F.transform(found[k], lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["match"].alias("token")))
 
     return F.array_sort(F.concat(*map(of_kind, range(len(KINDS)))))
 
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with MASK in place of every character of the spans."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), end - start))
-        return F.struct(end.alias("at"), more.alias("out"))
+    return spliced(text, spans, lambda s, last: F.repeat(F.lit(MASK), F.greatest(s["end"] - F.greatest(s["start"], last), F.lit(0))))
 
-    rest = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
 
-
-def contexts(text: Column, bare: Column, rows: Column, spans: Column) -> Column:
+def contexts(bare: Column, parts: Column, to: Column, rows: Column, spans: Column) -> Column:
     """array<struct<start,end,token,kind,patterns>>: the base spans, each as one, and what else may be an identifier:
     words that hold a digit or @, and runs of them, at least six characters; with the contexts around them.
-    kind is null where it is no base span. bare: as of masked(). rows: the runs, a column
-    of its own as every word looks at it. A word of a run leaves the contexts to the run."""
+    kind is null where it is no base span. bare: as of masked(), parts its blocks, to its length. rows: the runs. A word of a run
+    leaves the contexts to the run. Context words lie whole within BEFORE and AFTER code points; one that does not
+    makes no pattern."""
 
     def words(x: Column) -> Column:
         return F.filter(F.split(F.regexp_replace(F.lower(x), f"{MASK}+", "#"), r"\s+"), lambda w: w != "")
 
     def one(start: Column, end: Column, last: Column, token: Column, kind: Column, alone: Column) -> Column:
-        before = words(F.regexp_replace(F.substring(bare, F.greatest(start - 59, F.lit(1)), F.least(start, F.lit(60))), r"\S+$", ""))
-        left = F.when(F.size(before) >= 2, F.slice(before, -2, 2))
-        right = F.get(words(F.regexp_replace(F.substring(bare, last + 1, F.lit(30)), r"^\S+", "")), F.lit(0))
-        patterns = F.filter(F.array(F.concat(F.lit("L:"), F.array_join(left, " ")), F.concat(F.lit("B:"), F.get(left, F.lit(1)), F.lit(" _ "), right)), lambda p: p.isNotNull())
+        before = F.regexp_replace(cut(parts, F.greatest(start - BEFORE, F.lit(0)), start), r"\S+$", "")
+        after = F.regexp_replace(cut(parts, last, F.least(last + AFTER, to)), r"^\S+", "")
+        before = words(F.when(start > BEFORE, F.regexp_replace(before, r"^\S+", "")).otherwise(before))
+        after = words(F.when(last + AFTER < to, F.regexp_replace(after, r"\S+$", "")).otherwise(after))
+
+        def of(x: Column) -> Column:
+            left, right = F.when(F.size(x["before"]) >= 2, F.slice(x["before"], -2, 2)), F.get(x["after"], F.lit(0))
+            found = F.array(F.concat(F.lit("L:"), F.array_join(left, " ")), F.concat(F.lit("B:"), F.get(left, F.lit(1)), F.lit(" _ "), right))
+            return F.filter(found, lambda p: p.isNotNull())
+
+        patterns = let(F.struct(before.alias("before"), after.alias("after")), of)
         patterns = F.when(alone, patterns).otherwise(F.array().cast("array<string>"))
         return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), kind.alias("kind"), patterns.alias("patterns"))
 
-    def unseen(found: Column, inside: Column | None) -> Column:
-        def of(m: Column) -> Column:
-            token = F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "")
-            alone = F.lit(True) if inside is None else ~F.exists(inside, lambda r: (r["start"] <= m["start"]) & (r["end"] >= m["end"]))
-            return one(m["start"], m["start"] + F.char_length(token), m["end"], token, F.lit(None).cast("int"), alone)
-
-        long = F.filter(found, lambda m: F.char_length(F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "")) >= 6)
-        return F.transform(long, of)
+    def unseen(found: Column, alone: Callable[[Column], Column]) -> Column:
+        trimmed = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("last"), m["tied"].alias("tied"), F.regexp_replace(m["match"], r"[^\p{L}\p{N}]+$", "").alias("token")))
+        long = F.filter(trimmed, lambda m: F.char_length(m["token"]) >= 6)
+        return F.transform(long, lambda m: one(m["start"], m["start"] + F.char_length(m["token"]), m["last"], m["token"], F.lit(None).cast("int"), alone(m)))
 
-    base = F.transform(spans, lambda s: one(s["start"], s["end"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["kind"], F.lit(True)))
-    return F.concat(base, unseen(matches(bare, CANDIDATE, bare.rlike("[0-9@]")), rows), unseen(rows, None))
+    base = F.transform(spans, lambda s: one(s["start"], s["end"], s["end"], s["token"], s["kind"], F.lit(True)))
+    return F.concat(base, unseen(matches(bare, CANDIDATE, bare.rlike("[0-9@]")), lambda m: ~m["tied"]), unseen(rows, lambda m: F.lit(True)))
 
 
 def discovered(rows: DataFrame, rounds: int = 2, least: float = 0.8, seeds: int = 3) -> DataFrame:
@@ -152,15 +204,19 @@ def spans(documents: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("bare", masked(F.col("text"), F.col("base")))
-    rows = rows.withColumn("rows", matches(F.col("bare"), RUN, F.col("bare").rlike(SEVERAL)))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", contexts(F.col("text"), F.col("bare"), F.col("rows"), F.col("base")).alias("cands"))
+    rows = rows.withColumn("hits", base_spans(F.col("text"))).withColumn("bare", masked(F.col("text"), F.col("hits")))
+    rows = rows.withColumn("parts", F.when(F.col("bare").rlike(f"[0-9@{MASK}]"), blocks(F.col("bare"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("to", F.char_length("bare")).withColumn("rows", matches(F.col("bare"), RUN, F.col("bare").rlike(SEVERAL)))
+    base = F.transform("hits", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), base.alias("base"), contexts(F.col("bare"), F.col("parts"), F.col("to"), F.col("rows"), F.col("hits")).alias("cands"))
     rows = stored(rows, "spans")
     new = discovered(rows).withColumnRenamed("kind", "_kind")
     spots = rows.select("doc_id", "text_hash", F.explode("cands").alias("c")).where("c.kind IS NULL").select("doc_id", "text_hash", "c.start", "c.end", "c.token")
-    spots = spots.join(new, "token").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", F.col("_kind").alias("kind"), "end"))).alias("found"))
-    whole = F.filter("found", lambda s: ~F.exists("found", lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
-    spots = spots.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), whole.alias("found"))
+    spots = spots.join(new, "token").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("less"), F.col("_kind").alias("kind"), "end"))).alias("found"))
+    # sorted by start, longer ones first: a span that ends within the reach of those before it lies in one of them
+    reach = running(F.transform("found", lambda s: s["end"]), larger)
+    own = let(F.struct("found", reach.alias("reach")), lambda x: F.filter(x["found"], lambda s, i: (i == 0) | (F.get(x["reach"], i - 1) < s["end"])))
+    spots = spots.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("found"))
     out = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
     return out.select("doc_id", "text_hash", "base", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("found"))
 
@@ -181,13 +237,6 @@ def redacted(documents: DataFrame) -> DataFrame:
     found = spans(documents).where("size(base) + size(found) > 0").dropDuplicates(["doc_id", "text_hash"])
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.array_sort(F.concat("base", "found")).alias("_spans"))
     rows = documents.join(found, documents["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_h")), "left")
-    name = F.array(*map(F.lit, KINDS))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(rows["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.element_at(name, s["kind"] + 1), F.lit("]"))
-        out = F.when(s["start"] >= acc["at"], more).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cut = F.aggregate("_spans", zero, add, lambda acc: F.concat(acc["out"], F.substring(rows["text"], acc["at"] + 1, F.char_length(rows["text"]))))
-    return rows.select(*(F.when(F.col("_spans").isNull(), rows["text"]).otherwise(cut).alias("text") if c == "text" else rows[c] for c in documents.columns))
+    kind = F.array(*map(F.lit, KINDS))
+    cleaned = spliced(rows["text"], F.col("_spans"), lambda s, last: F.when(s["start"] >= last, F.concat(F.lit("["), F.element_at(kind, s["kind"] + 1), F.lit("]"))).otherwise(""))
+    return rows.select(*(F.when(F.col("_spans").isNull(), rows["text"]).otherwise(cleaned).alias("text") if c == "text" else rows[c] for c in documents.columns))

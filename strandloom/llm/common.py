@@ -6,16 +6,20 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may leave it unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -50,8 +54,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, total: i
     return local.join(starts, on).withColumn(name, (F.col(name) + F.col("_rank_o")).cast("long")).select(*df.columns, name)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 2000, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and about `size` bytes of texts; a longer text is a slice of its own."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            total += pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(total), 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to the columns of the result."""
+    """mapInArrow with a function from a batch, bounded in rows and bytes, to the columns of the result."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -59,8 +77,8 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                columns = f(batch.slice(lo, 2000))
+            for part in sliced(batch):
+                columns = f(part)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[c.name], c.type) for c in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -68,8 +86,6 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
     """From a partition sorted by keys: tables of about `rows` rows that hold each key whole."""
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -92,6 +108,22 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000)
         yield pa.Table.from_batches(held)
 
 
+def one_of_each(documents: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of documents named by heads(doc_id, h), h the xxhash64 of the text, each once, and those without doc_id.
+
+    Only rows that are there more than once are shuffled with their texts.
+    """
+    text = F.xxhash64(documents["text"])
+    times = documents.where("doc_id IS NOT NULL").groupBy(documents["doc_id"].cast("long").alias("_d"), text.alias("_h")).agg(F.count("*").alias("_n"))
+    keep = stored(times.join(heads, (F.col("_d") == F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("_d", "_h", "_n"), "heads")
+    on = (documents["doc_id"].cast("long") == F.col("_d")) & (text == F.col("_h"))
+    once = documents.join(keep.where("_n = 1"), on, "left").where(F.col("_d").isNotNull() | documents["doc_id"].isNull()).drop("_d", "_h", "_n")
+    if keep.where("_n > 1").isEmpty():
+        return once
+    many = documents.join(keep.where("_n > 1"), on).dropDuplicates(["_d", "_h"]).select(*(documents[c] for c in documents.columns))
+    return once.union(many)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's text falls into the fold that is kept from training (null ids: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -114,7 +146,8 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
     return texts.join(F.broadcast(picked), F.col("doc") == F.col("_id")).select("doc", "text", "y")
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> list[tuple[str, int]]:
-    """The texts and labels of labelled_rows(), on the driver, in an order of their own."""
-    got = labelled_rows(documents, labels, label, folds, fold, rows).collect()
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, longest: int = 65_536) -> list[tuple[str, int]]:
+    """The texts and labels of labelled_rows(), on the driver, in an order of their own. Texts of over `longest` bytes
+    are not learnt from, so that rows * longest bounds what the driver holds."""
+    got = labelled_rows(documents, labels, label, folds, fold, rows).where(F.octet_length("text") <= longest).collect()
     return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc"], r["text"]))]

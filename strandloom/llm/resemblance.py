@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, runs, stored
+from .common import one_of_each, per_batch, runs, stored
 from .graph import blocks, components, group_ends, star
 
 BANDS, ROWS = 25, 4
@@ -49,13 +49,13 @@ def key(hashes: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, cells): key is a hash of the whole set, so texts of equal sets are one point."""
+    """(doc_id, h, key, cells): key is a hash of the whole set, so texts of equal sets are one point."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "key": [key(s) for s in sets], "cells": [cells(s) for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": [key(s) for s in sets], "cells": [cells(s) for s in sets]}
 
-    return per_batch(documents, run, "doc_id long, key long, cells array<long>")
+    return per_batch(documents, run, "doc_id long, h long, key long, cells array<long>")
 
 
 def whole_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -136,14 +136,14 @@ def compared(members: DataFrame, least: float, limit: int) -> DataFrame:
 
 
 def groups(documents: DataFrame, words: int = 5, least: float = 0.8, limit: int = 128) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that each document reaches over pairs of similarity `least` or more.
+    """(doc_id, h, of, component_id), h the xxhash64 of the text, of a name of the component: the smallest doc_id that each document reaches over pairs of similarity `least` or more.
 
     Words are runs other than ASCII white space, A-Z lower-cased; wordless texts are equal. Bands of minima
     propose: at similarity 0.8 all 25 miss a pair with probability 2e-6, above it less. The whole sets decide
-    every pair: first each member of a cell against the cell's smallest, which joins most groups at a cost in
+    every pair; rows without doc_id are left out, repeated rows repeat, no rows give no rows: first each member of a cell against the cell's smallest, which joins most groups at a cost in
     proportion to the members; then, in the cells that still hold different components, each pair across them.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
     rows = stored(sketches(docs, words), "sketches")
     points = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")), "points")
     members = points.select("key", F.explode("cells").alias("cell"))
@@ -161,10 +161,13 @@ def groups(documents: DataFrame, words: int = 5, least: float = 0.8, limit: int
     of = points.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("of"))
     of = stored(of, "components")
     least_id = of.groupBy("of").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "key").join(of.select("key", "of"), "key").join(least_id, "of").select("doc_id", "component_id")
+    return rows.select("doc_id", "h", "key").join(of.select("key", "of"), "key").join(least_id, "of").select("doc_id", "h", "of", "component_id")
 
 
 def first_of_each(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group; rows without doc_id stay. Columns as given."""
-    keep = groups(documents, words, least).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(keep, documents["doc_id"].cast("long") == F.col("_keep"), "left").where(F.col("_keep").isNotNull() | documents["doc_id"].isNull()).drop("_keep")
+    """One document of each group, the one of the smallest doc_id; rows without doc_id stay. Columns as given.
+
+    Of rows that share that doc_id the one of the smallest text hash stays, of equal rows one.
+    """
+    heads = groups(documents, words, least).where("doc_id = component_id").groupBy("of").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"))
+    return one_of_each(documents, heads)

@@ -118,9 +118,3 @@ def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, cou
     found = components(links(points.where("rep IS NOT NULL"), distance, count), "a", "b")
     of = points.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_f"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def first_of_each(documents: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group; rows without doc_id stay. Columns as given."""
-    keep = near_duplicates(documents, words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(keep, documents["doc_id"].cast("long") == F.col("_keep"), "left").where(F.col("_keep").isNotNull() | documents["doc_id"].isNull()).drop("_keep")

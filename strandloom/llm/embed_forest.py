@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ class Tree:
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that no square overflows
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -64,6 +66,13 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length of the vectors, with the rows that have it."""
+    length = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for dim in np.unique(length).tolist():
+        yield dim, np.flatnonzero(length == dim)
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, trees: int = 8, leaf: int = 400, fit_rows: int = 20_000, spill: float = 0.5, limit: int = 2048, seed: int = 4) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings(vec_id, embedding).
 
@@ -72,42 +81,47 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, trees: int = 8,
     deep as the number of points asks for leaves of about `leaf`, while the sample reaches. The spill is in
     standard deviations of the projected distance of two vectors at the threshold. Points meet in leaves, larger
     leaves in pairs of chunks; a pair counts in the first leaf that it shares, so each link counts once without
-    any pair being written. Null, zero and non-finite vectors, and those of a length that is not the commonest,
-    link with nothing. A row without vec_id is counted, but has no component of its own. No rows give no rows.
+    any pair being written. Vectors of each length have trees of their own; lengths that the sample misses are one leaf.
+    Null, zero and non-finite vectors link with nothing. Columns of other names do no harm, and rows that repeat a
+    vec_id count each. A row without vec_id is counted, but has no component of its own. No rows give no rows.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
-    sizes = rows.where("good").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    rows = rows.withColumn("good", F.col("good") & (F.size("v") == dim))
-    points = stored(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "points")
+    points = stored(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).withColumn("point", F.monotonically_increasing_id()), "points")
     n = points.count()
     sample = points.select("v").orderBy(F.xxhash64("v")).limit(fit_rows).toArrow() if n else None
-    forest: list[Tree] = []
+    forest: dict[int, list[Tree]] = {}
     if n:
-        x, rng = unit(matrix(sample.column("v"))), np.random.default_rng(seed)
-        margin = spill * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
-        for _ in range(trees):
-            forest.append(Tree(x, n / len(x), leaf, margin, rng, forest[-1].first + forest[-1].leaves if forest else 0))
+        given, rng, first = sample.column("v").combine_chunks(), np.random.default_rng(seed), 0
+        for dim, own in by_length(given):
+            x, forest[dim] = unit(matrix(given.take(pa.array(own)))), []
+            margin = spill * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
+            for _ in range(trees):
+                forest[dim].append(Tree(x, n / len(given), leaf, margin, rng, first))
+                first += forest[dim][-1].leaves
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(matrix(batch.column("v")))
-            out: list[list[int]] = [[] for _ in range(len(x))]
-            for tree in forest:
-                tree.place(x, out)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("many"), batch.column("v"), pa.array(map(sorted, out), pa.list_(pa.int32()))], names=["rep", "many", "v", "leaves"])
+            out: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for dim, own in by_length(batch.column("v")):
+                x, found = unit(matrix(batch.column("v").take(pa.array(own)))), [[] for _ in own]
+                for tree in forest.get(dim, ()):
+                    tree.place(x, found)
+                for i, leaves in zip(own.tolist(), found):
+                    out[i] = leaves or [-dim]
+            yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("many"), batch.column("v"), pa.array(map(sorted, out), pa.list_(pa.int32()))], names=["point", "many", "v", "leaves"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["leaf", "_i", "_j"], 4096):
-            leaves, i, j, chunk, rep, many = (table.column(c).to_numpy() for c in ("leaf", "_i", "_j", "_c", "rep", "many"))
-            x, ends = unit(matrix(table.column("v"))), group_ends(leaves, i, j)
+            leaves, i, j, chunk, point, many = (table.column(c).to_numpy() for c in ("leaf", "_i", "_j", "_c", "point", "many"))
+            ends, vectors = group_ends(leaves, i, j), table.column("v")
             lists = table.column("leaves").combine_chunks()
             at, got = 0, ([], [], [])
-            while at < len(x):
+            while at < len(leaves):
                 end = int(ends[at])
-                near = x[at:end] @ x[at:end].T >= cosine
+                x = unit(matrix(vectors.slice(at, end - at)))
+                near = x @ x.T >= cosine
                 np.fill_diagonal(near, False)
                 if i[at] != j[at]:
                     near &= chunk[at:end, None] != chunk[None, at:end]
@@ -123,21 +137,23 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, trees: int = 8,
                     first = near & (inside @ inside.T == 0)
                     a, b = np.nonzero(near)
                     label = star(len(own), a, b)
-                    got[0].append(rep[at + own])
+                    got[0].append(point[at + own])
                     got[1].append(first @ many[at + own])
-                    got[2].append(rep[at + own[label]])
+                    got[2].append(point[at + own[label]])
                 at = end
             if got[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in got], names=["a", "n", "b"])
 
     if n:
-        placed = stored(points.mapInArrow(place, "rep long, many long, v array<double>, leaves array<int>"), "placed")
+        placed = stored(points.mapInArrow(place, "point long, many long, v array<double>, leaves array<int>"), "placed")
         cells = placed.select("*", F.explode("leaves").alias("leaf"))
-        met = stored(blocks(cells, "leaf", "rep", limit, few=True).mapInArrow(compare, "a long, n long, b long"), "met")
+        met = stored(blocks(cells, "leaf", "point", limit, few=True).mapInArrow(compare, "a long, n long, b long"), "met")
         counts = met.groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("_links"))
         found = components(met, "a", "b")
-        of = points.join(counts, F.col("rep") == F.col("_a"), "left").join(found, F.col("rep") == F.col("node"), "left")
-        of = of.select(F.col("v").alias("_v"), (F.coalesce("_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        of = points.join(counts, F.col("point") == F.col("_a"), "left").join(found, F.col("point") == F.col("node"), "left")
+        of = of.select("v", "rep", (F.coalesce("_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "point").alias("_c"))
+        least = of.groupBy(F.col("_c").alias("_l")).agg(F.min("rep").alias("component"))
+        of = of.join(least, F.col("_c") == F.col("_l")).select(F.col("v").alias("_v"), "n_links", "component")
         out = rows.where("good").join(of, F.col("v") == F.col("_v")).select("vec_id", "n_links", F.col("component").alias("component_id"))
         out = out.union(rows.where("NOT good").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     else:

@@ -93,12 +93,16 @@ def wav_end(b: bytes, at: int) -> int | None:
 
 
 def gzip_end(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+    d, whole = zlib.decompressobj(31), memoryview(b)
     try:
-        d.decompress(b[at:])
+        while at < len(b) and not d.eof:  # what is inflated goes at once, 64 KiB at a time
+            d.decompress(whole[at : at + 65_536], 65_536)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, 65_536)
+            at = min(at + 65_536, len(b))
     except zlib.error:
         return None
-    return len(b) - len(d.unused_data) if d.eof else None
+    return at - len(d.unused_data) if d.eof else None
 
 
 CHECKS = {"image/png": png_end, "image/gif": gif_end, "image/jpeg": jpeg_end, "image/bmp": bmp_end, "audio/wav": wav_end, "application/gzip": gzip_end}
@@ -164,29 +168,37 @@ def features(kind: str, samples: np.ndarray) -> str:
 
 
 def stored_media(documents: DataFrame, multiple: int = 576) -> DataFrame:
-    """(doc_id, media binary, n_bytes): each whole text's UTF-8 bytes, filled up with 255, as a sound file.
+    """(doc_id, n_bytes, declared, media binary): each whole text's UTF-8 bytes, filled up with 255, as a sound file
+    whose declared type is still the text's.
 
-    Null text: as empty. The fill reaches a positive multiple of `multiple`.
+    Null text: as empty. The fill reaches a positive multiple of `multiple`. Repeated rows and equal texts give equal
+    media, other columns do no harm, no rows give no rows.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(b) for b in raw], "media": [as_wav(b + b"\xff" * (-len(b) % multiple or (0 if b else multiple))) for b in raw]}
+        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(b) for b in raw], "declared": ["text/plain"] * len(raw), "media": [as_wav(b + b"\xff" * (-len(b) % multiple or (0 if b else multiple))) for b in raw]}
 
-    return per_batch(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
+    return per_batch(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_*, tail_crc32, media_*, feature) of (doc_id, n_bytes, media) by sniffing and carving the bytes."""
+    """(doc_id, n_bytes, payload_*, tail_crc32, media_*, feature, declared, detected, corrected, carved) of
+    (doc_id, n_bytes, declared, media) by sniffing and carving the bytes.
+
+    detected is the type that the bytes show, corrected whether it differs from the declared one; carved holds
+    start:length:type of the media that lie within the payload, in order. Repeated rows are treated alike; no rows
+    give no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
-        for b in batch.column("media").to_pylist():
+        for b, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist()):
             at, n, kind = sniff(b)[0]
             samples = wav_samples(b[at : at + n])
             own = samples.tobytes()
-            rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(b), hashlib.sha256(b).hexdigest(), features(kind, samples)))
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(b), hashlib.sha256(b).hexdigest(), features(kind, samples), declared, kind, kind != declared, ",".join(f"{a}:{k}:{t}" for a, k, t in sniff(own))))
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "detected", "corrected", "carved")
         return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | dict(zip(names, zip(*rows)))
 
-    return per_batch(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return per_batch(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, detected string, corrected boolean, carved string")

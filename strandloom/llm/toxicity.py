@@ -141,7 +141,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = 6000, features: i
 
 
 def score(documents: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row's whole text; null as empty. No rows give no rows."""
+    """(doc_id, held_out, score, predicted) for every row's whole text; null as empty. No rows give no rows.
+
+    Repeated rows score alike; other columns, also of the result's names, do no harm.
+    """
     weights, bias = model.get("weights", {}), model.get("bias", 0.0)
 
     def run(batch: pa.RecordBatch) -> dict:

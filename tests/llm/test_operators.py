@@ -1,16 +1,21 @@
 """The training-data operators against brute force, on small and awkward tables."""
 
 import hashlib
+import io
 import random
 import re
+import time
+import wave
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from strandloom.llm import embed_forest, media, mixing, packing, pii, quality_crf, resemblance, run_index, sharding, simhash, toxicity
+from strandloom.llm import common, embed_forest, media, mixing, packing, pii, quality_crf, resemblance, run_index, sharding, simhash, toxicity
 from strandloom.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +49,10 @@ def distinct(rows):
 def test_simhash(docs, none):
     def brute(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
-        return simhash.fingerprint(" ".join(words))
+        if not words:
+            return 0
+        h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     texts = distinct(awkward())
     prints = {d: brute(t) for d, t in texts.items()}
@@ -64,7 +72,6 @@ def test_simhash(docs, none):
     assert len(got) == docs.count()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(d, f"{p:016x}", root(d)) for d, p in prints.items()}
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.first_of_each(docs).columns == docs.columns
 
 
 def test_simhash_links_in_chunks(spark):
@@ -142,6 +149,7 @@ def test_forest(spark):
     near = base[:100] + 0.1 * rng.standard_normal((100, 16))
     x = np.concatenate([base, near, base[:30], 3 * base[:10]])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0, None]), (1004, [1.0] * 3)]
+    rows += [(1010, [1.0, 0.0]), (1011, [1.0, 0.1]), (1012, [1e200, 1e200]), (1013, [1e200, 1.1e200]), (1013, [1.0, 1.1])]
     u = x / np.linalg.norm(x, axis=1)[:, None]
     link = u @ u.T >= 0.9
     np.fill_diagonal(link, False)
@@ -151,6 +159,9 @@ def test_forest(spark):
         got = {r.vec_id: r for r in embed_forest.near_duplicates(frame, **options).collect()}
         assert all(got[i].n_links == link[i].sum() and got[i].component_id == label[i] for i in range(len(x)))
         assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1005))
+        assert [got[i].n_links for i in (1010, 1011, 1012, 1013)] == [1, 1, 2, 2] and got[1013].component_id == 1012
+    clash = frame.selectExpr("*", "1 AS rep", "2 AS many", "3 AS v", "4 AS n_links")
+    assert embed_forest.near_duplicates(clash).columns == ["vec_id", "n_links", "component_id", "kept"]
     assert embed_forest.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -160,6 +171,13 @@ def test_media_round_trip(docs, none):
         raw = t.encode()
         full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        with wave.open(io.BytesIO(media.as_wav(full))) as w:
+            assert w.getparams()[:4] == (1, 1, 8000, len(full)) and w.readframes(len(full)) == full
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(full) + 44, hashlib.sha256(media.as_wav(full)).hexdigest())
+        turns = sum((a >= 128) != (b >= 128) for a, b in zip(full, full[1:]))
+        hist = Counter(b >> 4 for b in full)
+        assert got[d].feature == f"audio/wav;n={len(full)};sum={sum(full)};turns={turns};hist=" + ",".join(str(hist[k]) for k in range(16))
+        assert (got[d].declared, got[d].detected, got[d].corrected) == ("text/plain", "audio/wav", True)
     assert media.media_features(media.stored_media(none)).count() == 0
 
 
@@ -172,6 +190,10 @@ def test_sniffing(spark):
     assert got[0].detected == "audio/wav" and got[0].corrected
     assert [tuple(c) for c in got[1].carved] == [(12, len(gz), "application/gzip")]
     assert got[2].carved == [] and not got[3].corrected
+    long = gzip.compress(bytes(30_000_000) + random.Random(1).randbytes(200_000))
+    assert media.sniff(b"x" + long + b"y") == [(1, len(long), "application/gzip")] and media.sniff(long[:-9]) == []
+    held = media.media_features(media.stored_media(spark.createDataFrame([(1, "GIF89a" + "\1\0\1\0\0\0\0" + ";" + "tail")], "doc_id long, text string"))).first()
+    assert held.carved == "0:14:image/gif"
 
 
 def test_packing(docs, none):
@@ -218,6 +240,16 @@ def test_sharding(docs, none):
     assert sharding.shard(none, 4).count() == 0
 
 
+def test_shards_of_near_equal_bytes(spark):
+    rng = random.Random(6)
+    rows = [(i, "w" * rng.randrange(1, 400)) for i in range(1500)] + [(2000 + i, "a copy of thirty") for i in range(300)]
+    by = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect():
+        by[r.shard] += r.size
+    mean = sum(by.values()) / 16
+    assert len(by) == 16 and max(by.values()) <= mean + 17 * 16 and min(by.values()) >= mean - 17 * 300
+
+
 def test_differencing_in_levels(spark):
     rng = random.Random(4)
     sizes = [(f"k{i}", rng.randrange(1, 1000)) for i in range(2000)]
@@ -338,3 +370,102 @@ def test_identity_swaps_change_little():
     held, _ = toxicity.fit(y, own, pairs, 4, 0.0005, 1.0, 400)
     assert abs(held[1] - held[3]) < 0.3 * abs(free[1] - free[3]) and held[0] > 1
     assert toxicity.swapped("Women, and dogs", 0) == "men, and dogs" and toxicity.swapped("dogs", 0) is None
+
+
+def test_many_addresses_in_one_text(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.org é😀" if i % 2 else f"call +1 (743) 555-{i % 10000:04} now" for i in range(32_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.digest(pii.spans(frame)).first()
+    clean = pii.redacted(frame).first().text
+    assert (got.n_email, got.n_phone) == (16_000, 16_000) and time.time() - began < 90
+    assert clean == " ".join("[email] é😀" if i % 2 else "call [phone] now" for i in range(32_000))
+
+
+def test_redaction_across_blocks(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["é😀x ", "a.b@c.de ", "+1 (743) 555-3824 ", "10.0.0.1 ", "word " * 40]) for _ in range(rng.randrange(80))) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: sorted([tuple(s) for s in r.base + r.found]) for r in pii.spans(frame).collect()}
+    for r in pii.redacted(frame).collect():
+        out, at = "", 0
+        for a, k, b in spans[r.doc_id]:
+            out += texts[r.doc_id][at:a] + f"[{pii.KINDS[k]}]" if a >= at else ""
+            at = max(at, b)
+        assert r.text == out + texts[r.doc_id][at:]
+
+
+def test_context_words_that_are_cut_make_no_pattern(spark):
+    far = "z" * 70
+    rows = [(i, f"{far}{i} at: name{i}@mail.org") for i in range(9)]
+    got = pii.spans(spark.createDataFrame([*rows, (50, f"{far}1 at: QX77-1234")], "doc_id long, text string"))
+    assert {r.doc_id: r.found for r in got.collect()}[50] == []
+
+
+def test_one_document_of_rows_that_share_an_id(spark):
+    rows = [(1, "the same text of more than five words here"), (1, "the same text of more than five words here"), (1, "quite another text with other words in it"), (None, "x"), (None, "x"), (2, "the same text of more than five words here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, resemblance.first_of_each(frame).collect())) == Counter({rows[0]: 1, rows[2]: 1, (None, "x"): 2})
+
+
+def test_anchors_do_not_depend_on_what_lies_around(monkeypatch):
+    rng = random.Random(7)
+    text = bytes(rng.choices(b"abcd", k=3000))
+    alone = list(zip(*run_index.anchors([text])))
+    behind = [(0, *r[1:]) for r in zip(*run_index.anchors([b"q" * 900_000, text])) if r[0] == 1]
+    assert alone == behind
+    best = {w: min(range(w, w + 77), key=lambda p: (dict((a[1], a[2]) for a in alone).get(p, 2**63), p)) for w in range(len(text) - 99)}
+    spans = {a[1]: (a[3], a[4]) for a in alone}
+    assert all(spans[p][0] <= w and w + 100 <= spans[p][1] for w, p in best.items()) and sum(e - s - 99 for s, e in spans.values()) == len(text) - 99
+
+
+def test_long_texts_in_pieces(spark, docs, monkeypatch):
+    monkeypatch.setattr(run_index, "PIECE", 700)
+    parts = list(run_index.pieces([b"", b"a" * 100, b"b" * 2000]))
+    assert {k: sum(max(0, len(b) - 99) for q in parts for j, _, b in q if j == k) for k in range(3)} == {0: 0, 1: 1, 2: 1901}
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 5, 0, 30, 2, 3, 4)]})
+    assert [[len(t) for t in b["text"].to_pylist()] for b in common.sliced(batch, 3, 10)] == [[0, 5, 0], [30], [2, 3, 4]]
+
+
+def test_equal_documents_have_equal_quality():
+    model = quality_crf.train([("Good line of text.\nAnother one.", 1), ("!!! ||| $$$", 0)] * 5)
+    texts = ["one line", "one line", "two\nlines", "lines", "one line"]
+    scores = quality_crf.score_texts(texts, model)
+    assert scores[0] == scores[1] == scores[4]
+
+
+def test_pipeline_stage_by_stage(spark, none):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "simhash", "pii", "mixing", "packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns
+        before, after = (Counter(tuple(r) for r in d.collect()) for d in (docs, out))
+        if name in ("toxicity", "simhash"):
+            assert not after - before and sum(after.values()) > 0.4 * sum(before.values())
+        if name == "toxicity":
+            toxic = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
+            assert {r[0] for r in before} - {r[0] for r in after} == toxic
+        if name == "simhash":
+            assert {r[0] for r in after} == {r.component_id for r in resemblance.groups(docs).collect()}
+        if name == "pii":
+            mail = re.compile(pii.EMAIL.replace(r"|\G", "").replace("++", "+"))
+            assert sum(after.values()) == sum(before.values()) and not any(mail.search(r[1] or "") for r in after)
+        if name == "mixing":
+            ratio = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(docs).collect()}
+            size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+            assert all(n == before[r] * (int(ratio[r[0], size(r[1])] / size(r[1]) + 0.5) if size(r[1]) else 1) for r, n in after.items())
+        docs = out
+    packed = packing.pack(docs, vocabulary()).collect()
+    whole = Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    names = packing.pack(docs, vocabulary()).columns
+    assert Counter(map(key, packed)) == Counter({k: n for k, n in Counter(tuple(r[names.index(c)] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in whole.elements()).items()})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), SF).count() == 0

@@ -8,9 +8,9 @@ from .operators import association as qtl
 from .operators import intervals as iv
 from .operators import network as net
 from .operators import reads as rd
-from .plans import features, forests, graphs, locations, mapping  # noqa: F401  (each registers its own)
+from .plans import features, forests, graphs, locations, mapping, results, tables  # noqa: F401  (each registers its own)
 from .plans.fragments import BLOCKS, CIS, DEGREES, DEPTH, IMPUTED, NOMINAL, PREPARED, SPANS, STATS, TPM, USABLE
-from .plans.registry import ORACLE, QUERIES, off_halves, query, rounded  # noqa: F401
+from .plans.registry import ORACLE, QUERIES, query, rounded, single  # noqa: F401
 
 FLAGSHIP = "q7_nominal"
 
@@ -161,7 +161,7 @@ def constant(phenotypes):
 
 @query("q7_nominal", "genotypes phenotypes variants genes", f"SELECT phenotype_id, variant_id, tss_distance, dof, {STATS} FROM {NOMINAL} n")
 def nominal(genotypes, phenotypes, variants, genes):
-    return rounded(off_halves(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), "slope").withColumn("dof", F.col("dof").cast("long")), "r2", "slope", "slope_se", "tstat")
+    return rounded(single(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), "slope").withColumn("dof", F.col("dof").cast("long")), "r2", "slope_se", "tstat")
 
 
 @query("q11_strongest", "genotypes phenotypes variants genes", f"SELECT phenotype_id, round(max(r2), 6) AS r2, count(*) AS n FROM {NOMINAL} n GROUP BY phenotype_id")

@@ -94,6 +94,20 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
 
+def t_quantile(p, dof) -> np.ndarray:
+    """Where Student's t has the share p below it."""
+    p, dof = np.broadcast_arrays(np.asarray(p, float), np.asarray(dof, float))
+    x = beta_quantile(2 * np.minimum(p, 1 - p), dof / 2, 0.5)
+    with np.errstate(divide="ignore"):
+        return np.sign(p - 0.5) * np.sqrt(dof * (1 - x) / x)
+
+
+@F.pandas_udf(DoubleType())
+def beta_below(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The beta distribution's share below x; null for a null x."""
+    return pd.Series(beta_cdf(x.fillna(0), a, b)).where(x.notna().to_numpy(), None)
+
+
 @F.pandas_udf(DoubleType())
 def beta_at(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """The beta quantile of p."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
+from .prefix import in_ranges, running
 
 
 def tpm(counts: DataFrame, genes: DataFrame) -> DataFrame:
@@ -79,15 +80,18 @@ def strongest(found: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(pvals: DataFrame, key: str, p: str) -> DataFrame:
-    """Step-up adjusted values: the ranks of equal values come from sums over distinct values."""
-    by = pvals.groupBy(p).agg(F.count("*").alias("k"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = by.withColumn("r", F.sum("k").over(up)).withColumn("m", F.sum("k").over(Window.partitionBy()))
-    adjusted = ranks.withColumn("adjusted", F.least(F.min(F.col(p) * F.col("m") / F.col("r")).over(down), F.lit(1.0))).select(F.col(p).alias("_p"), "adjusted")
+    """Step-up adjusted values: the ranks of equal values come from sums over distinct values, in ranges of them."""
+    adjusted = stepped_up(pvals.select(p), p).select(F.col(p).alias("_p"), F.least("least", F.lit(1.0)).alias("adjusted"))
     return pvals.join(adjusted, F.col(p) == F.col("_p")).select(key, p, "adjusted")
 
 
+def stepped_up(pvals: DataFrame, p: str) -> DataFrame:
+    """(p, least): of each different value the least p * m / rank from it up; m is the number of rows."""
+    by = in_ranges(pvals.groupBy(p).agg(F.count("*").alias("k")), p)
+    ranks = running(by, [], [p], F.col("k"), F.sum, "r").crossJoin(F.broadcast(by.agg(F.sum("k").alias("m"))))
+    return running(ranks, [], [p], F.col(p) * F.col("m") / F.col("r"), F.min, "least", down=True).select(p, "least")
+
+
 def average_ranks(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Adds rank, the average rank among a key's values, and u, that over n + 1: what the normal quantile is taken of."""
     w = Window.partitionBy(key)

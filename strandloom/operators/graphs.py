@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared
 from .network import degrees, ends
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir, so that iterations don't grow the plan; a folder of its own only where it is unset."""
+    """A checkpoint in spark.checkpoint.dir, so that iterations don't grow the plan."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandloom-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 

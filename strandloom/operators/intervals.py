@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import base_range, running
+
 BIN = 10_000
 
 
@@ -64,12 +66,12 @@ def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, size: int = BIN)
 
 
 def overlapping(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
-    """Rows of a that overlap b, each once."""
-    names = a.columns
+    """Rows of a that overlap b, as often as a has them: the regions, each once, are matched, then the rows by theirs."""
+    place = ["chrom", "start_pos", "end_pos"]
     y = binned(b, size).select(F.col("chrom").alias("_d"), F.col("start_pos").alias("_bs"), F.col("end_pos").alias("_be"), F.col("_bin").alias("_bb"))
-    x = binned(a, size)
+    x = binned(a.select(*place).distinct(), size)
     hit = (x["chrom"] == y["_d"]) & (x["_bin"] == y["_bb"]) & (x["start_pos"] < y["_be"]) & (y["_bs"] < x["end_pos"])
-    return x.join(y, hit, "left_semi").select(*names).distinct()
+    return a.join(x.join(y, hit, "left_semi").select(*place).distinct(), place, "left_semi")
 
 
 def adjacent(regions: DataFrame, key: str, hops: int = 1) -> DataFrame:
@@ -79,21 +81,20 @@ def adjacent(regions: DataFrame, key: str, hops: int = 1) -> DataFrame:
 
 
 def previous(queries: DataFrame, features: DataFrame, query: str, feature: str) -> DataFrame:
-    """For each query position the last feature that starts before it: a union sorted once, no pair is made."""
+    """For each query position the last feature that starts before it: a union sorted in ranges, no pair is made."""
     q = queries.select(F.col("chrom"), F.col("start_pos").alias("p"), F.col(query).alias("q"), F.lit(None).cast("string").alias("f"), F.lit(0).alias("kind"))
     f = features.select("chrom", F.col("start_pos").alias("p"), F.lit(None).cast("string").alias("q"), F.col(feature).alias("f"), F.lit(1).alias("kind"))
-    w = Window.partitionBy("chrom").orderBy("p", "kind", "f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return q.union(f).withColumn("before", F.last("f", ignorenulls=True).over(w)).where("kind = 0").select(F.col("q").alias(query), F.col("before").alias(feature))
+    rows = q.union(f).withColumn("_r", base_range(F.col("p")))
+    last = running(rows, ["chrom"], ["p", "kind", "f"], F.when(F.col("kind") == 1, F.struct("p", "f")), F.max, "before")
+    return last.where("kind = 0").select(F.col("q").alias(query), F.col("before.f").alias(feature))
 
 
 def clusters(regions: DataFrame, by: list[str]) -> DataFrame:
     """Unions of touching or overlapping regions per key, with how many went in. Equal regions are counted first."""
-    once = regions.groupBy(*by, "start_pos", "end_pos").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = once.withColumn("_new", F.when(reach >= F.col("start_pos"), 0).otherwise(1))
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("_i", island).groupBy(*by, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n")).drop("_i")
+    once = regions.groupBy(*by, "start_pos", "end_pos").agg(F.count("*").alias("n")).withColumn("_r", base_range(F.col("start_pos")))
+    order = ["start_pos", "end_pos"]
+    marked = running(once, by, order, F.col("end_pos"), F.max, "_reach", before=True).withColumn("_new", F.when(F.col("_reach") >= F.col("start_pos"), 0).otherwise(1))
+    return running(marked, by, order, F.col("_new"), F.sum, "_i").groupBy(*by, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n")).drop("_i")
 
 
 def nearest(regions: DataFrame, chrom: str, position: int, k: int) -> DataFrame:
@@ -139,3 +140,43 @@ def feature_counts(regions: DataFrame, features: DataFrame, key: str, feature: s
     hit = overlaps(regions, features, key, feature)
     counts = hit.groupBy(key).pivot(feature, kinds).agg(F.count(F.lit(1)))
     return regions.select(key).join(counts, key, "left").fillna(0, kinds)
+
+
+def validated(regions: DataFrame) -> DataFrame:
+    """With chr before the chromosome; an end that is not after the start, or an unknown strand, is an error."""
+    strand = F.col("strand").isin("+", "-", ".") | F.col("strand").isNull() if "strand" in regions.columns else F.lit(True)
+    good = F.coalesce(F.col("end_pos") > F.col("start_pos"), F.lit(False)) & strand
+    end = F.when(good, F.col("end_pos")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("not a region:"), "chrom", "start_pos", "end_pos")))
+    return regions.withColumns({"chrom": prefixed(F.col("chrom")), "end_pos": end})
+
+
+def prefixed(chrom: Column, with_chr: bool = True) -> Column:
+    """Chromosome names with chr, or without."""
+    bare = F.regexp_replace(chrom, "^chr", "")
+    return F.concat(F.lit("chr"), bare) if with_chr else bare
+
+
+def anchor_regions(regions: DataFrame, anchor: str) -> DataFrame:
+    """The one-base regions at start, end, tss or tes; at mid one of no length."""
+    s, e, back = F.col("start_pos"), F.col("end_pos"), F.col("strand") == "-"
+    first = {"start": s, "end": e - 1, "mid": F.floor((s + e) / 2).cast("long"), "tss": F.when(back, e - 1).otherwise(s), "tes": F.when(back, s).otherwise(e - 1)}[anchor]
+    return regions.withColumn("start_pos", first).withColumn("end_pos", F.col("start_pos") + (0 if anchor == "mid" else 1))
+
+
+def unstranded(regions: DataFrame) -> DataFrame:
+    return regions.drop("strand")
+
+
+def unversioned(gene: Column) -> Column:
+    """A gene id without what follows its first dot."""
+    return F.substring_index(gene, ".", 1)
+
+
+def annotations(regions: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """(key, tss, tes, exon, intron, intergenic, label): overlaps per kind of features(feature, ...), intergenic 1 where there
+    are none, and one label by priority: only tss, only tes, both, exon, intron, intergenic."""
+    kinds = ["tss", "tes", "exon", "intron"]
+    n = feature_counts(regions, features, key, "feature", kinds)
+    tss, tes, exon, intron = (F.col(k) > 0 for k in kinds)
+    label = F.when(tss & ~tes, "tss").when(tes & ~tss, "tes").when(tss & tes, "tss_tes").when(exon, "exon").when(intron, "intron").otherwise("intergenic")
+    return n.withColumn("intergenic", (~(tss | tes | exon | intron)).cast("int")).withColumn("label", label)

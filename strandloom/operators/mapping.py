@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import beta_at, beta_cdf, normal_pvalue, t_pvalue, t_two_sided
-from .association import allele_stats, benjamini_hochberg, constant, dot, imputed, nominal, vectors
+from .association import allele_stats, benjamini_hochberg, constant, dot, imputed, nominal, stepped_up, vectors
 
 
 def with_pvalues(found: DataFrame, covariates: int = 0) -> DataFrame:
@@ -204,11 +204,7 @@ def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, perm
 def qvalues(pvals: DataFrame, key: str, p: str, knot: float = 0.94) -> DataFrame:
     """Adds qval: step-up values times the share of true nulls, read at the last knot (1 for under 100 rows)."""
     share = pvals.agg(F.when(F.count(p) < 100, 1.0).otherwise(F.least(F.lit(1.0), F.count_if(F.col(p) > knot) / F.count(p) / (1 - knot))).alias("_pi0"))
-    by = pvals.groupBy(p).agg(F.count("*").alias("_k"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = by.withColumn("_r", F.sum("_k").over(up)).withColumn("_m", F.sum("_k").over(Window.partitionBy())).crossJoin(F.broadcast(share))
-    q = ranks.select(F.col(p).alias("_p"), F.least(F.min(F.col("_pi0") * F.col("_m") * F.col(p) / F.col("_r")).over(down), F.lit(1.0)).alias("qval"))
+    q = stepped_up(pvals.select(p), p).crossJoin(F.broadcast(share)).select(F.col(p).alias("_p"), F.least(F.col("_pi0") * F.col("least"), F.lit(1.0)).alias("qval"))
     return pvals.join(q, F.col(p) == F.col("_p")).drop("_p")
 
 
@@ -272,9 +268,15 @@ def paired_correlation(a: DataFrame, b: DataFrame, key: str, value: str) -> Data
 
 
 def fisher_exact(rows: DataFrame, one: str, other: str) -> DataFrame:
-    """(both, only_one, only_other, neither, odds, pval) of two boolean columns, over groups of equal sums.
+    """(both, only_one, only_other, neither, odds, pval) of two boolean columns."""
+    x, y = F.col(one), F.col(other)
+    return with_fisher(rows.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_one"), F.count_if(~x & y).alias("only_other"), F.count_if(~x & ~y).alias("neither")))
+
 
-    The table's hypergeometric probabilities are summed where they do not exceed the observed one.
+def with_fisher(tables: DataFrame) -> DataFrame:
+    """Adds odds and pval to tables(both, only_one, only_other, neither), over groups of equal sums.
+
+    A table's hypergeometric probabilities are summed where they do not exceed the observed one.
     """
     import math
 
@@ -292,10 +294,8 @@ def fisher_exact(rows: DataFrame, one: str, other: str) -> DataFrame:
 
         return pd.Series([of(*map(int, x)) for x in zip(a, b, c, d)])
 
-    x, y = F.col(one), F.col(other)
-    t = rows.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_one"), F.count_if(~x & y).alias("only_other"), F.count_if(~x & ~y).alias("neither"))
     odds = F.col("both") * F.col("neither") / F.nullif(F.col("only_one") * F.col("only_other"), F.lit(0))
-    return t.withColumn("odds", odds).withColumn("pval", tail("both", "only_one", "only_other", "neither"))
+    return tables.withColumn("odds", odds).withColumn("pval", tail("both", "only_one", "only_other", "neither"))
 
 
 def adjusted_by_tests(found: DataFrame, tests: DataFrame) -> DataFrame:

@@ -37,9 +37,10 @@ def unknown_prizes(edges: DataFrame, prizes: DataFrame) -> DataFrame:
     return prizes.select(F.col("name").alias("node")).distinct().join(ends(edges), "node", "left_anti")
 
 
-def root_edges(edges: DataFrame, prizes: DataFrame, w: float = 5.0) -> DataFrame:
-    """Edges from an added root to the terminals."""
-    return prepared_prizes(edges, prizes).where("terminal").select(F.lit("DUMMY").alias("src"), F.col("node").alias("dst"), F.lit(w).alias("cost"))
+def root_edges(edges: DataFrame, prizes: DataFrame, w: float = 5.0, to: str = "terminals") -> DataFrame:
+    """Edges from an added root to the terminals, to the others, or to all."""
+    some = {"terminals": "terminal", "others": "NOT terminal", "all": "true"}[to]
+    return prepared_prizes(edges, prizes).where(some).select(F.lit("DUMMY").alias("src"), F.col("node").alias("dst"), F.lit(w).alias("cost"))
 
 
 def degree_by_type(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,12 +54,13 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "cost")
 
 
-def term_depths(terms: DataFrame, most: int = 12) -> DataFrame:
-    """Depth below the root, by a join per level."""
-    level = terms.where("parent_id IS NULL").select("term_id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most + 1):
-        level = terms.join(level.select(F.col("term_id").alias("parent_id")), "parent_id").select("term_id", F.lit(d).alias("depth"))
+def term_depths(terms: DataFrame) -> DataFrame:
+    """Depth below the root, by a join per level, until a level is empty."""
+    from .graphs import cut
+
+    out = level = cut(terms.where("parent_id IS NULL").select("term_id", F.lit(0).alias("depth")))
+    while not level.isEmpty():
+        level = cut(terms.join(level.select(F.col("term_id").alias("parent_id"), (F.col("depth") + 1).alias("depth")), "parent_id").select("term_id", "depth"))
         out = out.union(level)
     return out
 
@@ -66,3 +68,20 @@ def term_depths(terms: DataFrame, most: int = 12) -> DataFrame:
 def term_sizes(gene_terms: DataFrame, evidence: list[str]) -> DataFrame:
     """Genes per term, by trusted evidence."""
     return gene_terms.where(F.col("evidence").isin(*evidence)).groupBy("term_id").agg(F.countDistinct("gene").alias("genes"))
+
+
+def annotated(nodes: DataFrame, annotation: DataFrame, key: str = "gene") -> DataFrame:
+    """The nodes with the columns of an annotation by gene; null where there is none."""
+    return nodes.join(annotation.withColumnRenamed(key, "node"), "node", "left")
+
+
+def node_table(edges: DataFrame, prizes: DataFrame) -> DataFrame:
+    """(node, degree, prize, type, terminal) of a graph."""
+    return degrees(edges).join(prepared_prizes(edges, prizes), "node")
+
+
+def weighted_subnetwork(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of weights(node, weight) that are not 0, with their degree among them, and the edges between them."""
+    nodes = weights.where(F.col("weight") != 0)
+    own = induced(edges, nodes)
+    return nodes.join(degrees(own), "node", "left").fillna(0, ["degree"]), own

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals
+from .prefix import base_range, running
 
 DROPPED = 4 + 256 + 512 + 1024  # unmapped, secondary, failed, duplicate
 
@@ -42,9 +43,9 @@ def changes(pieces: DataFrame) -> DataFrame:
 
 
 def pileup(pieces: DataFrame) -> DataFrame:
-    """Depth from each position of change on."""
-    w = Window.partitionBy("sample_id", "chrom", "strand").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes(pieces).withColumn("depth", F.sum("change").over(w)).drop("change")
+    """Depth from each position of change on; sums run within ranges of a chromosome, so no task sorts a whole one."""
+    rows = changes(pieces).withColumn("_r", base_range(F.col("pos")))
+    return running(rows, ["sample_id", "chrom", "strand"], ["pos"], F.col("change"), F.sum, "depth").drop("change", "_r")
 
 
 def coverage(reads: DataFrame, regions: DataFrame, key: str) -> DataFrame:
@@ -65,3 +66,24 @@ def binned(reads: DataFrame, chrom: str, start: int, end: int, size: int) -> Dat
 
 def depth_per_million(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample_id").agg((F.count("*") / 1e6).alias("depth"))
+
+
+def filled_coverage(found: DataFrame, regions: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """coverage() of every region, sample and strand, 0 where no read is, with the sum of both strands.
+
+    Regions and samples meet once for each strand: that many rows are the result.
+    """
+    counts = ["complete_overlap", "partial_overlap"]
+    both = found.groupBy(key, "sample_id").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("strand", F.lit("both"))
+    strands = F.explode(F.array(*map(F.lit, ("+", "-", "both"))))
+    grid = regions.select(key).distinct().crossJoin(F.broadcast(samples.select("sample_id").distinct())).withColumn("strand", strands)
+    return grid.join(found.unionByName(both), [key, "sample_id", "strand"], "left").fillna(0, counts)
+
+
+def filled_bins(found: DataFrame, samples: DataFrame, chrom: str, start: int, end: int, size: int) -> DataFrame:
+    """binned() with every bin of the interval, 0 where no read is, and the bins' tags; the last one ends with the interval."""
+    bins = -(-(end - start) // size)
+    grid = samples.select("sample_id").distinct().withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    low = F.lit(start) + F.col("bin") * size
+    tag = F.concat(F.lit(f"{chrom}:"), low, F.lit("-"), F.least(low + size, F.lit(end)))
+    return grid.join(found, ["sample_id", "strand", "bin"], "left").select("sample_id", "strand", "bin", tag.alias("tag"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -35,3 +35,29 @@ def by_genotype(track: DataFrame, genotypes: DataFrame, by: list[str]) -> DataFr
     """Mean depth of the samples of each dosage of one variant."""
     own = genotypes.where(F.col("dosage").isNotNull()).select("sample_id", "dosage")
     return track.join(own, "sample_id").groupBy("dosage", *by).agg(F.avg("depth").alias("depth"))
+
+
+def coarser(track: DataFrame, by: list[str], start: int, end: int, bins: int) -> DataFrame:
+    """(by, pos, depth): means over `bins` bins of positions, closed at the right, named by their rounded middles."""
+    width = (end - start) / bins
+    at = F.greatest(F.ceil((F.col("pos") - start) / width) - 1, F.lit(0))
+    own = track.where(F.col("pos").between(start, end)).withColumn("pos", F.round(F.lit(start) + (at + 0.5) * width).cast("long"))
+    return own.groupBy(*by, "pos").agg(F.avg("depth").alias("depth"))
+
+
+def centred(track: DataFrame, zero: int) -> DataFrame:
+    """Positions from an anchor on."""
+    return track.withColumn("pos", F.col("pos") - zero)
+
+
+def scaled(track: DataFrame, factor: float) -> DataFrame:
+    return track.withColumn("depth", F.col("depth") * factor)
+
+
+def explained(track: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, r, signed_r2): along a track, the correlation of the samples' depths with values(sample_id, value), and its
+    square with the sign of the slope. Null where either is constant."""
+    both = track.join(values.select("sample_id", F.col("value").cast("double").alias("value")), "sample_id")
+    n = both.groupBy(*by).agg(F.covar_pop("depth", "value").alias("xy"), F.var_pop("depth").alias("xx"), F.var_pop("value").alias("yy"))
+    r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    return n.select(*by, r.alias("r"), (r * F.abs(r)).alias("signed_r2"))

@@ -67,12 +67,11 @@ def gtf_genes(genes):
     return fm.read_gtf(gtf_lines(genes)).where("feature = 'gene'").select("gene_id", "gene_name", "chrom", "start_pos", "end_pos", "strand")
 
 
-@query("a17_factor_targets", "tf_sites", "SELECT 'v' || CAST(start_pos % 500 + o AS STRING) AS variant, count(*) AS n, count(DISTINCT tf) AS tfs FROM tf_sites, (VALUES (0), (1)) x(o) GROUP BY ALL")
+@query("a17_factor_targets", "tf_sites", "SELECT 'v' || CAST(start_pos % 500 + o AS STRING) AS variant, string_agg(tf, ',' ORDER BY tf) AS tfs, string_agg(CAST(end_pos % 9 AS STRING), ',' ORDER BY CAST(end_pos % 9 AS STRING)) AS scores FROM tf_sites, (VALUES (0), (1)) x(o) GROUP BY ALL")
 def factor_targets(tf_sites):
     variants = F.concat(F.lit("v"), F.col("start_pos") % 500, F.lit(";v"), F.col("start_pos") % 500 + 1)
-    got = fm.factor_targets(tf_sites.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", F.lit("."), variants, F.lit("."), "tf", F.lit("7")).alias("value")))
-    tfs = F.split("tfs", ",")
-    return got.select("variant", F.size(tfs).cast("long").alias("n"), F.size(F.array_distinct(tfs)).cast("long").alias("tfs"))
+    got = fm.factor_targets(tf_sites.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", F.lit("."), variants, F.lit("."), "tf", F.col("end_pos") % 9).alias("value")))
+    return got.select("variant", *(F.array_join(F.array_sort(F.split(c, ",")), ",").alias(c) for c in ("tfs", "scores")))  # SQL has no order of lines
 
 
 @query("a32_ids", "variants", "SELECT chrom, pos, ref, alt, CASE WHEN pos % 2 = 0 THEN 'k' || variant_id ELSE variant_id END AS variant_id FROM variants")

@@ -8,6 +8,6 @@ TPM = "(SELECT gene_id, sample_id, n, rpk / (sum(rpk) OVER (PARTITION BY sample_
 IMPUTED = "(SELECT variant_id, sample_id, coalesce(CAST(dosage AS DOUBLE), avg(dosage) OVER (PARTITION BY variant_id)) AS d FROM genotypes)"
 CIS = "(SELECT gene_id AS phenotype_id, variant_id, pos - start_pos AS tss_distance FROM genes g JOIN variants v ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos - 50000 AND g.start_pos + 50000)"
 NOMINAL = f"(SELECT p.phenotype_id, c.variant_id, tss_distance, count(*) - 2 AS dof, regr_r2(value, d) AS r2, regr_slope(value, d) AS slope, corr(value, d) AS r FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id GROUP BY ALL HAVING min(value) < max(value))"
-STATS = "round(r2, 6) AS r2, round(slope + 1e-9, 6) AS slope, round(slope / (r * sqrt(dof / (1 - r2))), 6) AS slope_se, round(r * sqrt(dof / (1 - r2)), 6) AS tstat"
+STATS = "round(r2, 6) AS r2, round(CAST(CAST(slope AS FLOAT) AS DOUBLE), 6) + 0.0 AS slope, round(slope / (r * sqrt(dof / (1 - r2))), 6) AS slope_se, round(r * sqrt(dof / (1 - r2)), 6) AS tstat"
 DEGREES = "(SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) e GROUP BY node)"
 PREPARED = "(SELECT n.node, coalesce(b.prize, 0.0) AS prize, coalesce(b.type, 'protein') AS type, b.prize IS NOT NULL AS terminal FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN (SELECT name, max(prize) AS prize, max(type) AS type FROM prizes GROUP BY name) b ON b.name = n.node)"

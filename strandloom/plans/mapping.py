@@ -11,12 +11,19 @@ from ..operators import association as qtl
 from ..operators import mapping as mp
 from ..operators import normalise as nm
 from .fragments import CIS, IMPUTED, NOMINAL, STATS
-from .registry import off_halves, query, rounded
+from .registry import query, rounded, single, single_sql
 
 #: The two-sided tail of Student's t for 23 degrees of freedom, a finite sum of powers of cosines.
 SERIES = " + ".join(f"{c!r} * power(co, {2 * k + 1})" for k, c in enumerate(accumulate(range(1, 11), lambda c, k: c * 2 * k / (2 * k + 1), initial=1.0)))
 MAF = f"(SELECT variant_id, CASE WHEN af <= 0.5 THEN af ELSE 1 - af END AS maf, CASE WHEN af <= 0.5 THEN up ELSE down END AS ma_samples, CASE WHEN af <= 0.5 THEN c ELSE 2 * n - s END AS ma_count FROM (SELECT variant_id, sum(d) / (2 * count(*)) AS af, count(*) AS n, sum(d) AS s, count(*) FILTER (d > 0.5) AS up, count(*) FILTER (d < 1.5) AS down, coalesce(sum(d) FILTER (d > 0.5), 0) AS c FROM {IMPUTED} g GROUP BY variant_id) q)"
 TESTED = f"(SELECT *, 1 - 2 / pi() * (th + si * ({SERIES})) AS p FROM (SELECT *, sin(th) AS si, cos(th) AS co FROM (SELECT *, atan(abs(r * sqrt(dof / (1 - r2))) / sqrt(dof)) AS th FROM {NOMINAL} n) a) b)"
+
+
+def tail(rows: str) -> str:
+    """Rows of r at 23 degrees of freedom, with the two-sided tail p of their t."""
+    return f"(SELECT *, 1 - 2 / pi() * (th + si * ({SERIES})) AS p FROM (SELECT *, sin(th) AS si, cos(th) AS co FROM (SELECT *, atan(abs(r) / sqrt(greatest(1 - r * r, 1e-300))) AS th FROM {rows} n) a) b)"
+
+
 QVAL = "(SELECT *, least(min(pi0 * m * pval_beta / r) OVER (ORDER BY pval_beta DESC), 1.0) AS qval FROM (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY pval_beta) AS r, CASE WHEN count(*) OVER () < 100 THEN 1.0 ELSE least(1.0, (count(*) FILTER (pval_beta > 0.94) OVER ()) / (count(*) OVER ()) / (1 - 0.94)) END AS pi0 FROM pvals) q)"
 
 # Normalisation
@@ -82,17 +89,17 @@ def unit_vectors(phenotypes):
     return rounded(live, "value").select("phenotype_id", "sample_id", "value")
 
 
-@query("e11_paired_correlation", "phenotypes counts", "SELECT gene_id, n, round(r, 6) AS r FROM (SELECT gene_id, count(*) AS n, corr(value, n) AS r FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id GROUP BY gene_id HAVING min(value) < max(value) AND min(n) < max(n)) q")
+@query("e11_paired_correlation", "phenotypes counts", "SELECT gene_id, n, round(r, 6) AS r, round(p, 6) AS pval, round(least(p * count(*) OVER (), 1.0), 6) AS adjusted FROM " + tail("(SELECT gene_id, count(*) AS n, 23 AS dof, corr(value, n) AS r FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id GROUP BY gene_id HAVING min(value) < max(value) AND min(n) < max(n))") + " q")
 def paired_correlation(phenotypes, counts):
     a = phenotypes.select(F.col("phenotype_id").alias("gene_id"), "sample_id", "value")
-    return rounded(mp.paired_correlation(a, counts.withColumnRenamed("n", "value"), "gene_id", "value"), "r").select("gene_id", "n", "r")
+    return rounded(mp.paired_correlation(a, counts.withColumnRenamed("n", "value"), "gene_id", "value"), "r", "pval", "adjusted").select("gene_id", "n", "r", "pval", "adjusted")
 
 
-@query("e13_spearman", "phenotypes counts", "SELECT gene_id, round(corr(a, b), 6) + 0.0 AS r FROM (SELECT gene_id, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY gene_id ORDER BY n) + (count(*) OVER (PARTITION BY gene_id, n) - 1) / 2.0 AS b FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) q GROUP BY gene_id HAVING min(a) < max(a) AND min(b) < max(b)")
+@query("e13_spearman", "phenotypes counts", "SELECT gene_id, round(r, 6) + 0.0 AS r, round(p, 6) AS pval FROM " + tail("(SELECT gene_id, 23 AS dof, corr(a, b) AS r FROM (SELECT gene_id, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY gene_id ORDER BY n) + (count(*) OVER (PARTITION BY gene_id, n) - 1) / 2.0 AS b FROM phenotypes p JOIN counts c ON c.gene_id = p.phenotype_id AND c.sample_id = p.sample_id) q GROUP BY gene_id HAVING min(a) < max(a) AND min(b) < max(b))") + " z")
 def spearman(phenotypes, counts):
     a = qtl.average_ranks(phenotypes.select(F.col("phenotype_id").alias("gene_id"), "sample_id", "value"), "gene_id", "value").select("gene_id", "sample_id", F.col("rank").alias("value"))
     b = qtl.average_ranks(counts, "gene_id", "n").select("gene_id", "sample_id", F.col("rank").alias("value"))
-    return rounded(mp.paired_correlation(a, b, "gene_id", "value"), "r").select("gene_id", (F.col("r") + 0.0).alias("r"))
+    return rounded(mp.paired_correlation(a, b, "gene_id", "value"), "r", "pval").select("gene_id", (F.col("r") + 0.0).alias("r"), "pval")
 
 
 @query("e15_fisher_exact", "genes peaks", 'SELECT count(*) FILTER (x AND y) AS "both", count(*) FILTER (x AND NOT y) AS only_one, count(*) FILTER (NOT x AND y) AS only_other, count(*) FILTER (NOT x AND NOT y) AS neither, round(count(*) FILTER (x AND y) * count(*) FILTER (NOT x AND NOT y) / nullif(count(*) FILTER (x AND NOT y) * count(*) FILTER (NOT x AND y), 0), 6) AS odds FROM (SELECT strand = \'+\' AS x, end_pos - start_pos > 600 AS y FROM genes) q')
@@ -107,7 +114,7 @@ def fisher_exact(genes, peaks):
 @query("q7_full", "genotypes phenotypes variants genes", f"SELECT t.phenotype_id, t.variant_id, tss_distance, round(maf, 6) AS maf, ma_samples, round(ma_count, 6) AS ma_count, {STATS}, round(p, 6) AS pval_nominal FROM {TESTED} t JOIN {MAF} m ON m.variant_id = t.variant_id WHERE maf >= 0.05")
 def full_nominal(genotypes, phenotypes, variants, genes):
     found = mp.full_nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes), 0.05)
-    return rounded(off_halves(found.drop("dof"), "slope"), "r2", "slope", "slope_se", "tstat", "maf", "ma_count", "pval_nominal")
+    return rounded(single(found.drop("dof"), "slope"), "r2", "slope_se", "tstat", "maf", "ma_count", "pval_nominal")
 
 
 @query("q2_difference", "genotypes phenotypes variants genes samples", None)
@@ -115,18 +122,21 @@ def difference(genotypes, phenotypes, variants, genes, samples):
     return mp.difference(genotypes, phenotypes, qtl.cis_pairs(variants, genes), samples, "condition", "CASE")
 
 
-@query("q8_best_in_group", "genotypes phenotypes variants genes", f"SELECT group_id, variant_id, round(max(r2), 6) AS r2 FROM (SELECT *, 'K' || CAST(CAST(substr(phenotype_id, 2) AS BIGINT) % 50 AS STRING) AS group_id FROM {NOMINAL} n) q GROUP BY group_id, variant_id")
+@query("q8_best_in_group", "genotypes phenotypes variants genes", f"SELECT group_id, variant_id, phenotype_id, tss_distance, {STATS} FROM (SELECT *, row_number() OVER (PARTITION BY group_id, variant_id ORDER BY round(abs(r), 12) DESC, phenotype_id) AS i FROM (SELECT *, 'K' || CAST(CAST(substr(phenotype_id, 2) AS BIGINT) % 50 AS STRING) AS group_id FROM {NOMINAL} n) q) z WHERE i = 1")
 def best_in_group(genotypes, phenotypes, variants, genes):
     groups = genes.select(F.col("gene_id").alias("phenotype_id"), F.concat(F.lit("K"), (F.substring("gene_id", 2, 20).cast("long") % 50).cast("string")).alias("group_id"))
-    return rounded(mp.best_in_group(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), groups), "r2").select("group_id", "variant_id", "r2")
+    best = mp.best_in_group(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), groups).drop("dof")
+    return rounded(single(best, "slope"), "r2", "slope_se", "tstat")
 
 
-@query("q9_interaction", "genotypes phenotypes variants genes samples", f"""SELECT phenotype_id, variant_id, tss_distance, round((xp * (gg * ii - gi * gi) + gp * (gi * ix - gx * ii) + ip * (gi * gx - gg * ix)) / det, 5) AS b_gi FROM (
+@query("q9_interaction", "genotypes phenotypes variants genes samples", f"""SELECT phenotype_id, variant_id, tss_distance, round(b_g, 5) AS b_g, round(b_i, 5) AS b_i, round(b_gi, 5) AS b_gi, round(sqrt((ii * xx - ix * ix) / det * rss / 21), 5) AS b_g_se, round(sqrt((gg * xx - gx * gx) / det * rss / 21), 5) AS b_i_se, round(sqrt((gg * ii - gi * gi) / det * rss / 21), 5) AS b_gi_se, round(b_gi / sqrt((gg * ii - gi * gi) / det * rss / 21), 4) AS t_gi FROM (SELECT *, pp - b_g * gp - b_i * ip - b_gi * xp AS rss FROM (SELECT *, (gp * (ii * xx - ix * ix) + ip * (gx * ix - gi * xx) + xp * (gi * ix - gx * ii)) / det AS b_g, (gp * (gx * ix - gi * xx) + ip * (gg * xx - gx * gx) + xp * (gi * gx - gg * ix)) / det AS b_i, (xp * (gg * ii - gi * gi) + gp * (gi * ix - gx * ii) + ip * (gi * gx - gg * ix)) / det AS b_gi FROM (
 SELECT *, gg * (ii * xx - ix * ix) - gi * (gi * xx - ix * gx) + gx * (gi * ix - ii * gx) AS det FROM (
-SELECT c.phenotype_id, c.variant_id, tss_distance, count(*) * var_pop(d) AS gg, count(*) * covar_pop(d, i) AS gi, count(*) * covar_pop(d, d * i) AS gx, count(*) * var_pop(i) AS ii, count(*) * covar_pop(i, d * i) AS ix, count(*) * var_pop(d * i) AS xx, count(*) * covar_pop(d, value) AS gp, count(*) * covar_pop(i, value) AS ip, count(*) * covar_pop(d * i, value) AS xp
-FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id JOIN (SELECT sample_id AS sid, cov1 AS i FROM samples) s ON sid = p.sample_id GROUP BY ALL HAVING min(value) < max(value)) a) b WHERE det > 1e-9 * gg * ii * xx""")
+SELECT c.phenotype_id, c.variant_id, tss_distance, count(*) * var_pop(d) AS gg, count(*) * covar_pop(d, i) AS gi, count(*) * covar_pop(d, d * i) AS gx, count(*) * var_pop(i) AS ii, count(*) * covar_pop(i, d * i) AS ix, count(*) * var_pop(d * i) AS xx, count(*) * covar_pop(d, value) AS gp, count(*) * covar_pop(i, value) AS ip, count(*) * covar_pop(d * i, value) AS xp, count(*) * var_pop(value) AS pp
+FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id JOIN (SELECT sample_id AS sid, cov1 AS i FROM samples) s ON sid = p.sample_id GROUP BY ALL HAVING min(value) < max(value)) a) b WHERE det > 1e-9 * gg * ii * xx) c) d WHERE rss > 1e-9 * pp""")
 def interaction(genotypes, phenotypes, variants, genes, samples):
-    return rounded(mp.interaction(genotypes, phenotypes, qtl.cis_pairs(variants, genes), samples, "cov1"), "b_gi", digits=5).select("phenotype_id", "variant_id", "tss_distance", "b_gi")
+    names = ["b_g", "b_i", "b_gi", "b_g_se", "b_i_se", "b_gi_se"]
+    found = mp.interaction(genotypes, phenotypes, qtl.cis_pairs(variants, genes), samples, "cov1")
+    return rounded(rounded(found, *names, digits=5), "t_gi", digits=4).select("phenotype_id", "variant_id", "tss_distance", *names, "t_gi")
 
 
 @query("q11_permuted", "genotypes phenotypes variants genes", None)
@@ -165,11 +175,11 @@ def adjusted_by_tests(genotypes, phenotypes, variants, genes):
 LISTED = "(SELECT gene_id AS phenotype_id, variant_id FROM genes g JOIN variants v ON v.chrom = g.chrom AND v.pos BETWEEN g.end_pos - 20000 AND g.end_pos + 20000)"
 
 
-@query("q3_by_pairs", "genotypes phenotypes variants genes", f"SELECT * FROM (SELECT c.phenotype_id, c.variant_id, round(regr_r2(value, d), 6) AS r2, round(regr_slope(value, d) + 1e-9, 6) AS slope FROM {LISTED} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id GROUP BY ALL HAVING min(value) < max(value) AND min(d) < max(d)) q")
+@query("q3_by_pairs", "genotypes phenotypes variants genes", f"SELECT * FROM (SELECT c.phenotype_id, c.variant_id, round(regr_r2(value, d), 6) AS r2, {single_sql('regr_slope(value, d)')} AS slope FROM {LISTED} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id GROUP BY ALL HAVING min(value) < max(value) AND min(d) < max(d)) q")
 def by_pairs(genotypes, phenotypes, variants, genes):
     ends = genes.withColumn("start_pos", F.col("end_pos"))
     found = mp.by_pairs(genotypes, phenotypes, qtl.cis_pairs(variants, ends, 20_000))
-    return rounded(off_halves(found, "slope"), "r2", "slope").select("phenotype_id", "variant_id", "r2", "slope")
+    return rounded(single(found, "slope"), "r2").select("phenotype_id", "variant_id", "r2", "slope")
 
 
 @query("q12_grouped_leads", "genotypes phenotypes variants genes", None)

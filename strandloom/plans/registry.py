@@ -30,6 +30,10 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def off_halves(df: DataFrame, name: str) -> DataFrame:
-    """The column moved by 1e-9, off the exact halves of its last digit, which engines may round apart."""
-    return df.withColumn(name, F.col(name) + 1e-9)
+def single(df: DataFrame, *names: str) -> DataFrame:
+    """The columns in single precision, in which results are kept, with six digits: engines may round a double's exact halves apart."""
+    return df.withColumns({n: F.round(F.col(n).cast("float").cast("double"), 6) + 0.0 for n in names})
+
+
+def single_sql(text: str) -> str:
+    return f"round(CAST(CAST({text} AS FLOAT) AS DOUBLE), 6) + 0.0"

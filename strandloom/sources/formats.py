@@ -90,9 +90,9 @@ def phenotype_positions(regions: DataFrame) -> DataFrame:
 
 
 def phenotype_lines(regions: DataFrame, values: DataFrame, samples: list[str]) -> DataFrame:
-    """Phenotype BED lines: chromosomes without chr, a column per sample, six decimals."""
+    """Phenotype BED lines: chromosomes without chr, a column per sample, six decimals, NA for missing ones."""
     packed = values.groupBy("phenotype_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("m"))
-    own = [F.format_string("%.6f", F.col("m")[n]) for n in samples]
+    own = [F.coalesce(F.when(F.col("m")[n].isNotNull(), F.format_string("%.6f", F.col("m")[n])), F.lit("NA")) for n in samples]
     line = F.concat_ws(TAB, F.regexp_replace("chrom", "^chr", ""), F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), "phenotype_id", *own)
     return regions.join(packed, "phenotype_id").orderBy("chrom", "start_pos").select(line.alias("value"))
 
@@ -102,7 +102,7 @@ def read_phenotypes(rows: DataFrame, samples: list[str]) -> DataFrame:
     parts = F.split("value", TAB)
     names = F.array(*(F.lit(n) for n in samples))
     got = rows.where(~F.col("value").startswith("#")).select(F.concat(F.lit("chr"), parts[0]).alias("chrom"), parts[1].cast("long").alias("start_pos"), parts[2].cast("long").alias("end_pos"), parts[3].alias("phenotype_id"), F.explode(F.arrays_zip(names.alias("s"), F.slice(parts, 5, len(samples)).alias("v"))).alias("x"))
-    return got.select("phenotype_id", "chrom", "start_pos", "end_pos", F.col("x.s").alias("sample_id"), F.col("x.v").cast("double").alias("value"))
+    return got.select("phenotype_id", "chrom", "start_pos", "end_pos", F.col("x.s").alias("sample_id"), F.col("x.v").try_cast("double").alias("value"))
 
 
 def read_feature_counts(rows: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def difference(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, sa
 
 
 def best_in_group(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """For each group of phenotypes and variant, the phenotype of largest |t|; ties to the smaller phenotype id."""
+    """For each group of phenotypes and variant, the phenotype of largest |t|; ties, of nine digits, to the smaller phenotype id."""
     named = found.join(groups, "phenotype_id")
-    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.abs("tstat")), "phenotype_id")
+    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.round(F.abs("tstat"), 9)), "phenotype_id")
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

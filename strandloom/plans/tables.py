@@ -101,12 +101,12 @@ def eqtl(variants):
     return tb.read_eqtl(spark, tb.write_table(own, tb.scratch(spark, "eqtl")))
 
 
-@query("a21_gwas", "pvals", "SELECT phenotype_id, round(pval_beta, 9) AS p FROM pvals")
+@query("a21_gwas", "pvals", "SELECT phenotype_id, pval_beta AS p FROM pvals")
 def gwas(pvals):
     spark = pvals.sparkSession
-    text = tb.write_table(pvals.select("phenotype_id", F.format_string("%.12f", "pval_beta").alias("p")), tb.scratch(spark, "gwas"), sep=" ")
+    text = tb.write_table(pvals.select("phenotype_id", F.col("pval_beta").cast("string").alias("p")), tb.scratch(spark, "gwas"), sep=" ")
     path = tb.scratch(spark, "gwas")
-    tb.read_table(spark, text, " ").withColumn("p", F.round(F.col("p").cast("double"), 9)).write.parquet(path)
+    tb.read_table(spark, text, " ").withColumn("p", F.col("p").cast("double")).write.parquet(path)
     return spark.read.parquet(path)
 
 

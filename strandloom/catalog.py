@@ -134,9 +134,9 @@ def expressed(counts, genes):
     return qtl.expressed(counts, genes)
 
 
-@query("a34_covariates", "samples", "SELECT sample_id, CASE condition WHEN 'CASE' THEN 1 ELSE -1 END AS condition, CASE sex WHEN 'Female' THEN 1 ELSE -1 END AS sex FROM samples")
-def covariates(samples):
-    return samples.select("sample_id", F.when(F.col("condition") == "CASE", 1).otherwise(-1).alias("condition"), F.when(F.col("sex") == "Female", 1).otherwise(-1).alias("sex"))
+@query("a34_covariates", "people", "SELECT sample_id, CASE condition WHEN 'CASE' THEN 1 ELSE -1 END AS condition, CASE sex WHEN 'Female' THEN 1 ELSE -1 END AS sex FROM people")
+def covariates(people):
+    return people.select("sample_id", F.when(F.col("condition") == "CASE", 1).otherwise(-1).alias("condition"), F.when(F.col("sex") == "Female", 1).otherwise(-1).alias("sex"))
 
 
 @query("e4_imputed", "genotypes", f"SELECT variant_id, sample_id, round(d, 6) AS dosage FROM {IMPUTED} g")

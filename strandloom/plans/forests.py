@@ -73,13 +73,14 @@ def robust_subgraph(counts, edges):
     return fo.robust_subgraph(edges, nodes, 100, 3)
 
 
-LINKAGE = "(SELECT 25 + s_ord AS id, 2 * s_ord AS l, 2 * s_ord + 1 AS r FROM samples WHERE s_ord < 24)"
+LINKAGE = "(SELECT m + p_ord - lo AS id, 2 * (p_ord - lo) AS l, 2 * (p_ord - lo) + 1 AS r FROM people, (SELECT count(*) AS m, min(p_ord) AS lo FROM people) t WHERE p_ord - lo < m - 1)"
 
 
-@query("g27_clades", "samples", f"SELECT clade, sample FROM (WITH RECURSIVE c AS (SELECT id AS clade, l AS member FROM {LINKAGE} a UNION ALL SELECT id, r FROM {LINKAGE} a UNION ALL SELECT c.clade, unnest([l, r]) FROM c JOIN {LINKAGE} b ON b.id = c.member) SELECT clade, member AS sample FROM c WHERE member < 25) q")
-def clades(samples):
-    s = F.col("s_ord")
-    return fo.clades(samples.where(s < 24).select((25 + s).alias("id"), (2 * s).alias("left"), (2 * s + 1).alias("right")))
+@query("g27_clades", "people", f"SELECT clade, sample FROM (WITH RECURSIVE k AS (SELECT count(*) AS m FROM people), c AS (SELECT id AS clade, l AS member FROM {LINKAGE} a UNION ALL SELECT id, r FROM {LINKAGE} a UNION ALL SELECT c.clade, unnest([l, r]) FROM c JOIN {LINKAGE} b ON b.id = c.member) SELECT clade, member AS sample FROM c, k WHERE member < m) q")
+def clades(people):
+    m, lo = people.agg(F.count("*"), F.min("p_ord")).first()
+    s = F.col("p_ord") - (lo or 0)
+    return fo.clades(people.where(s < m - 1).select((m + s).alias("id"), (2 * s).alias("left"), (2 * s + 1).alias("right")))
 
 
 INNER = REACH.replace("SELECT src, dst FROM edges", "SELECT src, dst FROM held").replace("SELECT dst, src FROM edges", "SELECT dst, src FROM held")

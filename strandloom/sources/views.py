@@ -8,6 +8,7 @@ BASE = ("nation", "part", "orders", "customer", "lineitem", "supplier")
 
 VIEWS = {
     "samples": """SELECT CAST(n_nationkey AS BIGINT) AS s_ord, 'S' || CAST(n_nationkey AS STRING) AS sample_id, CASE WHEN n_nationkey % 2 = 0 THEN 'CASE' ELSE 'CTRL' END AS condition, CASE WHEN n_nationkey % 3 = 0 THEN 'Female' ELSE 'Male' END AS sex, CAST((n_nationkey * 7) % 11 AS DOUBLE) AS cov1 FROM {nation}""",
+    "people": """SELECT c_custkey AS p_ord, 'C' || CAST(c_custkey AS STRING) AS sample_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'CASE' ELSE 'CTRL' END AS condition, CASE WHEN c_nationkey % 3 = 0 THEN 'Female' ELSE 'Male' END AS sex FROM {customer}""",
     "genes": """SELECT 'G' || CAST(p_partkey AS STRING) AS gene_id, 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, (p_partkey * 7919) % 1000000 AS start_pos, (p_partkey * 7919) % 1000000 + CAST(p_size AS BIGINT) * 20 + 100 AS end_pos, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {part}""",
     "peaks": """SELECT 'P' || CAST(o_orderkey AS STRING) AS peak_id, 'chr' || CAST(o_orderkey % 22 + 1 AS STRING) AS chrom, (o_orderkey * 104729) % 1000000 AS start_pos, (o_orderkey * 104729) % 1000000 + 200 + (o_orderkey % 7) * 50 AS end_pos FROM {orders}""",
     "variants": """SELECT 'rs' || CAST(c_custkey AS STRING) AS variant_id, 'chr' || CAST(c_custkey % 22 + 1 AS STRING) AS chrom, (c_custkey * 6151) % 1000000 + 1 AS pos, CASE c_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' ELSE 'T' END AS ref, CASE c_custkey % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'T' WHEN 2 THEN 'A' ELSE 'C' END AS alt FROM {customer}""",

@@ -469,3 +469,19 @@ def test_pipeline_stage_by_stage(spark, none):
     assert Counter(map(key, packed)) == Counter({k: n for k, n in Counter(tuple(r[names.index(c)] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in whole.elements()).items()})
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), SF).count() == 0
+
+
+def test_recall_of_the_forest(spark):
+    """Real splits: the vectors of sf0.1, each with four others at cosines about the threshold, against brute force."""
+    rng = np.random.default_rng(8)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").where("embedding IS NOT NULL").collect()
+    base = np.array([r.embedding for r in rows], float)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = np.concatenate([base, *(base + rng.uniform(0.2, 0.6) / np.sqrt(base.shape[1]) * rng.standard_normal(base.shape) for _ in range(4))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([(u[lo : lo + 1000] @ u.T >= 0.9).sum(1) for lo in range(0, len(u), 1000)]) - 1
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_forest.near_duplicates(frame).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and want.sum() > len(x) and found.sum() >= 0.9 * want.sum()
+    print("recall", found.sum() / want.sum(), len(x), want.sum() // 2)

@@ -59,18 +59,17 @@ def star(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for each end of a link the smallest node that it reaches.
 
-    Alternates large-star and small-star steps until the links form stars. Each step is aggregates and
-    joins; the links go through the shared folder, so a lost executor costs one step. Nodes are longs.
+    Alternates large-star and small-star steps until the links form stars: until no node that has a smaller
+    neighbour has another one. Each step is aggregates and joins; the links go through the shared folder, so a
+    lost executor costs one step. Nodes are longs.
     """
     edges = stored(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    seen = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        seen = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if not least.agg(F.max(F.expr("m < u AND n > 1"))).first()[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        least = least.select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", "m")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(root.select("u", "m")).distinct()

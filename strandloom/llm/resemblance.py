@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, the whole sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links and MinHash bands propose, the whole sets decide."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import one_of_each, per_batch, runs, stored
 from .graph import blocks, components, group_ends, star
+from .simhash import links, voted
 
 BANDS, ROWS = 25, 4
 _RNG = np.random.default_rng(20)
@@ -49,13 +50,13 @@ def key(hashes: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, key, cells): key is a hash of the whole set, so texts of equal sets are one point."""
+    """(doc_id, h, key, fp, cells): key is a hash of the whole set, so texts of equal sets are one point; fp is the set's SimHash."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": [key(s) for s in sets], "cells": [cells(s) for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": [key(s) for s in sets], "fp": np.array([voted(s) for s in sets], np.uint64).view(np.int64), "cells": [cells(s) for s in sets]}
 
-    return per_batch(documents, run, "doc_id long, h long, key long, cells array<long>")
+    return per_batch(documents, run, "doc_id long, h long, key long, fp long, cells array<long>")
 
 
 def whole_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -76,8 +77,8 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both / max(1, small + large - both) >= least
 
 
-def checked(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links (a, b) whose whole sets are similar."""
+def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +86,7 @@ def checked(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             near = [similar(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), least) for p, q in zip(x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    rows = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -109,17 +110,17 @@ def close(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 
 def compared(members: DataFrame, least: float, limit: int) -> DataFrame:
-    """(a, b): per block of a cell a spanning forest of the similar pairs that are of different components yet.
+    """(a, b): per block of a cell the components that a spanning forest of its similar pairs joins.
 
     members: (cell, key, of, shingles).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["cell", "_i", "_j"], 4 * limit):
-            keys, of, chunk, i, j = (table.column(c).to_numpy() for c in ("key", "of", "_c", "_i", "_j"))
+            of, chunk, i, j = (table.column(c).to_numpy() for c in ("of", "_c", "_i", "_j"))
             ends = group_ends(table.column("cell").to_numpy(), i, j)
             lo = 0
-            while lo < len(keys):
+            while lo < len(of):
                 hi = int(ends[lo])
                 sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles").slice(lo, hi - lo)]
                 near = close(sets, least) & (of[lo:hi, None] != of[lo:hi])
@@ -129,37 +130,43 @@ def compared(members: DataFrame, least: float, limit: int) -> DataFrame:
                 if len(a):
                     label = star(hi - lo, a, b)
                     own = label != np.arange(hi - lo)
-                    yield pa.RecordBatch.from_pydict({"a": keys[lo:hi][own], "b": keys[lo:hi][label[own]]})
+                    yield pa.RecordBatch.from_pydict({"a": of[lo:hi][own], "b": of[lo:hi][label[own]]})
                 lo = hi
 
     return blocks(members, "cell", "key", limit).mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(documents: DataFrame, words: int = 5, least: float = 0.8, limit: int = 128) -> DataFrame:
+def groups(documents: DataFrame, words: int = 5, least: float = 0.8, distance: int = 4, limit: int = 128) -> DataFrame:
     """(doc_id, h, of, component_id), h the xxhash64 of the text, of a name of the component: the smallest doc_id that each document reaches over pairs of similarity `least` or more.
 
-    Words are runs other than ASCII white space, A-Z lower-cased; wordless texts are equal. Bands of minima
-    propose: at similarity 0.8 all 25 miss a pair with probability 2e-6, above it less. The whole sets decide
-    every pair; rows without doc_id are left out, repeated rows repeat, no rows give no rows: first each member of a cell against the cell's smallest, which joins most groups at a cost in
-    proportion to the members; then, in the cells that still hold different components, each pair across them.
+    Words are runs other than ASCII white space, A-Z lower-cased; wordless texts are equal. The links of the
+    sets' SimHash fingerprints at `distance` or fewer bits and 25 bands of minima propose; the bands alone miss
+    a pair of similarity 0.8 with probability 2e-6, above it less. The whole sets decide every pair; rows
+    without doc_id are left out, repeated rows repeat, no rows give no rows. First come the links and each
+    member of a cell against the cell's smallest, which joins most groups at a cost in proportion to the
+    members; then, in the cells that still hold different components, each pair across them.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
     rows = stored(sketches(docs, words), "sketches")
-    points = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")), "points")
+    points = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")), "points")
+    prints = points.groupBy("fp").agg(F.min("key").alias("rep"))
+    equal = points.join(prints.toDF("fp", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
     members = points.select("key", F.explode("cells").alias("cell"))
     heads = members.groupBy("cell").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(members.join(heads, "cell").select("cell", "key", "head"), "cells")
-    reps = points.join(shared.select("key").distinct(), "key").select(F.col("rep").alias("_rep")).distinct()
+    met = shared.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    pairs = met.union(links(prints, distance)).union(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
+    named = shared.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    reps = points.join(named, "key").select(F.col("rep").alias("_rep")).distinct()
     sets = stored(whole_sets(docs.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi"), words).dropDuplicates(["key"]), "sets")
-    first = stored(checked(shared.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), sets, least), "similar")
-    found = components(first, "a", "b")
-    placed = shared.join(found, F.col("key") == F.col("node"), "left").select("cell", "key", F.coalesce("component", "key").alias("of"))
-    placed = stored(placed, "placed")
+    found = components(checked(pairs, sets, least), "a", "b")
+    of = points.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("one"))
+    of = stored(of, "placed")
+    placed = shared.select("cell", "key").join(of.select("key", F.col("one").alias("of")), "key")
     mixed = placed.groupBy("cell").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("cell")
-    second = stored(compared(placed.join(mixed, "cell").join(sets, "key"), least, limit), "similar")
-    found = components(first.union(second), "a", "b")
-    of = points.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("of"))
-    of = stored(of, "components")
+    found = components(compared(placed.join(mixed, "cell").join(sets, "key"), least, limit), "a", "b")
+    of = of.join(found, F.col("one") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "one").alias("of"))
     least_id = of.groupBy("of").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "h", "key").join(of.select("key", "of"), "key").join(least_id, "of").select("doc_id", "h", "of", "component_id")
 

@@ -16,6 +16,15 @@ from .graph import blocks, components, group_ends, star
 LOW = 0x5555555555555555
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the hashes; 0 of none."""
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 4096):
+        part = np.ascontiguousarray(hashes[lo : lo + 4096], "<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """64-bit SimHash of the shingles of a text, repeats included; 0 for a text without words."""
     import xxhash
@@ -28,11 +37,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     starts = (np.append(0, ends[:-1] + 1)[:n]).tolist()
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    for lo in range(0, n, 4096):
-        hashes = np.array([h(line[s:e], 42) for s, e in zip(starts[lo : lo + 4096], stops[lo : lo + 4096])], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+    return voted(np.fromiter((h(line[s:e], 42) for s, e in zip(starts, stops)), np.uint64, n))
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_of_each, per_batch, runs, stored
-from .graph import blocks, components, group_ends, star
+from .graph import components, group_ends, star
 from .simhash import links, voted
 
 BANDS, ROWS = 25, 4
@@ -50,13 +50,13 @@ def key(hashes: np.ndarray) -> int:
 
 
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, key, fp, cells): key is a hash of the whole set, so texts of equal sets are one point; fp is the set's SimHash."""
+    """(doc_id, h, key, size, fp, cells): key is a hash of the whole set, so texts of equal sets are one point; fp is the set's SimHash."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": [key(s) for s in sets], "fp": np.array([voted(s) for s in sets], np.uint64).view(np.int64), "cells": [cells(s) for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": [key(s) for s in sets], "size": [len(s) for s in sets], "fp": np.array([voted(s) for s in sets], np.uint64).view(np.int64), "cells": [cells(s) for s in sets]}
 
-    return per_batch(documents, run, "doc_id long, h long, key long, fp long, cells array<long>")
+    return per_batch(documents, run, "doc_id long, h long, key long, size long, fp long, cells array<long>")
 
 
 def whole_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -109,14 +109,40 @@ def close(sets: list[np.ndarray], least: float) -> np.ndarray:
     return both.astype(np.float64) / np.maximum(1, n[:, None] + n - both.astype(np.float64)) >= least
 
 
-def compared(members: DataFrame, least: float, limit: int) -> DataFrame:
+def across(members: DataFrame, rows: int, items: int) -> DataFrame:
+    """Blocks, as graph.blocks() makes them, in which the members of different components of each cell meet.
+
+    members: (cell, key, of, size). A cell of up to `rows` members and `items` shingles is one block. Of a larger
+    one the largest component has chunks of its own, which meet those of the rest but not each other, so rows grow
+    with its members times the chunks of the rest. Cells of one component are left out.
+    """
+    parts = members.groupBy("cell", "of").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sums = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "of", "s")).alias("m")).where("parts > 1")
+    chunks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / rows), F.ceil(s / items)).cast("int")
+    large = (F.col("n") > rows) | (F.col("s") > items)
+    sizes = sums.select(
+        "cell",
+        F.when(large, F.col("m.of")).alias("_main"),
+        F.when(large, chunks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s"))).otherwise(1).alias("_rest"),
+        F.when(large, chunks(F.col("m.n"), F.col("m.s"))).otherwise(0).alias("_more"),
+    )
+    main, hashed = F.col("of").eqNullSafe(F.col("_main")), F.xxhash64("key")
+    return (
+        members.join(sizes, "cell")
+        .withColumn("_c", F.when(main, F.col("_rest") + F.pmod(hashed, F.greatest("_more", F.lit(1)))).otherwise(F.pmod(hashed, F.col("_rest"))).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(main, F.col("_rest")).otherwise(F.col("_rest") + F.col("_more")) - 1)))
+        .select("cell", "key", "of", "_c", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"))
+    )
+
+
+def compared(members: DataFrame, sets: DataFrame, least: float, rows: int, items: int) -> DataFrame:
     """(a, b): per block of a cell the components that a spanning forest of its similar pairs joins.
 
-    members: (cell, key, of, shingles).
+    members: (cell, key, of, size); a block holds about 2 * rows members and 2 * items shingles at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["cell", "_i", "_j"], 4 * limit):
+        for table in runs(batches, ["cell", "_i", "_j"], rows):
             of, chunk, i, j = (table.column(c).to_numpy() for c in ("of", "_c", "_i", "_j"))
             ends = group_ends(table.column("cell").to_numpy(), i, j)
             lo = 0
@@ -133,10 +159,11 @@ def compared(members: DataFrame, least: float, limit: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"a": of[lo:hi][own], "b": of[lo:hi][label[own]]})
                 lo = hi
 
-    return blocks(members, "cell", "key", limit).mapInArrow(run, "a long, b long").distinct()
+    held = across(members, rows, items).join(sets, "key").repartition("cell", "_i", "_j").sortWithinPartitions("cell", "_i", "_j")
+    return held.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(documents: DataFrame, words: int = 5, least: float = 0.8, distance: int = 4, limit: int = 128) -> DataFrame:
+def groups(documents: DataFrame, words: int = 5, least: float = 0.8, distance: int = 4, rows: int = 512, items: int = 500_000) -> DataFrame:
     """(doc_id, h, of, component_id), h the xxhash64 of the text, of a name of the component: the smallest doc_id that each document reaches over pairs of similarity `least` or more.
 
     Words are runs other than ASCII white space, A-Z lower-cased; wordless texts are equal. The links of the
@@ -144,11 +171,12 @@ def groups(documents: DataFrame, words: int = 5, least: float = 0.8, distance: i
     a pair of similarity 0.8 with probability 2e-6, above it less. The whole sets decide every pair; rows
     without doc_id are left out, repeated rows repeat, no rows give no rows. First come the links and each
     member of a cell against the cell's smallest, which joins most groups at a cost in proportion to the
-    members; then, in the cells that still hold different components, each pair across them.
+    members; then, in the cells that still hold different components, each pair across them, by blocks of at
+    most about 2 * rows texts and 2 * items shingles.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
-    rows = stored(sketches(docs, words), "sketches")
-    points = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")), "points")
+    sketched = stored(sketches(docs, words), "sketches")
+    points = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("cells").alias("cells")), "points")
     prints = points.groupBy("fp").agg(F.min("key").alias("rep"))
     equal = points.join(prints.toDF("fp", "b"), "fp").where("key != b").select(F.col("key").alias("a"), "b")
     members = points.select("key", F.explode("cells").alias("cell"))
@@ -161,14 +189,13 @@ def groups(documents: DataFrame, words: int = 5, least: float = 0.8, distance: i
     reps = points.join(named, "key").select(F.col("rep").alias("_rep")).distinct()
     sets = stored(whole_sets(docs.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi"), words).dropDuplicates(["key"]), "sets")
     found = components(checked(pairs, sets, least), "a", "b")
-    of = points.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("one"))
+    of = points.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "key").alias("one"))
     of = stored(of, "placed")
-    placed = shared.select("cell", "key").join(of.select("key", F.col("one").alias("of")), "key")
-    mixed = placed.groupBy("cell").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("cell")
-    found = components(compared(placed.join(mixed, "cell").join(sets, "key"), least, limit), "a", "b")
+    placed = shared.select("cell", "key").join(of.select("key", F.col("one").alias("of"), "size"), "key")
+    found = components(compared(placed, sets, least, rows, items), "a", "b")
     of = of.join(found, F.col("one") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "one").alias("of"))
     least_id = of.groupBy("of").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "h", "key").join(of.select("key", "of"), "key").join(least_id, "of").select("doc_id", "h", "of", "component_id")
+    return sketched.select("doc_id", "h", "key").join(of.select("key", "of"), "key").join(least_id, "of").select("doc_id", "h", "of", "component_id")
 
 
 def first_of_each(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -108,8 +108,8 @@ def test_near_copies_of_the_pipeline(spark, docs, none):
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
     label = simhash.star(len(sets), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
     frame = spark.createDataFrame(rows, COLUMNS)
-    for limit in (128, 3):
-        assert {(r.doc_id, r.component_id) for r in resemblance.groups(frame, limit=limit).collect()} == set(enumerate(label.tolist()))
+    for block in ({}, {"rows": 3}, {"items": 500}):
+        assert {(r.doc_id, r.component_id) for r in resemblance.groups(frame, **block).collect()} == set(enumerate(label.tolist()))
     assert {r.doc_id for r in corpus_pipeline.simhash(spark, frame, SF).collect()} == set(label.tolist())
     assert resemblance.groups(none).count() == 0 and corpus_pipeline.simhash(spark, docs, SF).columns == docs.columns
 
@@ -117,9 +117,25 @@ def test_near_copies_of_the_pipeline(spark, docs, none):
 def test_near_copies_that_only_meet_away_from_the_head(spark):
     words = [f"w{i}" for i in range(120)]
     sets = [resemblance.shingles(" ".join(words[lo : lo + 60])) for lo in (0, 30, 33, 60)]
-    frame = spark.createDataFrame([(0, k, k, bytearray(s.tobytes())) for k, s in enumerate(sets)] + [(0, 9, 1, bytearray(sets[1].tobytes()))], "cell long, key long, of long, shingles binary")
-    for limit in (128, 1):
-        assert {frozenset((r.a, r.b)) for r in resemblance.compared(frame, 0.8, limit).collect()} & {frozenset((1, 2)), frozenset((2, 9))}
+    members = [*enumerate(sets), (9, sets[1])]
+    frame = spark.createDataFrame([(0, k, min(k, k % 8), len(s)) for k, s in members], "cell long, key long, of long, size long")
+    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in members], "key long, shingles binary")
+    for rows, items in ((512, 500_000), (1, 500_000), (512, 60)):
+        assert {frozenset((r.a, r.b)) for r in resemblance.compared(frame, held, 0.8, rows, items).collect()} & {frozenset((1, 2)), frozenset((2, 9))}
+
+
+def test_blocks_of_a_cell_let_all_components_meet(spark):
+    of = [0] * 50 + [1] * 7 + [2, 3, 4]  # one large component in cell 0, one only in cell 1, two equal ones in cell 2
+    rows = [(0, k, c, 1 + k % 9) for k, c in enumerate(of)] + [(1, k, 5, 4) for k in range(9)] + [(2, k, k % 2, 4) for k in range(20)]
+    frame = spark.createDataFrame(rows, "cell long, key long, of long, size long")
+    for limits in ((4, 1000), (100, 20), (100, 1000)):
+        blocks = {}
+        for r in resemblance.across(frame, *limits).collect():
+            blocks.setdefault((r.cell, r._i, r._j), []).append((r.key, r.of, r._c))
+        met = {(cell, *sorted((x[0], y[0]))) for (cell, i, j), held in blocks.items() for x in held for y in held if x[1] != y[1] and (i == j or x[2] != y[2])}
+        assert met == {(c, k, m) for c, k, one, _ in rows for d, m, other, _ in rows if c == d and k < m and one != other}
+        if limits[0] == 4:
+            assert not any(len({o for _, o, _ in held}) < 2 and held[0][1] == 0 for (cell, *_), held in blocks.items() if cell == 0)
 
 
 def test_long_repeats(spark, docs, none):

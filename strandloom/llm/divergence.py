@@ -124,7 +124,7 @@ def divergences(documents: DataFrame, least: int = 30, top: int = 50, block: int
     groups = stored(groups.withColumn("source_no", F.row_number().over(numbered).cast("long")), "groups")
 
     terms = kept.groupBy("lang", "term").agg(F.max("all").alias("all")).join(vocabulary, "lang")
-    terms = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / block)).cast("int"))
+    terms = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / block)).cast("int")).repartition("lang", "block")
     place = F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("all"), "term")) - 1
     terms = terms.withColumn("place", place).select("lang", "term", "block", F.floor(F.col("place") / WORD).cast("int").alias("word"), (F.col("place") % WORD).cast("int").alias("bit"))
     own = groups.select("lang", "source", "source_no", "total", "v")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import intervals
 from .prefix import in_ranges, running
+from .samples import by_mask, complete, packed
 
 
 def tpm(counts: DataFrame, genes: DataFrame) -> DataFrame:
@@ -52,22 +53,19 @@ def constant(phenotypes: DataFrame) -> DataFrame:
     return phenotypes.groupBy("phenotype_id").agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a = b").select("phenotype_id")
 
 
-def vectors(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """(key, name): the values of a row in sample order, less their mean."""
-    got = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", F.col(value).cast("double").alias("x")))), lambda s: s["x"]).alias("v"))
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    return got.withColumn("m", mean).select(key, F.transform("v", lambda x: x - F.col("m")).alias(name))
-
-
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nominal(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each pair's r2, slope, its error and t statistic. Rows are packed once, so a pair moves two arrays, not samples. A perfect fit has a null t, a slope of 0 a null error."""
-    g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
-    both = pairs.join(p, "phenotype_id").join(g, "variant_id")
-    s = both.select("phenotype_id", "variant_id", "tss_distance", dot("g", "p").alias("gp"), dot("g", "g").alias("gg"), dot("p", "p").alias("pp"), (F.size("g") - 2).alias("dof")).where("gg > 0")
+def nominal(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, same: bool = False) -> DataFrame:
+    """Each pair's r2, slope, its error and t statistic, over the samples that both tables have and the phenotype has values of.
+
+    Rows are packed once, so a pair moves two arrays, not samples. A perfect fit has a null t, a slope of 0 a null error.
+    With same, a sample that one table lacks is an error.
+    """
+    g, p, _ = packed(genotypes, phenotypes, same=same)
+    both = complete(pairs.join(p, "phenotype_id").join(g, "variant_id"), "p", ["g"])
+    s = both.select("phenotype_id", "variant_id", "tss_distance", dot("g", "p").alias("gp"), dot("g", "g").alias("gg"), dot("p", "p").alias("pp"), (F.size("g") - 2).alias("dof")).where("gg > 1e-20 AND dof > 0")
     s = s.withColumn("r2", F.col("gp") * F.col("gp") / (F.col("gg") * F.col("pp"))).withColumn("slope", F.col("gp") / F.col("gg"))
     s = s.withColumn("tstat", F.signum("gp") * F.sqrt(F.try_divide(F.col("dof") * F.col("r2"), 1 - F.col("r2"))))
     return s.select("phenotype_id", "variant_id", "tss_distance", "dof", "r2", "slope", F.try_divide("slope", "tstat").alias("slope_se"), "tstat")
@@ -131,7 +129,8 @@ def group_t(rows: DataFrame, samples: DataFrame, key: str, value: str, group: st
 
 
 def trans_pairs(genotypes: DataFrame, phenotypes: DataFrame, variants: DataFrame, genes: DataFrame, least_r2: float, window: int = 5_000_000, block: int = 2000) -> DataFrame:
-    """Pairs of strong correlation that are not on one chromosome within the window.
+    """Pairs of strong correlation, over the samples that both tables have and the phenotype has values of, that are not on
+    one chromosome within the window.
 
     Packed variants and phenotypes are dealt into blocks of about `block` rows; each block of the ones meets each of
     the others as matrices in a task of its own, which emits what passes.
@@ -139,7 +138,7 @@ def trans_pairs(genotypes: DataFrame, phenotypes: DataFrame, variants: DataFrame
     import numpy as np
     import pandas as pd
 
-    g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes, "phenotype_id", "value", "p")
+    g, p, _ = packed(genotypes, phenotypes)
     m, n = (max(1, -(-x.count() // block)) for x in (variants, genes))
 
     def dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
@@ -150,11 +149,15 @@ def trans_pairs(genotypes: DataFrame, phenotypes: DataFrame, variants: DataFrame
         empty = pd.DataFrame({"variant_id": [], "phenotype_id": [], "r2": []})
         if not len(left) or not len(right):
             return empty
-        a, b = np.stack(left["g"]), np.stack(right["p"])
-        a, b = (x / np.where((n := np.linalg.norm(x, axis=1)) > 0, n, np.inf)[:, None] for x in (a, b))
-        r2 = (a @ b.T) ** 2
-        i, j = np.nonzero(r2 >= least_r2)
-        return pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[i], "phenotype_id": right["phenotype_id"].to_numpy()[j], "r2": r2[i, j]})
+        a, b = np.stack(left["g"]), np.stack(right["p"]).astype(float)
+        found = []
+        for rows, own in by_mask(b):
+            x, y = (z - z.mean(1, keepdims=True) for z in (a[:, own], b[rows][:, own]))
+            x, y = (z / np.where((k := np.linalg.norm(z, axis=1)) > 1e-10, k, np.inf)[:, None] for z in (x, y))
+            r2 = (x @ y.T) ** 2
+            i, j = np.nonzero(r2 >= least_r2)
+            found.append(pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[i], "phenotype_id": right["phenotype_id"].to_numpy()[rows[j]], "r2": r2[i, j]}))
+        return pd.concat(found)
 
     left, right = dealt(g, "variant_id", "i", m, "j", n), dealt(p, "phenotype_id", "j", n, "i", m)
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "variant_id string, phenotype_id string, r2 double")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import beta_at, beta_cdf, normal_pvalue, t_pvalue, t_two_sided
-from .association import allele_stats, benjamini_hochberg, constant, dot, imputed, nominal, stepped_up, vectors
+from .association import allele_stats, benjamini_hochberg, dot, nominal, stepped_up
+from .samples import arrays, basis as spanned, by_mask, common, complete, of_samples, packed, table_of, varying
 
 
 def with_pvalues(found: DataFrame, covariates: int = 0) -> DataFrame:
@@ -17,8 +18,8 @@ def with_pvalues(found: DataFrame, covariates: int = 0) -> DataFrame:
 
 
 def full_nominal(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, least_maf: float = 0.0) -> DataFrame:
-    """nominal() with allele counts and p-values; variants of a smaller minor allele frequency are not tested."""
-    alleles = allele_stats(genotypes).where(F.col("maf") >= least_maf)
+    """nominal() with p-values, and allele counts among the samples that both tables have; variants of a smaller minor allele frequency are not tested."""
+    alleles = allele_stats(of_samples(genotypes, common(genotypes, phenotypes))).where(F.col("maf") >= least_maf)
     found = nominal(genotypes, phenotypes, pairs.join(alleles.select("variant_id"), "variant_id", "left_semi"))
     return with_pvalues(found).join(alleles, "variant_id")
 
@@ -57,25 +58,26 @@ def difference(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, sa
 
 
 def best_in_group(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """For each group of phenotypes and variant, the phenotype of largest |t|; ties, of nine digits, to the smaller phenotype id."""
+    """For each group of phenotypes and variant, the phenotype of largest |t|; ties to the smaller phenotype id."""
     named = found.join(groups, "phenotype_id")
-    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.round(F.abs("tstat"), 9)), "phenotype_id")
+    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.abs("tstat")), "phenotype_id")
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def interaction(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, samples: DataFrame, term: str, covariates: int = 0) -> DataFrame:
     """Each pair's model phenotype ~ genotype + term + genotype x term: slopes, errors, t and p of the three.
 
-    Rows are packed once; a pair moves three arrays. The normal equations of three terms are solved by cofactors.
-    Pairs whose terms depend on each other are left out.
+    Samples are those that all three tables have, with a term, and of which the phenotype has values. Rows are packed
+    once; a pair moves three arrays. The normal equations of three terms are solved by cofactors. Pairs whose terms
+    depend on each other are left out.
     """
-    i = samples.select("sample_id", F.col(term).cast("double").alias("_i"))
-    g = imputed(genotypes)
-    x = g.join(F.broadcast(i), "sample_id").withColumn("x", F.col("dosage") * F.col("_i"))
-    packed = vectors(g, "variant_id", "dosage", "g").join(vectors(x, "variant_id", "x", "x"), "variant_id")
-    p = vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
-    one = vectors(i.withColumn("_k", F.lit(0)), "_k", "_i", "i").select("i")
-    both = pairs.join(p, "phenotype_id").join(packed, "variant_id").crossJoin(F.broadcast(one))
+    i = samples.select("sample_id", F.col(term).cast("double").alias("_i")).where("_i IS NOT NULL")
+    shared = common(genotypes, phenotypes, i)
+    g = arrays(genotypes, "variant_id", "dosage", "g", shared, fill=True, centre=False)
+    p = arrays(varying(of_samples(phenotypes, shared).drop("_at")), "phenotype_id", "value", "p", shared)
+    one = arrays(i.withColumn("_k", F.lit(0)), "_k", "_i", "i", shared, centre=False).select("i")
+    g = g.crossJoin(F.broadcast(one)).withColumn("x", F.zip_with("g", "i", lambda x, y: x * y))  # a number per sample goes to all
+    both = complete(pairs.join(p, "phenotype_id").join(g, "variant_id"), "p", ["g", "i", "x"], raw=True)
     names = ["g", "i", "x"]
     sums = {f"{a}{b}": dot(a, b) for k, a in enumerate(names) for b in [*names[k:], "p"]} | {"pp": dot("p", "p")}
     s = both.select("phenotype_id", "variant_id", "tss_distance", (F.size("g") - 4 - covariates).alias("dof"), *(v.alias(k) for k, v in sums.items()))
@@ -167,9 +169,10 @@ def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, perm
     """Each phenotype's strongest variant with empirical and beta-approximated p-values.
 
     A task has about `share` phenotypes and holds one's cis variants and `block` permutations at a time; the
-    permutations follow from the seed, so a lost task gives the same result again. Constant variants and phenotypes are left out.
+    permutations follow from the seed, so a lost task gives the same result again. Samples are those that both tables have
+    and of which the phenotype has values. Constant variants and phenotypes are left out.
     """
-    g, p = vectors(imputed(genotypes), "variant_id", "dosage", "g"), vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
+    g, p, _ = packed(genotypes, phenotypes)
     cis = pairs.join(g, "variant_id")
 
     def of(key: tuple, own: pd.DataFrame, cases: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +180,10 @@ def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, perm
         if not len(own) or not len(cases):
             return pd.DataFrame(columns=columns)
         own = own.sort_values(["tss_distance", "variant_id"], ignore_index=True)
-        raw, y = np.stack(own["g"]), np.array(cases["p"].iloc[0])
+        raw, y = np.stack(own["g"]), np.array(cases["p"].iloc[0], float)
+        raw, y = raw[:, ~np.isnan(y)], y[~np.isnan(y)]
+        if len(y) < 3:
+            return pd.DataFrame(columns=columns)
         live = np.flatnonzero(np.ptp(raw, axis=1) > 0)
         if not len(live):
             return pd.DataFrame(columns=columns)
@@ -197,8 +203,8 @@ def permuted(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, perm
         return pd.DataFrame([(key[0], len(live), a, b, true, at_true, row["variant_id"], row["tss_distance"], float(t_two_sided(t, dof)), slope, slope / t if t else np.nan, (int((best >= r2).sum()) + 1) / (permutations + 1), float(beta_cdf(at_true, a, b)))], columns=columns)
 
     parts = max(1, -(-phenotypes.select("phenotype_id").distinct().count() // share))  # by the work, as the bytes are few
-    cis, p = cis.repartition(parts, "phenotype_id"), p.repartition(parts, "phenotype_id")
-    return cis.groupBy("phenotype_id").cogroup(p.groupBy("phenotype_id")).applyInPandas(of, TOP)
+    cis, p = cis.repartition(parts, "phenotype_id"), p.select(F.col("phenotype_id").alias("_own"), "p").repartition(parts, "_own")
+    return cis.groupBy("phenotype_id").cogroup(p.groupBy("_own")).applyInPandas(of, TOP)
 
 
 def qvalues(pvals: DataFrame, key: str, p: str, knot: float = 0.94) -> DataFrame:
@@ -240,7 +246,7 @@ def shrunk(x: np.ndarray) -> np.ndarray:
 
 def numbers_of_tests(genotypes: DataFrame, pairs: DataFrame, window: int = 200, share: float = 0.99) -> DataFrame:
     """(phenotype_id, tests): eigenvalues that make up `share` of each window of cis variants, summed."""
-    g = vectors(imputed(genotypes), "variant_id", "dosage", "g")
+    g = arrays(genotypes, "variant_id", "dosage", "g", common(genotypes), fill=True)
     order = Window.partitionBy("phenotype_id").orderBy("tss_distance", "variant_id")
     placed = pairs.withColumn("_w", F.floor((F.row_number().over(order) - 1) / window)).join(g, "variant_id")
 
@@ -318,15 +324,6 @@ def beta_approximation(best: np.ndarray, r2: float, dof: float) -> tuple[float,
     return float(beta_cdf(at, a, b)), a, b, true, at
 
 
-def orthonormal(columns: list[np.ndarray], n: int) -> np.ndarray:
-    """An orthonormal basis of the centred columns, without those that depend on others."""
-    if not columns:
-        return np.zeros((n, 0))
-    c = np.column_stack(columns).astype(float)
-    u, s, _ = np.linalg.svd(c - c.mean(0), full_matrices=False)
-    return u[:, s > 1e-9 * max(s[0], 1e-300)] if s[0] > 0 else np.zeros((n, 0))
-
-
 def search(x: np.ndarray, ys: list[np.ndarray], basis: np.ndarray, permutations: int, seed: int, block: int = 1000) -> tuple[int, int, float, float, np.ndarray, float]:
     """(phenotype, variant, r, slope, largest r2 of each permutation, dof): the strongest of some phenotypes over variants, less what the basis explains.
 
@@ -370,18 +367,19 @@ def lead(group: str, own: pd.DataFrame, x: np.ndarray, names: list[str], ys: lis
     return (group, len(names), names[k], row["variant_id"], int(row["tss_distance"]), len(own), a, b, true, at, float(t_two_sided(t, dof)), slope, slope / t if t else np.nan, (int((best >= r2).sum()) + 1) / (permutations + 1), beta, rank)
 
 
-def leads(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, groups: DataFrame | None = None, covariates: np.ndarray | None = None, threshold: float | None = None, permutations: int = 10_000, seed: int = 1, share: int = 50) -> DataFrame:
+def leads(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, groups: DataFrame | None = None, covariates: DataFrame | None = None, threshold: float | None = None, permutations: int = 10_000, seed: int = 1, share: int = 50) -> DataFrame:
     """Each group's strongest pair of a phenotype and a variant with permutation p-values; with a threshold, its independent variants.
 
-    groups has phenotype_id and group_id; without it each phenotype is a group. covariates is an orthonormal basis,
-    rows in sample order. A permutation's maximum is over a group's phenotypes. With a threshold, the strongest variant
+    groups has phenotype_id and group_id; without it each phenotype is a group. covariates has a row per sample,
+    its columns but sample_id are covariates. Samples are those that all tables have and of which all of a group's phenotypes
+    have values. A permutation's maximum is over a group's phenotypes. With a threshold, the strongest variant
     joins the covariates until pval_beta is above it; then each one found is tested anew beside the others, and what
     passes is kept once. A task holds one group's cis variants, and `share` groups go to a task.
     """
     names = groups if groups is not None else phenotypes.select("phenotype_id", F.col("phenotype_id").alias("group_id")).distinct()
-    live = phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti")
-    p = vectors(live, "phenotype_id", "value", "p").join(names, "phenotype_id").select(F.col("group_id").alias("_group"), "phenotype_id", "p")
-    g = vectors(imputed(genotypes), "variant_id", "dosage", "g")
+    g, p, shared = packed(genotypes, phenotypes, *([covariates] if covariates is not None else []))
+    beside = table_of(covariates, shared) if covariates is not None else np.zeros((len(shared), 0))
+    p = p.join(names, "phenotype_id").select(F.col("group_id").alias("_group"), "phenotype_id", "p")
     near = pairs.join(names, "phenotype_id").groupBy("group_id", "variant_id").agg(F.min_by("tss_distance", "phenotype_id").alias("tss_distance"))
     cis = near.join(g, "variant_id")
     columns = [c.split()[0] for c in LEADS.split(", ")]
@@ -390,16 +388,18 @@ def leads(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, groups:
         if not len(own) or not len(cases):
             return pd.DataFrame(columns=columns)
         own, cases = own.sort_values(["tss_distance", "variant_id"], ignore_index=True), cases.sort_values("phenotype_id", ignore_index=True)
-        x = np.stack(own["g"])
+        x, y = np.stack(own["g"]), np.stack(cases["p"]).astype(float)
+        has = ~np.isnan(y).any(0)
+        x, y = x[:, has], y[:, has]
         own, x = own[np.ptp(x, axis=1) > 0].reset_index(drop=True), x[np.ptp(x, axis=1) > 0]
-        if not len(own):
+        base = list(spanned(beside[has]).T)
+        if not len(own) or x.shape[1] < 3 + len(base):
             return pd.DataFrame(columns=columns)
-        ids, ys = list(cases["phenotype_id"]), [np.array(v) for v in cases["p"]]
-        base = [] if covariates is None else list(covariates.T)
+        ids, ys = list(cases["phenotype_id"]), list(y)
         at = {v: i for i, v in enumerate(own["variant_id"])}
 
-        def tested(beside: list[str], rank: int) -> tuple:
-            return lead(key[0], own, x, ids, ys, orthonormal([*base, *(x[at[v]] for v in beside)], x.shape[1]), permutations, seed, rank)
+        def tested(more: list[str], rank: int) -> tuple:
+            return lead(key[0], own, x, ids, ys, spanned(np.array([*base, *(x[at[v]] for v in more)]).reshape(-1, x.shape[1]).T), permutations, seed, rank)
 
         found = [tested([], 1)]
         if threshold is None:
@@ -428,40 +428,44 @@ def leads(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, groups:
 def trans_interaction(genotypes: DataFrame, phenotypes: DataFrame, samples: DataFrame, term: str, least_t: float, least_maf: float = 0.05, block: int = 2000, covariates: int = 0) -> DataFrame:
     """(variant_id, phenotype_id, b_gi, t_gi, pval_gi) over all variants and phenotypes, where |t| of genotype x term is at least least_t.
 
-    Variants are dealt into blocks of about `block` rows, phenotypes too; two blocks meet as matrices in a task.
-    Genotype, term and their product are made orthogonal per variant, so a pair costs three products.
+    Samples are those that all three tables have, with a term, and of which the phenotype has values. Variants are dealt
+    into blocks of about `block` rows, phenotypes too; two blocks meet as matrices in a task. Genotype, term and their
+    product are made orthogonal per variant, so a pair costs three products. least_t 0 gives every pair that has a t.
     """
-    i = samples.select("sample_id", F.col(term).cast("double").alias("_i"))
-    one = np.array([r["_i"] for r in i.orderBy("sample_id").collect()])  # a number per sample
-    one = one - one.mean()
-    alleles = allele_stats(genotypes).where(F.col("maf") >= least_maf).select("variant_id")
-    packed = imputed(genotypes).join(alleles, "variant_id", "left_semi")
-    g = packed.groupBy("variant_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "dosage"))), lambda s: s["dosage"]).alias("g"))
-    p = vectors(phenotypes.join(constant(phenotypes), "phenotype_id", "left_anti"), "phenotype_id", "value", "p")
-    raw = np.array([r["_i"] for r in i.orderBy("sample_id").collect()])
+    i = samples.select("sample_id", F.col(term).cast("double").alias("_i")).where("_i IS NOT NULL")
+    shared = common(genotypes, phenotypes, i)
+    term_of = table_of(i, shared)[:, 0]
+    own = of_samples(genotypes, shared).drop("_at")
+    alleles = allele_stats(own).where(F.col("maf") >= least_maf).select("variant_id")
+    g = arrays(own.join(alleles, "variant_id", "left_semi"), "variant_id", "dosage", "g", shared, fill=True, centre=False)
+    p = arrays(varying(of_samples(phenotypes, shared).drop("_at")), "phenotype_id", "value", "p", shared)
     m, n = (max(1, -(-x.count() // block)) for x in (alleles, phenotypes.select("phenotype_id").distinct()))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"variant_id": [], "phenotype_id": [], "b_gi": [], "t_gi": [], "dof": []})
-        x, y = np.stack(left["g"]), np.stack(right["p"])
-        e0 = one / np.linalg.norm(one)
-        a, z = x - x.mean(1, keepdims=True), x * raw
-        z = z - z.mean(1, keepdims=True)
-        a1 = a - (a @ e0)[:, None] * e0
-        na = np.linalg.norm(a1, axis=1, keepdims=True)
-        a1 = a1 / np.where(na > 1e-9, na, np.inf)
-        z1 = z - (z @ e0)[:, None] * e0
-        z1 = z1 - (z1 * a1).sum(1, keepdims=True) * a1
-        nz = np.linalg.norm(z1, axis=1, keepdims=True)
-        u = z1 / np.where((nz > 1e-6 * np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)) & (na > 1e-9), nz, np.inf)
-        dof = x.shape[1] - 4 - covariates
-        c = u @ y.T
-        left_over = (y * y).sum(1)[None, :] - (y @ e0)[None, :] ** 2 - (a1 @ y.T) ** 2 - c * c
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = c * np.sqrt(dof / left_over)
-        k, j = np.nonzero((np.abs(t) >= least_t) & (left_over > 0))
-        return pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[k], "phenotype_id": right["phenotype_id"].to_numpy()[j], "b_gi": c[k, j] / nz[k, 0], "t_gi": t[k, j], "dof": dof})
+        found = []
+        for rows, has in by_mask(np.stack(right["p"]).astype(float)):
+            x, y, raw = np.stack(left["g"])[:, has], np.stack(right["p"]).astype(float)[rows][:, has], term_of[has]
+            y, one = y - y.mean(1, keepdims=True), raw - raw.mean()
+            e0 = one / max(np.linalg.norm(one), 1e-300)
+            a, z = x - x.mean(1, keepdims=True), x * raw
+            z = z - z.mean(1, keepdims=True)
+            a1 = a - (a @ e0)[:, None] * e0
+            na = np.linalg.norm(a1, axis=1, keepdims=True)
+            a1 = a1 / np.where(na > 1e-9, na, np.inf)
+            z1 = z - (z @ e0)[:, None] * e0
+            z1 = z1 - (z1 * a1).sum(1, keepdims=True) * a1
+            nz = np.linalg.norm(z1, axis=1, keepdims=True)
+            u = z1 / np.where((nz > 1e-6 * np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)) & (na > 1e-9), nz, np.inf)
+            dof = x.shape[1] - 4 - covariates
+            c = u @ y.T
+            left_over = (y * y).sum(1)[None, :] - (y @ e0)[None, :] ** 2 - (a1 @ y.T) ** 2 - c * c
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = c * np.sqrt(dof / left_over)
+            k, j = np.nonzero((np.abs(t) >= least_t) & (left_over > 1e-12 * (y * y).sum(1)[None, :]) & (u != 0).any(1)[:, None])
+            found.append(pd.DataFrame({"variant_id": left["variant_id"].to_numpy()[k], "phenotype_id": right["phenotype_id"].to_numpy()[rows[j]], "b_gi": c[k, j] / nz[k, 0], "t_gi": t[k, j], "dof": dof}))
+        return pd.concat(found)
 
     def dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
         return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
@@ -477,12 +481,13 @@ def permutation_maxima(genotypes: DataFrame, samples: DataFrame, variants: DataF
     Each block of variants gives a maximum per chromosome and permutation; the two largest over chromosomes then
     give every chromosome's maximum without itself. Chrom null: over all of them.
     """
-    n = samples.count()
+    shared = common(genotypes, samples)
+    n = len(shared)
     import statistics
 
     base = np.array([statistics.NormalDist().inv_cdf((k + 1) / (n + 1)) for k in range(n)])
     scores = unit(np.random.default_rng(seed).permuted(np.tile(base, (permutations, 1)), axis=1))
-    g = vectors(imputed(genotypes), "variant_id", "dosage", "g").join(variants.select("variant_id", "chrom"), "variant_id")
+    g = arrays(genotypes, "variant_id", "dosage", "g", shared, fill=True).join(variants.select("variant_id", "chrom"), "variant_id")
 
     def largest(batches):
         for b in batches:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import beta_at, beta_cdf, normal_pvalue, t_pvalue, t_two_sided
+from ..functions.special import beta_at, beta_cdf, normal_pvalue, t_pvalue, t_pvalue_once, t_two_sided
 from .association import allele_stats, benjamini_hochberg, dot, nominal, stepped_up
 from .samples import arrays, basis as spanned, by_mask, common, complete, of_samples, packed, table_of, varying
 
 
 def with_pvalues(found: DataFrame, covariates: int = 0) -> DataFrame:
     """Adds pval_nominal, the two-sided tail of tstat at dof less the number of covariates."""
-    return found.withColumn("pval_nominal", t_pvalue("tstat", F.col("dof") - covariates))
+    return found.withColumn("pval_nominal", t_pvalue_once("tstat", F.col("dof") - covariates))
 
 
 def full_nominal(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, least_maf: float = 0.0) -> DataFrame:
@@ -57,10 +57,10 @@ def difference(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, sa
     return both.withColumn("z", z).withColumn("pval", normal_pvalue("z"))
 
 
-def best_in_group(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """For each group of phenotypes and variant, the phenotype of largest |t|; ties to the smaller phenotype id."""
+def best_in_group(found: DataFrame, groups: DataFrame, strength: Column | None = None) -> DataFrame:
+    """For each group of phenotypes and variant, the phenotype of largest strength (none given: |t|); ties to the smaller phenotype id."""
     named = found.join(groups, "phenotype_id")
-    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.abs("tstat")), "phenotype_id")
+    w = Window.partitionBy("group_id", "variant_id").orderBy(F.desc(F.abs("tstat") if strength is None else strength), "phenotype_id")
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -135,8 +135,16 @@ def beta_fit(p: np.ndarray) -> tuple[float, float]:
 def effective_dof(r2: np.ndarray, start: float) -> float:
     """The degrees of freedom at which the permutations' least p-values have first shape 1, between an eighth and four times the start; the start if none is."""
 
+    # p is a smooth function of the angle arcsin(r), whatever dof: 64 of its values, at Chebyshev's points, give all others
+    angle = np.arcsin(np.sqrt(r2))
+    middle, half = (angle.max() + angle.min()) / 2, max((angle.max() - angle.min()) / 2, 1e-12)
+    at = np.cos(np.pi * (np.arange(64) + 0.5) / 64)
+    weights = np.polynomial.chebyshev.chebvander(at, 63).T / 32
+    weights[0] /= 2
+    powers = np.polynomial.chebyshev.chebvander((angle - middle) / half, 63)
+
     def shape(dof: float) -> float:
-        p = t_two_sided(np.sqrt(dof * r2 / (1 - r2)), dof)
+        p = powers @ (weights @ t_two_sided(np.sqrt(dof) * np.tan(middle + half * at), dof))
         m, v = p.mean(), p.var(ddof=1)
         return m * (m * (1 - m) / v - 1) - 1 if v > 0 else 0.0
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import betweenness as bt
 from ..operators import clusters as cl
 from ..operators import forest as fo
 from ..operators.network import ends, prepared_prizes
@@ -99,7 +100,12 @@ def set_distances(counts, edges):
 
 @query("g17_betweenness", "edges", None)
 def betweenness(edges):
-    return rounded(cl.betweenness(edges), "betweenness")
+    return rounded(bt.betweenness(edges), "betweenness")
+
+
+@query("g17_sampled", "edges", None)
+def sampled_betweenness(edges):
+    return bt.sampled_betweenness(edges, 0.1)
 
 
 @query("g18_communities", "edges", None)

@@ -127,8 +127,8 @@ def difference(genotypes, phenotypes, variants, genes, samples):
 @query("q8_best_in_group", "genotypes phenotypes variants genes", f"SELECT group_id, variant_id, phenotype_id, tss_distance, {STATS} FROM (SELECT *, row_number() OVER (PARTITION BY group_id, variant_id ORDER BY round(abs(r), 12) DESC, phenotype_id) AS i FROM (SELECT *, 'K' || CAST(CAST(substr(phenotype_id, 2) AS BIGINT) % 50 AS STRING) AS group_id FROM {NOMINAL} n) q) z WHERE i = 1")
 def best_in_group(genotypes, phenotypes, variants, genes):
     groups = genes.select(F.col("gene_id").alias("phenotype_id"), F.concat(F.lit("K"), (F.substring("gene_id", 2, 20).cast("long") % 50).cast("string")).alias("group_id"))
-    found = qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)).withColumn("tstat", F.round("tstat", 9))  # engines part equal ones by rounding
-    best = mp.best_in_group(found, groups).drop("dof")
+    # engines part equal ones by rounding
+    best = mp.best_in_group(qtl.nominal(genotypes, phenotypes, qtl.cis_pairs(variants, genes)), groups, F.round(F.abs("tstat"), 9)).drop("dof")
     return rounded(single(best, "slope"), "r2", "slope_se", "tstat")
 
 

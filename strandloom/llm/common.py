@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def apart(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, longer where df has columns of them, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back. The files go when the JVM ends."""
     spark = df.sparkSession
@@ -113,15 +124,17 @@ def one_of_each(documents: DataFrame, heads: DataFrame) -> DataFrame:
 
     Only rows that are there more than once are shuffled with their texts.
     """
+    d, h, n = apart(documents, "_d", "_h", "_n")
     text = F.xxhash64(documents["text"])
-    times = documents.where("doc_id IS NOT NULL").groupBy(documents["doc_id"].cast("long").alias("_d"), text.alias("_h")).agg(F.count("*").alias("_n"))
-    keep = stored(times.join(heads, (F.col("_d") == F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("_d", "_h", "_n"), "heads")
-    on = (documents["doc_id"].cast("long") == F.col("_d")) & (text == F.col("_h"))
-    once = documents.join(keep.where("_n = 1"), on, "left").where(F.col("_d").isNotNull() | documents["doc_id"].isNull()).drop("_d", "_h", "_n")
-    if keep.where("_n > 1").isEmpty():
+    times = documents.where("doc_id IS NOT NULL").groupBy(documents["doc_id"].cast("long").alias(d), text.alias(h)).agg(F.count("*").alias(n))
+    named = heads.select(F.col("doc_id").alias("_of"), F.col("h").alias("_text"))
+    keep = stored(times.join(named, (F.col(d) == F.col("_of")) & (F.col(h) == F.col("_text"))).select(d, h, n), "heads")
+    on = (documents["doc_id"].cast("long") == F.col(d)) & (text == F.col(h))
+    once = documents.join(keep.where(F.col(n) == 1), on, "left").where(F.col(d).isNotNull() | documents["doc_id"].isNull()).drop(d, h, n)
+    many = keep.where(F.col(n) > 1)
+    if many.isEmpty():
         return once
-    many = documents.join(keep.where("_n > 1"), on).dropDuplicates(["_d", "_h"]).select(*(documents[c] for c in documents.columns))
-    return once.union(many)
+    return once.union(documents.join(many, on).dropDuplicates([d, h]).select(*(documents[c] for c in documents.columns)))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

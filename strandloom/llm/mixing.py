@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import apart, ranked, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -36,35 +36,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return out.withColumn("target", F.when(F.col("_full") | F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("weight") * F.col("_level")))).select("source", "source_size", "weight", "target")
 
 
-def schedule(needs: DataFrame, slots: int) -> DataFrame:
-    """(slot, _s, rank): which source each slot draws from, and its number among the source's slots.
-
-    needs: (_s, first, need), the intervals that the sources take of 0..slots-1. The van der Corput points of
-    base 2, numbers with reversed bits, visit these positions once each, every source's evenly over the slots.
-    """
-    spark = needs.sparkSession
+def points(slots: int, spark: SparkSession) -> DataFrame:
+    """(slot, at): the van der Corput points of base 2, numbers with reversed bits, that visit 0..slots-1 once each, evenly."""
     bits = max(1, (max(1, slots) - 1).bit_length())
     point = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long")
-    points = spark.range(1 << bits).select(F.col("id").alias("slot"), point.alias("at")).where(F.col("at") < slots)
-    # the sources' bounds, one small array, are searched for each point
-    bounds = needs.where("need > 0").agg(F.array_sort(F.collect_list(F.struct("first", "_s")))).scalar()
-    drawn = points.withColumn("bounds", bounds).select("slot", F.element_at(F.filter("bounds", lambda b: b["first"] <= F.col("at")), -1)["_s"].alias("_s"))
+    return spark.range(1 << bits).select(F.col("id").alias("slot"), point.alias("at")).where(F.col("at") < slots)
+
+
+def schedule(needs: DataFrame, slots: int, reach: int = 20_000) -> DataFrame:
+    """(slot, _s, place, rank): the source that a slot's point falls to, the point's place in the source's interval, and the
+    slot's number among the source's.
+
+    needs: (_s, first, need), the intervals that the sources take of 0..slots-1, their cumulative weights. Intervals
+    and points meet in ranges of `reach` positions, each read once in order, whatever the number of sources.
+    """
+    drawn = points(slots, needs.sparkSession).select("slot", "at", F.lit(1).alias("kind"), F.floor(F.col("at") / reach).alias("_r"), F.lit(None).cast("string").alias("_s"), F.lit(None).cast("long").alias("first"))
+    held = needs.where("need > 0").select("_s", "first", F.explode(F.sequence(F.floor(F.col("first") / reach), F.floor((F.col("first") + F.col("need") - 1) / reach))).alias("_r"))
+    starts = held.select(F.lit(None).cast("long").alias("slot"), F.greatest(F.col("first"), F.col("_r") * reach).alias("at"), F.lit(0).alias("kind"), "_r", "_s", "first")
+    before = Window.partitionBy("_r").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = drawn.unionByName(starts).withColumn("_own", F.last(F.when(F.col("kind") == 0, F.struct("_s", "first")), ignorenulls=True).over(before))
+    drawn = both.where("kind = 1").select("slot", "_own._s", (F.col("at") - F.col("_own.first")).alias("place"))
     return ranked(drawn, ["_s"], ["slot"], "rank", slots, bucket=F.floor(F.col("slot") / 20_000))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row; options and results as of drawn_words()."""
+    """(doc_id, source, size, source_size, target, taken, slot) for every row; options and results as of drawn_words()."""
     return drawn_words(documents, **options).drop("_h")
 
 
 def drawn_words(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 9) -> DataFrame:
-    """(_h, doc_id, source, size, source_size, target, taken) for every row; _h is a hash of doc_id, text and seed.
+    """(_h, doc_id, source, size, source_size, target, taken, slot) for every row; _h is a hash of doc_id, text and seed.
 
     Each source's documents, shuffled by a hash of doc_id, text and seed, lie end to end on a line of words that
-    is cut into blocks of `block` words. A source needs as many slots of the schedule as blocks fill its target;
-    its slots take its blocks in turn, once more from the start after the last, the final one in part. taken is
-    how many of a document's words lie in taken blocks, repeats counted: never over most (2) times its size,
-    and per source the target rounded down. A null text has no words; null sources are a source, the last one.
+    is cut into blocks of `block` words. A source needs as many slots of the schedule as blocks fill its target, and has
+    an interval as long. The point of a slot says, by the interval it falls to, whose slot it is, and by its place there
+    which block is taken, counted on from the start after the last one; the source's last slots in the schedule's order are
+    cut where its target is full. taken is how many of a document's words lie in taken blocks, repeats counted: never over
+    most (2) times its size, and per source the target rounded down. slot is the first slot that holds words of the
+    document; null if none does. A null text has no words; null sources are a source, the last one.
     Repeated rows are mixed as often as they come; no rows give no rows.
     """
     size = words_in(F.col("text"))
@@ -76,18 +85,22 @@ def drawn_words(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), shar
     take = F.floor(F.col("target") + 1e-6).cast("long")
     passes = F.floor(take / F.greatest("source_size", F.lit(1))).cast("long")
     rest = F.when(F.col("source_size") > 0, take % F.greatest("source_size", F.lit(1))).otherwise(0)
-    goal = goal.select("*", n_blocks.alias("n_blocks"), passes.alias("passes"), rest.alias("rest"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"))
+    goal = goal.select("*", n_blocks.alias("n_blocks"), take.alias("take"), passes.alias("passes"), rest.alias("rest"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"))
     goal = goal.withColumn("need", F.col("passes") * F.col("n_blocks") + F.ceil(F.col("rest") / block))
     goal = stored(goal.withColumn("first", F.sum("need").over(Window.orderBy("_s")) - F.col("need")), "goal")
     totals = goal.agg(F.sum("need"), F.count("*")).first()
     slots, n_rows = int(totals[0] or 0), rows.count()
-    # words that each block gives: of every slot its block whole, of the last one the rest
-    drawn = schedule(goal, slots).join(goal.select("_s", "n_blocks", "passes", "rest", "source_size"), "_s")
-    in_pass = F.col("rank") - F.col("passes") * F.col("n_blocks")
-    drawn = drawn.withColumn("b", F.col("rank") % F.greatest("n_blocks", F.lit(1)))
-    stop = F.when(in_pass < 0, F.col("source_size")).otherwise(F.col("rest"))
-    given = drawn.select("_s", "b", F.least((F.col("b") + 1) * block, stop, "source_size").alias("upto"))
-    given = given.groupBy("_s", "b").agg(F.collect_list("upto").alias("upto"))  # one or two slots, `most` at most
+    drawn = schedule(goal, slots).join(goal.select("_s", "n_blocks", "take", "source_size"), "_s")
+    drawn = stored(drawn.withColumn("b", F.col("place") % F.greatest("n_blocks", F.lit(1))), "drawn")
+    # a line's last block is short; its visits, most + 1 at most, come off what the slots before give
+    short = F.col("source_size") - (F.col("n_blocks") - 1) * block
+    visits = drawn.where("b = n_blocks - 1").groupBy("_s").agg(F.collect_list("rank").alias("visits"))
+    drawn = drawn.join(visits, "_s", "left")
+    given_before = F.col("rank") * block - (block - short) * F.coalesce(F.size(F.filter("visits", lambda r: r < F.col("rank"))), F.lit(0))
+    own = F.when(F.col("b") == F.col("n_blocks") - 1, short).otherwise(block)
+    words = F.least(own, F.greatest(F.col("take") - given_before, F.lit(0)))
+    given = drawn.select("_s", "b", F.struct((F.col("b") * block + words).alias("upto"), "slot").alias("visit"))
+    given = given.groupBy("_s", "b").agg(F.collect_list("visit").alias("given"))  # most + 1 at most
     # where each document lies on its source's line
     tagged = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     n_buckets = max(1, -(-n_rows // 20_000))
@@ -100,11 +113,13 @@ def drawn_words(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), shar
     lying = lying.withColumn("to", F.col("at") + F.col("size"))
     last = F.floor((F.greatest("to", F.col("at") + 1) - 1) / block)
     parts = lying.where("size > 0").select("_s", "at", "to", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("b"))
-    inside = F.aggregate("upto", F.lit(0).cast("long"), lambda s, u: s + F.greatest(F.least(F.col("to"), u) - F.greatest(F.col("at"), F.col("b") * block), F.lit(0)).cast("long"))
-    got = parts.join(given, ["_s", "b"]).select("_s", "at", inside.alias("taken")).groupBy("_s", "at").agg(F.sum("taken").alias("taken"))
+    inside = F.transform("given", lambda v: F.struct(F.greatest(F.least(F.col("to"), v["upto"]) - F.greatest(F.col("at"), F.col("b") * block), F.lit(0)).cast("long").alias("n"), v["slot"].alias("slot")))
+    got = parts.join(given, ["_s", "b"]).select("_s", "at", F.filter(inside, lambda v: v["n"] > 0).alias("in"))
+    got = got.select("_s", "at", F.aggregate("in", F.lit(0).cast("long"), lambda s, v: s + v["n"]).alias("taken"), F.array_min(F.transform("in", lambda v: v["slot"])).alias("slot"))
+    got = got.groupBy("_s", "at").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
     spots = lying.select("_h", "doc_id", "source", "size", "_s", F.when(F.col("size") > 0, F.col("at")).alias("at"))
     out = spots.join(got, ["_s", "at"], "left").join(goal.select("_s", "source_size", "target"), "_s")
-    return out.select("_h", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("_h", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
 
 
 def mixed_documents(documents: DataFrame, seed: int = 9, **options) -> DataFrame:
@@ -112,7 +127,8 @@ def mixed_documents(documents: DataFrame, seed: int = 9, **options) -> DataFrame
 
     Columns as given. Equal rows share the largest of their numbers.
     """
+    m, times_, copy = apart(documents, "_m", "_times", "_copy")
     ratio = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    times = drawn_words(documents, seed=seed, **options).groupBy(F.col("_h").alias("_m")).agg(F.max(ratio).alias("_times")).where("_times > 0")
-    out = documents.join(times, F.xxhash64("doc_id", "text", F.lit(seed)) == F.col("_m"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)
+    times = drawn_words(documents, seed=seed, **options).groupBy(F.col("_h").alias(m)).agg(F.max(ratio).alias(times_)).where(F.col(times_) > 0)
+    out = documents.join(times, F.xxhash64("doc_id", "text", F.lit(seed)) == F.col(m))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times_))).select(*documents.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, stored
 
 # The forms. They match what the plain forms match: a run is entered at its start or where the
 # last match ended, and what cannot be given back is possessive, so that long runs cost no more than their length.
@@ -147,7 +147,8 @@ def contexts(bare: Column, parts: Column, to: Column, rows: Column, spans: Colum
     makes no pattern."""
 
     def words(x: Column) -> Column:
-        return F.filter(F.split(F.regexp_replace(F.lower(x), f"{MASK}+", "#"), r"\s+"), lambda w: w != "")
+        named = F.filter(F.split(F.regexp_replace(F.lower(x), f"{MASK}+", "#"), r"\s+"), lambda w: w != "")
+        return F.filter(named, lambda w: w.rlike(r"[\p{L}\p{N}#]"))  # bars and other marks alone are no context
 
     def one(start: Column, end: Column, last: Column, token: Column, kind: Column, alone: Column) -> Column:
         before = F.regexp_replace(cut(parts, F.greatest(start - BEFORE, F.lit(0)), start), r"\S+$", "")
@@ -173,26 +174,36 @@ def contexts(bare: Column, parts: Column, to: Column, rows: Column, spans: Colum
     return F.concat(base, unseen(matches(bare, CANDIDATE, bare.rlike("[0-9@]")), lambda m: ~m["tied"]), unseen(rows, lambda m: F.lit(True)))
 
 
-def discovered(rows: DataFrame, rounds: int = 2, least: float = 0.8, seeds: int = 3) -> DataFrame:
+def discovered(rows: DataFrame, rounds: int = 8, least: float = 0.8, seeds: int = 3, share: float = 0.8) -> DataFrame:
     """(token, kind): identifiers that good contexts propose, beyond the seeds.
 
-    rows: cands as of contexts(). A context's score is the mean score of the different words in it, of one kind,
-    with one more word counted as wrong; it counts from `seeds` seed words on. A word's score is that not all its
-    contexts err. Seeds keep 1. After `rounds`, words at `least` or more are found.
+    rows: cands as of contexts(). A context is scored for each kind apart: the sum of the scores that the different words in
+    it have for the kind, over their number and one more. It counts from `seeds` seed words of the kind on, and only where
+    they are at least `share` of its seed words, so contexts of mixed kinds propose nothing. A word's score for a
+    kind is that not all its contexts of that kind err; seeds keep 1 for their own. Rounds end when no word is
+    found that was not in the one before, or after `rounds`. Words at `least` or more are found, with the kind of the
+    highest score; equal ones, none.
     """
     words = rows.select(F.explode("cands").alias("c")).select("c.token", "c.kind", F.explode("c.patterns").alias("pattern"))
-    words = words.withColumn("kind", F.coalesce("kind", F.lit(-1)))
     edges = stored(words.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "contexts")
-    useful = edges.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("n"), F.max("kind").alias("of")).where(F.col("n") >= seeds)
-    edges = stored(edges.join(useful.select("pattern", "of"), "pattern"), "contexts")
-    scores = edges.where("kind >= 0").select("token", F.lit(1.0).alias("score")).distinct()
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("words"), F.count("kind").alias("known"))
+    useful = edges.where("kind IS NOT NULL").groupBy("pattern", F.col("kind").alias("of")).agg(F.count("*").alias("n")).join(sizes, "pattern")
+    useful = useful.where((F.col("n") >= seeds) & (F.col("n") >= share * F.col("known"))).select("pattern", "of", "words")
+    edges = stored(edges.join(useful, "pattern"), "contexts")
+    scores = edges.where("kind = of").select("token", "of", F.lit(1.0).alias("score")).distinct()
+    before = None
     for _ in range(rounds):
-        known = edges.join(scores, "token", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        trust = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust")).where("trust >= 0.5")
-        proposed = edges.join(trust, "pattern").groupBy("token").agg(F.max("kind").alias("kind"), F.max("of").alias("of"), (1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
+        trust = edges.join(scores, ["token", "of"]).groupBy("pattern", "of").agg((F.sum("score") / (F.max("words") + 1)).alias("trust")).where("trust >= 0.5")
+        proposed = edges.join(trust, ["pattern", "of"]).groupBy("token", "of").agg(F.max("kind").alias("kind"), (1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
         proposed = stored(proposed, "proposed")
-        scores = proposed.select("token", F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("score")).alias("score"))
-    return proposed.where((F.col("kind") < 0) & (F.col("score") >= least)).select("token", F.col("of").alias("kind"))
+        found = proposed.where((F.col("kind").isNull()) & (F.col("score") >= least))
+        now = found.agg(F.count("*"), F.sum(F.xxhash64("token", "of").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+        scores = proposed.select("token", "of", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind").isNotNull(), 0.0).otherwise(F.col("score")).alias("score"))
+    best = found.groupBy("token").agg(F.max("score").alias("_best"), F.max_by("of", "score").alias("kind"), F.collect_list("score").alias("_all"))  # a score per kind
+    return best.where(F.size(F.filter("_all", lambda x: x == F.col("_best"))) == 1).select("token", "kind")
 
 
 def spans(documents: DataFrame) -> DataFrame:
@@ -234,9 +245,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by [kind]; where spans overlap the first one's name stands for all. Columns as given."""
+    d, h, held = apart(documents, "_d", "_h", "_spans")
     found = spans(documents).where("size(base) + size(found) > 0").dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.array_sort(F.concat("base", "found")).alias("_spans"))
-    rows = documents.join(found, documents["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_h")), "left")
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.array_sort(F.concat("base", "found")).alias(held))
+    rows = documents.join(found, documents["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(documents["text"]) == F.col(h)), "left")
     kind = F.array(*map(F.lit, KINDS))
-    cleaned = spliced(rows["text"], F.col("_spans"), lambda s, last: F.when(s["start"] >= last, F.concat(F.lit("["), F.element_at(kind, s["kind"] + 1), F.lit("]"))).otherwise(""))
-    return rows.select(*(F.when(F.col("_spans").isNull(), rows["text"]).otherwise(cleaned).alias("text") if c == "text" else rows[c] for c in documents.columns))
+    cleaned = spliced(rows["text"], F.col(held), lambda s, last: F.when(s["start"] >= last, F.concat(F.lit("["), F.element_at(kind, s["kind"] + 1), F.lit("]"))).otherwise(""))
+    return rows.select(*(F.when(F.col(held).isNull(), rows["text"]).otherwise(cleaned).alias("text") if c == "text" else rows[c] for c in documents.columns))

@@ -80,13 +80,45 @@ def triangles(edges: DataFrame) -> DataFrame:
     return found.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
-def clique_communities(edges: DataFrame) -> DataFrame:
-    """(node, community): triangles that share edges; a node may be in several communities."""
-    pairs = [F.concat_ws("|", x, y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))]
-    t = cut(triangles(edges).select("a", "b", "c", *(p.alias(f"e{i}") for i, p in enumerate(pairs))))
-    links = t.select(F.col("e0").alias("src"), F.col("e1").alias("dst")).union(t.select("e1", "e2"))
-    c = components(links).withColumnsRenamed({"node": "e0", "component": "community"})
-    return t.join(c, "e0").select(F.explode(F.array("a", "b", "c")).alias("node"), "community").distinct()
+def cliques(edges: DataFrame, k: int) -> DataFrame:
+    """(nodes): the sets of k nodes that are all linked, each once, sorted; k at least 2.
+
+    Edges point from lower to higher degree, so a node has few that follow it. A clique carries those that follow all
+    its nodes and grows by each of them: a step is a join of cliques with their last node's followers.
+    """
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    d = degrees(edges)
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    e = e.join(d.select(F.col("node").alias("u"), F.col("degree").alias("_du")), "u").join(d.select(F.col("node").alias("v"), F.col("degree").alias("_dv")), "v")
+    up = F.struct("_du", "u") < F.struct("_dv", "v")
+    e = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y"))
+    follow = cut(e.groupBy("x").agg(F.collect_list("y").alias("after")))  # at most about the root of twice the edges
+    held = follow.select(F.array("x").alias("nodes"), F.col("after").alias("left"))
+    for size in range(2, k + 1):
+        grown = held.select("nodes", "left", F.explode("left").alias("x"))
+        if size == k:
+            return grown.select(F.array_sort(F.concat("nodes", F.array("x"))).alias("nodes"))
+        grown = grown.join(follow, "x").select(F.concat("nodes", F.array("x")).alias("nodes"), F.array_intersect("left", "after").alias("left"))
+        held = cut(grown.where(F.size("left") >= k - size))
+
+
+def clique_communities(edges: DataFrame, k: int = 3) -> DataFrame:
+    """(node, community): cliques of k nodes that share k - 1; a node may be in several communities.
+
+    A community is named by the smallest k - 1 nodes that it shares, joined by bars.
+    """
+    clean = F.transform("nodes", lambda x: F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), r"\|", r"\\|"))
+    parts = F.transform(F.reverse(F.sequence(F.lit(0), F.lit(k - 1))), lambda i: F.array_join(F.filter(clean, lambda x, j: j != i), "|"))
+    t = cut(cliques(edges, k).select("nodes", parts.alias("parts")))
+    links = t.select(F.element_at("parts", 1).alias("src"), F.explode(F.slice("parts", 2, k - 1)).alias("dst"))
+    c = components(links).withColumnsRenamed({"node": "_part", "component": "community"})
+    return t.withColumn("_part", F.element_at("parts", 1)).join(c, "_part").select(F.explode("nodes").alias("node"), "community").distinct()
+
+
+def clique_labels(edges: DataFrame, k: int = 3) -> DataFrame:
+    """(node, community): one community a node, the last by name of those that it is in."""
+    return clique_communities(edges, k).groupBy("node").agg(F.max("community").alias("community"))
 
 
 def frequencies(runs: DataFrame, total: int, name: str) -> DataFrame:

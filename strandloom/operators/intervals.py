@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import base_range, running
+from .prefix import base_range, in_ranges, running, shifted
 
 BIN = 10_000
 
@@ -76,8 +76,16 @@ def overlapping(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
 
 def adjacent(regions: DataFrame, key: str, hops: int = 1) -> DataFrame:
     """(key, next): pairs `hops` apart on a chromosome."""
-    w = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", key)
-    return regions.select(key, F.lead(key, hops).over(w).alias("next")).where(F.col("next").isNotNull())
+    rows = regions.select(key, "chrom", "start_pos", "end_pos").withColumn("_r", base_range(F.col("start_pos")))
+    return shifted(rows, ["chrom"], ["start_pos", "end_pos", key], F.col(key), "next", hops).where(F.col("next").isNotNull()).select(key, "next")
+
+
+def ordered(regions: DataFrame, key: str) -> DataFrame:
+    """Adds place, from 1 on: chromosomes 1-22, X and Y first, then by the chromosome's name without chr as text, start, end and key."""
+    standard = F.col("chrom").isin(*(f"chr{c}" for c in (*range(1, 23), "X", "Y")))
+    order = {"_odd": ~standard, "_name": F.regexp_replace("chrom", "^chr", "")}
+    rows = in_ranges(regions.withColumns(order), *order, "start_pos", "end_pos", key)
+    return running(rows, [], [*order, "start_pos", "end_pos", key], F.lit(1).cast("long"), F.sum, "place").drop(*order, "_r")
 
 
 def previous(queries: DataFrame, features: DataFrame, query: str, feature: str) -> DataFrame:
@@ -112,8 +120,8 @@ def parsed(rows: DataFrame, tag: str) -> DataFrame:
 
 def is_sorted(regions: DataFrame, order: str) -> DataFrame:
     """(chrom, sorted): whether each start lies after the one before it in the given order."""
-    before = F.lag("start_pos").over(Window.partitionBy("chrom").orderBy(order))
-    return regions.withColumn("_ok", before.isNull() | (F.col("start_pos") > before)).groupBy("chrom").agg(F.bool_and("_ok").alias("sorted"))
+    rows = shifted(in_ranges(regions.select("chrom", "start_pos", order), "chrom", order), ["chrom"], [order], F.col("start_pos"), "_before", -1)
+    return rows.groupBy("chrom").agg(F.bool_and(F.col("_before").isNull() | (F.col("start_pos") > F.col("_before"))).alias("sorted"))
 
 
 def stranded(regions: DataFrame) -> DataFrame:

@@ -101,6 +101,22 @@ def interaction(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, s
     return s.select("phenotype_id", "variant_id", "tss_distance", "dof", *(f"{k}_{t}" for t in terms for k in ("b", "t", "pval")), *(f"b_{t}_se" for t in terms))
 
 
+def top_interaction(genotypes: DataFrame, phenotypes: DataFrame, pairs: DataFrame, samples: DataFrame, term: str, least_maf: float = 0.05) -> DataFrame:
+    """Each phenotype's pair of largest |t| of genotype x term, ties to the smaller variant id, and num_tests, how many were tested.
+
+    Variants vary, and are frequent enough in both halves of the term, among the samples that all tables have.
+    """
+    from .results import interaction_maf
+
+    own = samples.where(F.col(term).isNotNull())
+    shared = common(genotypes, phenotypes, own)
+    fit = interaction_maf(of_samples(genotypes, shared).drop("_at"), of_samples(own, shared).drop("_at"), term, least_maf)
+    found = interaction(genotypes, phenotypes, pairs.join(fit, "variant_id", "left_semi"), samples, term)
+    w = Window.partitionBy("phenotype_id")
+    best = F.row_number().over(w.orderBy(F.desc(F.round(F.abs("t_gi"), 9)), "variant_id"))
+    return found.withColumn("num_tests", F.count("*").over(w)).withColumn("_n", best).where("_n = 1").drop("_n")
+
+
 def derivative(x: float, order: int) -> float:
     """Digamma (0) or trigamma (1), by recurrence to 8 and the asymptotic series."""
     out = 0.0

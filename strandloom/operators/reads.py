@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals
@@ -48,6 +48,21 @@ def pileup(pieces: DataFrame) -> DataFrame:
     return running(rows, ["sample_id", "chrom", "strand"], ["pos"], F.col("change"), F.sum, "depth").drop("change", "_r")
 
 
+def both_pileups(reads: DataFrame) -> DataFrame:
+    """(sample_id, chrom, strand, pos, gapped, filled, starts, ends): depth of the aligned blocks and of the whole reads from each
+    position of change on, and how many reads start and end there. The reads are read once: a position's changes are one row."""
+    own = F.filter("ops", lambda x: x["op"].isin("M", "=", "X"))
+
+    def change(pos: Column, *by: int) -> Column:
+        return F.struct(pos.alias("pos"), *(F.lit(v).alias(n) for n, v in zip(("gapped", "filled", "starts", "ends"), by)))
+
+    events = F.concat(F.transform(own, lambda x: change(x["start_pos"], 1, 0, 0, 0)), F.transform(own, lambda x: change(x["end_pos"], -1, 0, 0, 0)), F.array(change(F.col("pos"), 0, 1, 1, 0), change(F.element_at("ops", -1)["end_pos"], 0, -1, 0, 1)))
+    rows = moved(reads).where(F.size("ops") > 0).select("sample_id", "chrom", "strand", F.inline(events))
+    rows = rows.groupBy("sample_id", "chrom", "strand", "pos").agg(*(F.sum(n).alias(f"_{n}") for n in ("gapped", "filled", "starts", "ends"))).withColumn("_r", base_range(F.col("pos")))
+    out = running(rows, ["sample_id", "chrom", "strand"], ["pos"], {"gapped": F.col("_gapped"), "filled": F.col("_filled")}, F.sum)
+    return out.select("sample_id", "chrom", "strand", "pos", "gapped", "filled", F.col("_starts").alias("starts"), F.col("_ends").alias("ends"))
+
+
 def coverage(reads: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """Reads per region, sample and strand: inside whole, or overlapping in part. One join carries all that is counted."""
     r = spans(reads).withColumn("_read", F.struct("sample_id", "strand", (F.col("end_pos") - F.col("start_pos")).alias("n")))

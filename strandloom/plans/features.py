@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import reads as rd
 from ..operators import tracks as tr
 from ..sources import formats as fm
-from .fragments import BLOCKS, DEPTH
+from ..operators.prefix import base_range, running
+from .fragments import BLOCKS, DEPTH, SPANS
 from .registry import query, rounded
 
 SAMPLES = [f"S{i}" for i in range(25)]  # the derived tables' samples
@@ -96,7 +97,19 @@ def is_sorted(peaks):
 
 @query("i11_order", "peaks", "SELECT peak_id, row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, peak_id) AS place FROM peaks")
 def order(peaks):
-    return peaks.select("peak_id", F.row_number().over(Window.partitionBy("chrom").orderBy("start_pos", "end_pos", "peak_id")).cast("long").alias("place"))
+    rows = peaks.withColumn("_r", base_range(F.col("start_pos")))
+    return running(rows, ["chrom"], ["start_pos", "end_pos", "peak_id"], F.lit(1).cast("long"), F.sum, "place").select("peak_id", "place")
+
+
+@query("i11_genome_order", "peaks", "SELECT peak_id, row_number() OVER (ORDER BY chrom NOT IN (" + ", ".join(f"'chr{c}'" for c in (*range(1, 23), "X", "Y")) + "), replace(chrom, 'chr', ''), start_pos, end_pos, peak_id) AS place FROM peaks")
+def genome_order(peaks):
+    return iv.ordered(peaks, "peak_id").select("peak_id", "place")
+
+
+@query("c8_both_pileups", "reads", f"""SELECT sample_id, chrom, strand, pos, (sum(g) OVER w)::BIGINT AS gapped, (sum(f) OVER w)::BIGINT AS filled, s::BIGINT AS starts, e::BIGINT AS ends FROM (SELECT sample_id, chrom, strand, pos, sum(g) AS g, sum(f) AS f, sum(s) AS s, sum(e) AS e FROM (
+SELECT sample_id, chrom, strand, start_pos AS pos, 1 AS g, 0 AS f, 0 AS s, 0 AS e FROM {BLOCKS} a UNION ALL SELECT sample_id, chrom, strand, end_pos, -1, 0, 0, 0 FROM {BLOCKS} b UNION ALL SELECT sample_id, chrom, strand, start_pos, 0, 1, 1, 0 FROM {SPANS} c UNION ALL SELECT sample_id, chrom, strand, end_pos, 0, -1, 0, 1 FROM {SPANS} d) x GROUP BY ALL) y WINDOW w AS (PARTITION BY sample_id, chrom, strand ORDER BY pos ROWS UNBOUNDED PRECEDING)""")
+def both_pileups(reads):
+    return rd.both_pileups(reads)
 
 
 @query("i15_stranded_overlaps", "reads genes", "SELECT gene_id, count(*) AS n, sum(least(r.e, g.end_pos) - greatest(r.pos, g.start_pos))::BIGINT AS bases FROM (SELECT *, pos + 50 AS e, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM reads) r JOIN genes g ON g.chrom = r.chrom AND g.strand = r.strand AND r.pos < g.end_pos AND g.start_pos < r.e GROUP BY gene_id")

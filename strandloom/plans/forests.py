@@ -58,7 +58,7 @@ def moved_terminals(edges, prizes):
 
 @query("g15_sweep", "edges prizes", None)
 def sweep(edges, prizes):
-    return fo.sweep(edges, prizes, [W], [B, 2.0], [0.0], noisy_runs=2, random_runs=2)
+    return fo.sweep(edges, prizes, [W, 2.0], [B, 2.0], [0.0, 1.0], noisy_runs=5, random_runs=5)
 
 
 @query("g22_summary", "counts", f"""SELECT * FROM (SELECT node, {", ".join(f"(count(*) FILTER (run = '{s}'))::DOUBLE AS {s}" for s in SAMPLES)} FROM {NOISY} a GROUP BY node) w
@@ -110,7 +110,7 @@ def sampled_betweenness(edges):
 
 @query("g18_communities", "edges", None)
 def communities(edges):
-    return cl.communities(edges, levels=2, rounds=4)
+    return cl.communities(edges)
 
 
 @query("g20_power_clusters", "edges", None)

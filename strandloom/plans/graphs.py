@@ -40,6 +40,17 @@ def triangles(edges):
     return gr.triangles(edges)
 
 
+@query("g19_cliques", "edges", f"SELECT t.a, t.b, t.c, x.d FROM {TRIANGLES} t JOIN (SELECT a, b, c AS d FROM {TRIANGLES} u) x ON x.a = t.a AND x.b = t.b AND x.d > t.c JOIN (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges) e ON e.u = t.c AND e.v = x.d")
+def cliques(edges):
+    """All sets of four linked nodes."""
+    return gr.cliques(edges, 4).select(*(F.col("nodes")[i].alias(c) for i, c in enumerate("abcd")))
+
+
+@query("g19_communities_of_four", "edges", None)
+def communities_of_four(edges):
+    return gr.clique_labels(edges, 4)
+
+
 @query("g19_communities", "edges", None)
 def communities(edges):
     return gr.clique_communities(edges)

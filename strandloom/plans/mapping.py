@@ -132,16 +132,29 @@ def best_in_group(genotypes, phenotypes, variants, genes):
     return rounded(single(best, "slope"), "r2", "slope_se", "tstat")
 
 
-@query("q9_interaction", "genotypes phenotypes variants genes samples", f"""SELECT phenotype_id, variant_id, tss_distance, round(b_g, 5) AS b_g, round(b_i, 5) AS b_i, round(b_gi, 5) AS b_gi, round(sqrt((ii * xx - ix * ix) / det * rss / 21), 5) AS b_g_se, round(sqrt((gg * xx - gx * gx) / det * rss / 21), 5) AS b_i_se, round(sqrt((gg * ii - gi * gi) / det * rss / 21), 5) AS b_gi_se, round(b_gi / sqrt((gg * ii - gi * gi) / det * rss / 21), 4) AS t_gi FROM (SELECT *, pp - b_g * gp - b_i * ip - b_gi * xp AS rss FROM (SELECT *, (gp * (ii * xx - ix * ix) + ip * (gx * ix - gi * xx) + xp * (gi * ix - gx * ii)) / det AS b_g, (gp * (gx * ix - gi * xx) + ip * (gg * xx - gx * gx) + xp * (gi * gx - gg * ix)) / det AS b_i, (xp * (gg * ii - gi * gi) + gp * (gi * ix - gx * ii) + ip * (gi * gx - gg * ix)) / det AS b_gi FROM (
+TERMS = f"""(SELECT *, pp - b_g * gp - b_i * ip - b_gi * xp AS rss FROM (SELECT *, (gp * (ii * xx - ix * ix) + ip * (gx * ix - gi * xx) + xp * (gi * ix - gx * ii)) / det AS b_g, (gp * (gx * ix - gi * xx) + ip * (gg * xx - gx * gx) + xp * (gi * gx - gg * ix)) / det AS b_i, (xp * (gg * ii - gi * gi) + gp * (gi * ix - gx * ii) + ip * (gi * gx - gg * ix)) / det AS b_gi FROM (
 SELECT *, gg * (ii * xx - ix * ix) - gi * (gi * xx - ix * gx) + gx * (gi * ix - ii * gx) AS det FROM (
 SELECT c.phenotype_id, c.variant_id, tss_distance, count(*) * var_pop(d) AS gg, count(*) * covar_pop(d, i) AS gi, count(*) * covar_pop(d, d * i) AS gx, count(*) * var_pop(i) AS ii, count(*) * covar_pop(i, d * i) AS ix, count(*) * var_pop(d * i) AS xx, count(*) * covar_pop(d, value) AS gp, count(*) * covar_pop(i, value) AS ip, count(*) * covar_pop(d * i, value) AS xp, count(*) * var_pop(value) AS pp
-FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id JOIN (SELECT sample_id AS sid, cov1 AS i FROM samples) s ON sid = p.sample_id GROUP BY ALL HAVING min(value) < max(value)) a) b WHERE det > 1e-9 * gg * ii * xx) c) d WHERE rss > 1e-9 * pp""")
+FROM {CIS} c JOIN phenotypes p ON p.phenotype_id = c.phenotype_id JOIN {IMPUTED} g ON g.variant_id = c.variant_id AND g.sample_id = p.sample_id JOIN (SELECT sample_id AS sid, cov1 AS i FROM samples) s ON sid = p.sample_id GROUP BY ALL HAVING min(value) < max(value)) a) b WHERE det > 1e-9 * gg * ii * xx) c) d"""
+T_GI = "b_gi / sqrt((gg * ii - gi * gi) / det * rss / 21)"
+
+
+@query("q9_interaction", "genotypes phenotypes variants genes samples", f"""SELECT phenotype_id, variant_id, tss_distance, round(b_g, 5) AS b_g, round(b_i, 5) AS b_i, round(b_gi, 5) AS b_gi, round(sqrt((ii * xx - ix * ix) / det * rss / 21), 5) AS b_g_se, round(sqrt((gg * xx - gx * gx) / det * rss / 21), 5) AS b_i_se, round(sqrt((gg * ii - gi * gi) / det * rss / 21), 5) AS b_gi_se, round(b_gi / sqrt((gg * ii - gi * gi) / det * rss / 21), 4) AS t_gi FROM {TERMS} WHERE rss > 1e-9 * pp""")
 def interaction(genotypes, phenotypes, variants, genes, samples):
     names = ["b_g", "b_i", "b_gi", "b_g_se", "b_i_se", "b_gi_se"]
     found = mp.interaction(genotypes, phenotypes, qtl.cis_pairs(variants, genes), samples, "cov1")
     return rounded(rounded(found, *names, digits=5), "t_gi", digits=4).select("phenotype_id", "variant_id", "tss_distance", *names, "t_gi")
 
 
+HALVES = f"(SELECT variant_id FROM (SELECT variant_id, avg(d) FILTER (up) / 2 AS a, avg(d) FILTER (NOT up) / 2 AS b, min(d) AS lo, max(d) AS hi FROM {IMPUTED} g JOIN (SELECT sample_id AS sid, cov1 > avg(cov1) OVER () AS up FROM samples) s ON sid = g.sample_id GROUP BY variant_id) q WHERE least(a, 1 - a) >= 0.3 - 1e-7 AND least(b, 1 - b) >= 0.3 - 1e-7 AND lo < hi)"
+
+
+@query("q9_top_interaction", "genotypes phenotypes variants genes samples", f"SELECT phenotype_id, variant_id, tss_distance, num_tests, round(b_gi, 5) AS b_gi, round(t, 4) AS t_gi FROM (SELECT *, {T_GI} AS t, count(*) OVER (PARTITION BY phenotype_id) AS num_tests FROM {TERMS} WHERE rss > 1e-9 * pp AND variant_id IN {HALVES}) q QUALIFY row_number() OVER (PARTITION BY phenotype_id ORDER BY round(abs(t), 9) DESC, variant_id) = 1")
+def top_interaction(genotypes, phenotypes, variants, genes, samples):
+    found = mp.top_interaction(genotypes, phenotypes, qtl.cis_pairs(variants, genes), samples, "cov1", 0.3)
+    return rounded(rounded(found, "b_gi", digits=5), "t_gi", digits=4).select("phenotype_id", "variant_id", "tss_distance", "num_tests", "b_gi", "t_gi")
+
+
 @query("q11_permuted", "genotypes phenotypes variants genes", None)
 def permuted(genotypes, phenotypes, variants, genes):
     return mp.permuted(genotypes, phenotypes, qtl.cis_pairs(variants, genes), 10_000)
@@ -196,6 +209,12 @@ def independent(genotypes, phenotypes, variants, genes, samples):
     return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), covariates=samples.select("sample_id", "cov1"), threshold=0.05, permutations=10_000)
 
 
+@query("q14_grouped_independent", "genotypes phenotypes variants genes samples", None)
+def grouped_independent(genotypes, phenotypes, variants, genes, samples):
+    groups = genes.select(F.col("gene_id").alias("phenotype_id"), F.concat_ws(":", "chrom", F.floor(F.col("start_pos") / 20_000).cast("string")).alias("group_id"))
+    return mp.leads(genotypes, phenotypes, qtl.cis_pairs(variants, genes), groups, samples.select("sample_id", "cov1"), threshold=0.05)
+
+
 @query("q17_trans_interaction", "genotypes phenotypes samples", None)
 def trans_interaction(genotypes, phenotypes, samples):
     return mp.trans_interaction(genotypes, phenotypes, samples, "cov1", 4.5)

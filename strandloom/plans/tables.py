@@ -60,12 +60,15 @@ def matrix(counts):
     return tb.read_matrix(spark, path, "sample_id", "value")
 
 
-@query("a13_merged_counts", "counts", "SELECT gene_id, " + ", ".join(f"sum(n) FILTER (sample_id = '{s}')::BIGINT AS {s}" for s in FEW) + f" FROM counts WHERE sample_id IN ({listed(FEW)}) GROUP BY gene_id")
+EVERY = [f"S{k}" for k in range(25)]
+
+
+@query("a13_merged_counts", "counts", "SELECT gene_id, " + ", ".join(f"sum(n) FILTER (sample_id = '{s}')::BIGINT AS {s}" for s in EVERY) + " FROM counts GROUP BY gene_id")
 def merged_counts(counts):
     spark = counts.sparkSession
     path = tb.scratch(spark, "samples")
-    counts.where(F.col("sample_id").isin(FEW)).repartition("sample_id").write.partitionBy("sample_id").csv(path, sep="\t")
-    return tb.merged_counts(spark, path, FEW)
+    counts.repartition("sample_id").write.partitionBy("sample_id").csv(path, sep="\t")
+    return tb.merged_counts(spark, path, EVERY)
 
 
 @query("a14_peak_counts", "peaks", "SELECT chrom || ':' || start_pos || '-' || end_pos AS peak_id, (end_pos - start_pos)::DOUBLE AS S0, (start_pos % 7)::DOUBLE AS S1 FROM peaks")

@@ -107,12 +107,12 @@ def window_regions(regions: DataFrame) -> DataFrame:
 
 def group_runs(groups: DataFrame, regions: DataFrame) -> DataFrame:
     """(group_id, chrom, n, runs) of groups(phenotype_id, group_id): a group is contiguous in genome order if runs is 1."""
-    from pyspark.sql import Window
+    from ..operators.prefix import base_range, shifted
 
-    w = Window.partitionBy("chrom").orderBy("start_pos", "phenotype_id")
-    own = groups.join(regions.select("phenotype_id", "chrom", "start_pos"), "phenotype_id")
-    new = own.withColumn("_new", (~F.lag("group_id").over(w).eqNullSafe(F.col("group_id"))).cast("int"))
-    return new.groupBy("group_id", "chrom").agg(F.count("*").alias("n"), F.sum("_new").alias("runs"))
+    own = groups.join(regions.select("phenotype_id", "chrom", "start_pos"), "phenotype_id").withColumn("_r", base_range(F.col("start_pos")))
+    new = shifted(own, ["chrom"], ["start_pos", "phenotype_id"], F.struct("group_id"), "_before", -1)
+    first = (F.col("_before").isNull() | ~F.col("_before.group_id").eqNullSafe(F.col("group_id"))).cast("int")
+    return new.groupBy("group_id", "chrom").agg(F.count("*").alias("n"), F.sum(first).alias("runs"))
 
 
 # Matrices and counts
@@ -146,12 +146,33 @@ def read_peak_counts(spark: SparkSession, path: str) -> DataFrame:
 # Results by chromosome
 
 
-def write_by_chromosome(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Parquet in a folder per chromosome; each is written by few tasks."""
-    df.repartition("chrom").write.mode(mode).partitionBy("chrom").parquet(path)
+def write_by_chromosome(df: DataFrame, path: str, mode: str = "errorifexists", parts: int = 16) -> str:
+    """Parquet in a folder per chromosome, of up to `parts` files each; a chromosome is written by as many tasks."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    df.repartition("chrom", salt).write.mode(mode).partitionBy("chrom").parquet(path)
     return path
 
 
+def write_clustered(df: DataFrame, key: str, path: str, mode: str = "errorifexists") -> str:
+    """Parquet sorted by key in a folder per range of keys, beside an index of the first and last key of each range."""
+    from ..operators.prefix import in_ranges
+
+    rows = in_ranges(df, key)
+    rows.repartition("_r").sortWithinPartitions("_r", key).write.mode(mode).partitionBy("_r").parquet(f"{path}/rows")
+    rows.groupBy("_r").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).write.mode(mode).parquet(f"{path}/index")
+    return path
+
+
+def select_clustered(spark: SparkSession, key: str, ids: list, path: str) -> DataFrame:
+    """The rows of some keys of such a table; only the folders whose range may hold one are read."""
+    index = spark.read.parquet(f"{path}/index")
+    hit = F.lit(False)
+    for i in ids:
+        hit = hit | F.lit(i).between(F.col("lo"), F.col("hi"))
+    folders = [r["_r"] for r in index.where(hit).select("_r").collect()]  # as many as keys, about
+    return spark.read.parquet(f"{path}/rows").where(F.col("_r").isin(folders) & F.col(key).isin(ids)).drop("_r")
+
+
 def read_by_chromosome(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All chromosomes as one table; a filter on chrom reads that folder alone, columns what is asked for."""
     rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).withColumn("chrom", F.col("chrom").cast("string"))

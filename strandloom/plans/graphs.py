@@ -40,15 +40,18 @@ def triangles(edges):
     return gr.triangles(edges)
 
 
-@query("g19_cliques", "edges", f"SELECT t.a, t.b, t.c, x.d FROM {TRIANGLES} t JOIN (SELECT a, b, c AS d FROM {TRIANGLES} u) x ON x.a = t.a AND x.b = t.b AND x.d > t.c JOIN (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges) e ON e.u = t.c AND e.v = x.d")
+STRONG = "(SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE cost < 0.7 AND src <> dst)"
+
+
+@query("g19_cliques", "edges", f"SELECT x.u AS a, x.v AS b, y.v AS c, z.v AS d FROM {STRONG} x JOIN {STRONG} y ON y.u = x.v JOIN {STRONG} xy ON xy.u = x.u AND xy.v = y.v JOIN {STRONG} z ON z.u = y.v JOIN {STRONG} xz ON xz.u = x.u AND xz.v = z.v JOIN {STRONG} yz ON yz.u = x.v AND yz.v = z.v")
 def cliques(edges):
-    """All sets of four linked nodes."""
-    return gr.cliques(edges, 4).select(*(F.col("nodes")[i].alias(c) for i, c in enumerate("abcd")))
+    """All sets of four nodes with links of a cost under 0.7."""
+    return gr.cliques(edges.where("cost < 0.7"), 4).select(*(F.col("nodes")[i].alias(c) for i, c in enumerate("abcd")))
 
 
 @query("g19_communities_of_four", "edges", None)
 def communities_of_four(edges):
-    return gr.clique_labels(edges, 4)
+    return gr.clique_labels(edges.where("cost < 0.7"), 4)
 
 
 @query("g19_communities", "edges", None)

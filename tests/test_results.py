@@ -12,7 +12,7 @@ from strandloom.operators import clusters, intervals, network, prefix, results
 from strandloom.sources import tables
 from strandloom.sources.views import with_views
 from strandloom.plans.fragments import IMPUTED
-from strandloom.plans.results import pairwise
+from strandloom.operators.results import pairwise
 from strandloom.sources.views import view
 
 SF = "/root/testdata/sf0.001"

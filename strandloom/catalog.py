@@ -8,7 +8,7 @@ from .operators import association as qtl
 from .operators import intervals as iv
 from .operators import network as net
 from .operators import reads as rd
-from .plans import features, forests, graphs, locations, mapping, results, tables  # noqa: F401  (each registers its own)
+from .plans import features, forests, further, graphs, locations, mapping, results, tables  # noqa: F401  (each registers its own)
 from .plans.fragments import BLOCKS, CIS, DEGREES, DEPTH, IMPUTED, NOMINAL, PREPARED, SPANS, STATS, TPM, USABLE
 from .plans.registry import ORACLE, QUERIES, query, rounded, single  # noqa: F401
 

@@ -61,6 +61,27 @@ def vcf_lines(variants: DataFrame, genotypes: DataFrame, samples: list[str]) ->
     return head.union(body).orderBy("_o", "chrom", "pos").select("value")
 
 
+def kept_format(rows: DataFrame, keep: str = "GT") -> DataFrame:
+    """Variant lines with one format field of each sample, header lines of other format fields left out.
+
+    A projection of lines: nothing is read as a genotype, and lines stay in their places in their files. A sample
+    without the field, or a line whose format lacks it, has . for it; lines without samples stay as they are.
+    """
+    line, parts = F.col("value"), F.split("value", TAB)
+    at = F.array_position(F.split(F.get(parts, F.lit(8)), ":"), keep).cast("int")
+    own = F.transform(F.slice(parts, F.lit(10), F.greatest(F.size(parts) - 9, F.lit(0))), lambda v: F.when(at > 0, F.coalesce(F.get(F.split(v, ":"), at - 1), F.lit("."))).otherwise("."))
+    short = F.concat_ws(TAB, F.slice(parts, 1, 8), F.lit(keep), own)
+    other = line.startswith("##FORMAT=") & ~line.rlike(f"^##FORMAT=<ID={keep}[,>]")
+    return rows.where(~other).withColumn("value", F.when(line.startswith("#") | (F.size(parts) < 10), line).otherwise(short))
+
+
+def without_filter(rows: DataFrame) -> DataFrame:
+    """Variant lines with . in place of their filters, header lines of filters left out."""
+    line, parts = F.col("value"), F.split("value", TAB)
+    bare = F.concat_ws(TAB, F.transform(parts, lambda v, i: F.when(i == 6, F.lit(".")).otherwise(v)))
+    return rows.where(~line.startswith("##FILTER=")).withColumn("value", F.when(line.startswith("#"), line).otherwise(bare))
+
+
 def with_ids(variants: DataFrame, known: DataFrame) -> DataFrame:
     """Ids of known variants of the same place and alleles; others keep their own."""
     place = ["chrom", "pos", "ref", "alt"]

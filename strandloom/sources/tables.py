@@ -173,6 +173,50 @@ def select_clustered(spark: SparkSession, key: str, ids: list, path: str) -> Dat
     return spark.read.parquet(f"{path}/rows").where(F.col("_r").isin(folders) & F.col(key).isin(ids)).drop("_r")
 
 
+def write_by_range(df: DataFrame, path: str, position: str = "pos", width: int = 1_000_000, files: int = 4, mode: str = "errorifexists") -> str:
+    """Parquet in a folder per chromosome and in it one per range of `width` positions, sorted by position.
+
+    A range is dealt to up to `files` tasks by its rows' hashes, so neither a chromosome nor a crowded range is one
+    task's. Rows without a chromosome or position are kept in folders of their own. The width is written beside the rows.
+    """
+    if "range" in df.columns:
+        raise ValueError("a column is named range")
+    own = df.withColumn("range", F.floor(F.col(position) / width))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    own.repartition("chrom", "range", salt).sortWithinPartitions("chrom", "range", position).write.mode(mode).partitionBy("chrom", "range").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(position, width)], "position string, width long").coalesce(1).write.mode(mode).parquet(f"{path}/index")
+    return path
+
+
+def read_by_range(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+    """All rows of such a table, or those of a region (chr or chr:first-last); only the folders that it meets are read."""
+    from ..operators.results import parsed_region
+
+    position, width = spark.read.parquet(f"{path}/index").first()
+    schema = "chrom string, range long"
+    found = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.schema(f"{found.drop('chrom', 'range').schema.toDDL()}, {schema}").parquet(f"{path}/rows")
+    if region is not None:
+        chrom, first, last = parsed_region(region)
+        rows = rows.where(F.col("chrom") == chrom)
+        if first is not None:
+            rows = rows.where(F.col("range").between(first // width, last // width) & F.col(position).between(first, last))
+    return rows.drop("range")
+
+
+def write_trans(found: DataFrame, path: str, text: bool = False, mode: str = "errorifexists") -> str:
+    """Pairs of far variants as Parquet, or as text with six significant digits."""
+    if text:
+        return write_top(found, path, mode=mode)
+    found.write.mode(mode).parquet(path)
+    return path
+
+
+def read_trans(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_trans wrote; with a schema, text whose columns it names, in order, under a header."""
+    return spark.read.csv(path, schema=schema, sep=TAB, header=True, nullValue="NA", emptyValue="") if schema else spark.read.parquet(path)
+
+
 def read_by_chromosome(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All chromosomes as one table; a filter on chrom reads that folder alone, columns what is asked for."""
     rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).withColumn("chrom", F.col("chrom").cast("string"))

@@ -149,6 +149,17 @@ def run_statistics(runs: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.join(far, "run")
 
 
+def robust_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run, size, min_robustness, mean_robustness, max_specificity, mean_specificity, mean_log_degree, std_log_degree, ks) of nodes(run, node, robustness, specificity).
+
+    Degrees are those in the whole graph; nodes that it lacks are left out. std is of the sample, null for one node.
+    """
+    own = nodes.join(degrees(edges), "node")
+    log = F.log2("degree")
+    whole = own.groupBy("run").agg(F.min("robustness").alias("min_robustness"), F.avg("robustness").alias("mean_robustness"), F.max("specificity").alias("max_specificity"), F.avg("specificity").alias("mean_specificity"), F.stddev_samp(log).alias("std_log_degree"))
+    return run_statistics(nodes.select("run", "node"), edges).join(whole, "run")
+
+
 def artificial_prizes(prizes: DataFrame, frequency: DataFrame, similarity: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
     """(name, prize): the given prizes, and scale (similarity x frequency)^power for other nodes that forests hold."""
     own = prizes.groupBy("name").agg(F.max("prize").alias("prize"))

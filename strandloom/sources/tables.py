@@ -217,6 +217,19 @@ def read_trans(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.csv(path, schema=schema, sep=TAB, header=True, nullValue="NA", emptyValue="") if schema else spark.read.parquet(path)
 
 
+def write_text_by_chromosome(df: DataFrame, path: str, parts: int = 4, mode: str = "errorifexists") -> str:
+    """Gzipped text under headers, all digits kept, in a folder per chromosome, of up to `parts` files each."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    df.repartition("chrom", salt).write.mode(mode).partitionBy("chrom").csv(path, sep=TAB, header=True, compression="gzip", emptyValue="", nullValue="NA")
+    return path
+
+
+def read_text_by_chromosome(spark: SparkSession, path: str, schema: str, chroms: list[str] | None = None) -> DataFrame:
+    """The results of all chromosomes, or of the named ones, as one table; only their folders are read. schema names the columns in order, without chrom."""
+    rows = spark.read.csv(path, schema=f"{schema}, chrom string", sep=TAB, header=True, nullValue="NA", emptyValue="")
+    return rows if chroms is None else rows.where(F.col("chrom").isin(chroms))
+
+
 def read_by_chromosome(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All chromosomes as one table; a filter on chrom reads that folder alone, columns what is asked for."""
     rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).withColumn("chrom", F.col("chrom").cast("string"))

@@ -160,6 +160,51 @@ def wav_samples(b: bytes) -> np.ndarray:
         p += 8 + n + (n & 1)
 
 
+def as_bmp(samples: bytes, width: int = 576) -> bytes:
+    """8-bit grey, one row of `width` samples after another from the bottom; the samples are a multiple of a width that 4 divides."""
+    grey = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4)
+    grey[:, 3] = 0
+    start = 54 + grey.size
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", start + len(samples), 0, start, 40, width, len(samples) // width, 1, 8, 0, len(samples), 2835, 2835, 256, 0) + grey.tobytes() + samples
+
+
+def bmp_samples(b: bytes) -> np.ndarray:
+    """The 8-bit samples of a checked file, in the order of its rows."""
+    width, height = struct.unpack_from("<ii", b, 18)
+    step = -(-width // 4) * 4
+    rows = np.frombuffer(b, np.uint8, step * abs(height), struct.unpack_from("<I", b, 10)[0]).reshape(abs(height), step)
+    return rows[:, :width].reshape(-1)
+
+
+def as_png(samples: bytes, width: int = 576, level: int = 1) -> bytes:
+    """8-bit grey, rows of `width` samples without a filter; the samples are a multiple of the width."""
+    rows = np.zeros((len(samples) // width, width + 1), np.uint8)
+    rows[:, 1:] = np.frombuffer(samples, np.uint8).reshape(-1, width)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
+
+
+def png_samples(b: bytes) -> np.ndarray:
+    """The 8-bit samples of a checked grey file whose rows have no filter (an error where they have one)."""
+    width, height, packed, p = *struct.unpack_from(">II", b, 16), [], 8
+    while p + 12 <= len(b):
+        n, kind = struct.unpack_from(">I4s", b, p)
+        if kind == b"IDAT":
+            packed.append(b[p + 8 : p + 8 + n])
+        p += 12 + n
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, width + 1)
+    if rows[:, 0].any():
+        raise ValueError("rows with a filter")
+    return rows[:, 1:].reshape(-1)
+
+
+STORED = {"audio/wav": (as_wav, wav_samples), "image/bmp": (as_bmp, bmp_samples), "image/png": (as_png, png_samples)}
+
+
 def features(kind: str, samples: np.ndarray) -> str:
     """Type, sample count, sum, changes of side of the middle, and a histogram of 16 bins."""
     bins = np.bincount(samples >> 4, minlength=16)
@@ -168,16 +213,26 @@ def features(kind: str, samples: np.ndarray) -> str:
 
 
 def stored_media(documents: DataFrame, multiple: int = 576) -> DataFrame:
-    """(doc_id, n_bytes, declared, media binary): each whole text's UTF-8 bytes, filled up with 255, as a sound file
-    whose declared type is still the text's.
+    """(doc_id, n_bytes, declared, media binary): each whole text's UTF-8 bytes, filled up with 255, as a sound, a
+    bitmap or a PNG image, with a declared type that is right for some and wrong for others.
 
-    Null text: as empty. The fill reaches a positive multiple of `multiple`. Repeated rows and equal texts give equal
-    media, other columns do no harm, no rows give no rows.
+    Both types follow from a CRC of the payload, so equal texts give equal media; text/plain is declared too. Null
+    text: as empty. The fill reaches a positive multiple of `multiple`, which is the images' width and must be a
+    multiple of 4. Repeated rows are treated alike, other columns do no harm, no rows give no rows.
     """
+    if multiple <= 0 or multiple % 4:
+        raise ValueError("the width must be a positive multiple of 4")
+    kinds = list(STORED)
+
+    def stored(payload: bytes) -> tuple[str, bytes]:
+        drawn, kind = divmod(zlib.crc32(payload), len(kinds))
+        to_file = STORED[kinds[kind]][0]
+        return [*kinds, "text/plain"][drawn % (len(kinds) + 1)], to_file(payload) if to_file is as_wav else to_file(payload, multiple)
 
     def run(batch: pa.RecordBatch) -> dict:
         raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(b) for b in raw], "declared": ["text/plain"] * len(raw), "media": [as_wav(b + b"\xff" * (-len(b) % multiple or (0 if b else multiple))) for b in raw]}
+        declared, media = zip(*(stored(b + b"\xff" * (-len(b) % multiple or (0 if b else multiple))) for b in raw))
+        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(b) for b in raw], "declared": declared, "media": media}
 
     return per_batch(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, declared string, media binary")
 
@@ -187,7 +242,8 @@ def media_features(media: DataFrame) -> DataFrame:
     (doc_id, n_bytes, declared, media) by sniffing and carving the bytes.
 
     detected is the type that the bytes show, corrected whether it differs from the declared one; carved holds
-    start:length:type of the media that lie within the payload, in order. Repeated rows are treated alike; no rows
+    start:length:type of the media that lie within the payload, in order. The medium must be of a type that
+    `stored_media` writes, and the first in its bytes. Repeated rows are treated alike; no rows
     give no rows.
     """
 
@@ -195,7 +251,7 @@ def media_features(media: DataFrame) -> DataFrame:
         rows = []
         for b, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist()):
             at, n, kind = sniff(b)[0]
-            samples = wav_samples(b[at : at + n])
+            samples = STORED[kind][1](b[at : at + n])
             own = samples.tobytes()
             rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(b), hashlib.sha256(b).hexdigest(), features(kind, samples), declared, kind, kind != declared, ",".join(f"{a}:{k}:{t}" for a, k, t in sniff(own))))
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "detected", "corrected", "carved")

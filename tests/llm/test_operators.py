@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import struct
 import time
 import wave
 import zlib
@@ -183,17 +184,29 @@ def test_forest(spark):
 
 def test_media_round_trip(docs, none):
     got = {r.doc_id: r for r in media.media_features(media.stored_media(docs)).collect()}
+    stored = {r.doc_id: bytes(r.media) for r in media.stored_media(docs).collect()}
     for d, t in distinct(awkward()).items():
         raw = t.encode()
         full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-        with wave.open(io.BytesIO(media.as_wav(full))) as w:
-            assert w.getparams()[:4] == (1, 1, 8000, len(full)) and w.readframes(len(full)) == full
-        assert (got[d].media_bytes, got[d].media_sha256) == (len(full) + 44, hashlib.sha256(media.as_wav(full)).hexdigest())
+        kind = ("audio/wav", "image/bmp", "image/png")[zlib.crc32(full) % 3]
         turns = sum((a >= 128) != (b >= 128) for a, b in zip(full, full[1:]))
         hist = Counter(b >> 4 for b in full)
-        assert got[d].feature == f"audio/wav;n={len(full)};sum={sum(full)};turns={turns};hist=" + ",".join(str(hist[k]) for k in range(16))
-        assert (got[d].declared, got[d].detected, got[d].corrected) == ("text/plain", "audio/wav", True)
+        assert got[d].feature == f"{kind};n={len(full)};sum={sum(full)};turns={turns};hist=" + ",".join(str(hist[k]) for k in range(16))
+        assert got[d].detected == kind and got[d].corrected == (got[d].declared != kind)
+        own = stored[d]
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(own), hashlib.sha256(own).hexdigest())
+        assert media.sniff(own)[0] == (0, len(own), kind)
+        if kind == "audio/wav":
+            with wave.open(io.BytesIO(own)) as w:
+                assert w.getparams()[:4] == (1, 1, 8000, len(full)) and w.readframes(len(full)) == full
+        elif kind == "image/bmp":
+            assert own[18:30] == struct.pack("<iiHH", 576, len(full) // 576, 1, 8) and own[-len(full) :] == full and struct.unpack_from("<II", own, 2) == (len(own), 0)
+        else:
+            size = struct.unpack_from(">I", own, 33)[0]
+            rows = zlib.decompress(own[41 : 41 + size])
+            assert own[16:26] == struct.pack(">IIBB", 576, len(full) // 576, 8, 0) and b"".join(rows[k + 1 : k + 577] for k in range(0, len(rows), 577)) == full
+    assert {r.detected for r in got.values()} == {"audio/wav", "image/bmp", "image/png"} and {r.corrected for r in got.values()} == {True, False}
     assert media.media_features(media.stored_media(none)).count() == 0
 
 
@@ -210,6 +223,12 @@ def test_sniffing(spark):
     assert media.sniff(b"x" + long + b"y") == [(1, len(long), "application/gzip")] and media.sniff(long[:-9]) == []
     held = media.media_features(media.stored_media(spark.createDataFrame([(1, "GIF89a" + "\1\0\1\0\0\0\0" + ";" + "tail")], "doc_id long, text string"))).first()
     assert held.carved == "0:14:image/gif"
+    for samples in (bytes(range(256)) * 9, b"\xff" * 576):
+        for kind, (write, read) in media.STORED.items():
+            file = write(samples)
+            assert read(file).tobytes() == samples and media.sniff(b"ab" + file + b"c") == [(2, len(file), kind)]
+    with pytest.raises(ValueError):
+        media.stored_media(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 3)
 
 
 def test_packing(docs, none):

@@ -93,16 +93,6 @@ def with_originals(edges, prizes):
     return fo.with_originals(near, ends(near), prizes.where("type = 'TF'").select(F.col("name").alias("node")))
 
 
-@query("g30_clade_forests", "counts samples edges", None)
-def clade_forests(counts, samples, edges):
-    """Samples are the four groups by condition and sex; those of a condition merge first."""
-    group = F.when(F.col("condition") == "CASE", 0).otherwise(2) + F.when(F.col("sex") == "Female", 0).otherwise(1)
-    mean = counts.join(samples.select("sample_id", group.cast("long").alias("sample")), "sample_id").groupBy("sample", F.col("gene_id").alias("node")).agg(F.avg("n").alias("mean"))
-    prizes = mean.where("mean > 30").select("sample", "node", (F.col("mean") / 30 * B).alias("prize"))
-    linkage = counts.sparkSession.createDataFrame([(4, 0, 1, 0.2, 2), (5, 2, 3, 0.3, 2), (6, 4, 5, 0.5, 4)], "id long, left long, right long, distance double, size long")
-    return fo.clade_forests(edges, prizes, linkage, W, scale=4.0, precise=True)
-
-
 @query("g32_set_distances", "counts edges", None)
 def set_distances(counts, edges):
     return rounded(fo.set_distances(edges, noisy_runs(counts).select(F.col("run").alias("name"), "node").join(ends(edges).distinct(), "node", "left_semi")), "mean", "distance")

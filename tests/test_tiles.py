@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.catalog import QUERIES
 from strandloom.operators import association as qtl
 from strandloom.operators import tiles
+from strandloom.operators.results import correlation_by_pairs
 from strandloom.operators.tiles import everywhere, half_up, near, parts_of
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +97,21 @@ def test_everywhere_finds_each_pair_once(spark, monkeypatch, step):
     got = [tuple(q) for q in everywhere(v, p, equal, "total double", (50, 40), 3, step, tasks=6).select("variant_id", "phenotype_id", "total", "own").collect()]
     want = {(a, b, sum(m), k) for a, m in x for b, n, k in y if m == n}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_listed_pairs_move_arrays(spark):
+    plan = QUERIES["e12_by_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "sample_id" not in plan[: plan.index("Join")]  # no row per pair and sample
+    r = random.Random(2)
+    a, b = ({(k, s): r.choice([None, 1.0, 2.0, 4.0]) for k in "uvw" for s in "abcdefg"} for _ in range(2))
+    b[("u", "a")] = None
+    tables = [spark.createDataFrame([(*k, v) for k, v in t.items()], f"{c} string, sample_id string, value double") for t, c in ((a, "x"), (b, "y"))]
+    pairs = spark.createDataFrame([(i, j) for i in "uvw" for j in "uv"], "x string, y string")
+    got = {(q.x, q.y): (q.n, round(q.r, 9)) for q in correlation_by_pairs(*tables, pairs, "x", "y", "value").collect()}
+    want = {}
+    for i in "uvw":
+        for j in "uv":
+            both = np.array([(a[i, s], b[j, s]) for s in "abcdefg" if a[i, s] is not None and b[j, s] is not None], float).reshape(-1, 2)
+            if len(both) > 2 and (np.ptp(both, axis=0) > 0).all():
+                want[i, j] = (len(both), round(float(np.corrcoef(both.T)[0, 1]), 9))
+    assert got == want and want

@@ -115,3 +115,8 @@ def test_listed_pairs_move_arrays(spark):
             if len(both) > 2 and (np.ptp(both, axis=0) > 0).all():
                 want[i, j] = (len(both), round(float(np.corrcoef(both.T)[0, 1]), 9))
     assert got == want and want
+
+
+def test_whole_products_meet_in_large_parts(spark):
+    for name in ("q1_covariates", "q15_q18_trans", "q17_trans_interaction"):
+        assert "CoGroup" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

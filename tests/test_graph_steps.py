@@ -43,3 +43,21 @@ def test_distances_of_many_sources_read_the_edges_once(spark):
     got = [tuple(r) for r in gr.distances(edges, spark.createDataFrame([(s,) for s in sources], "node string").coalesce(1)).collect()]
     assert len(got) == len(want) and set(got) == want
     assert made.value == len(pairs)
+
+
+def test_triangles_shuffle_no_paths(spark):
+    pairs = random_edges(2, 40, 330) + [("n0", f"n{k}") for k in range(40)] + [("n1", None), ("n2", "n2")]
+    links = {tuple(sorted(p)) for p in pairs if p[1] is not None and p[0] != p[1]}
+    names = sorted({a for p in links for a in p})
+    want = {(a, b, c) for i, a in enumerate(names) for j, b in enumerate(names[i + 1 :], i + 1) if (a, b) in links for c in names[j + 1 :] if (a, c) in links and (b, c) in links}
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for colours in (1, 3, 5):
+        found = gr.triangles(edges, colours)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")] and "LeftSemi" not in plan
+
+
+def test_colours_grow_with_the_root_of_the_edges():
+    assert [gr.colours_of(n) for n in (0, 1_000_000, 69_000_000, 416_000_000)] == [4, 4, 6, 15]

@@ -1,5 +1,6 @@
 """Variants near genes meet in tiles: the same pairs and values as from a list of pairs, and no pair is shuffled."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.catalog import QUERIES
 from strandloom.operators import association as qtl
+from strandloom.operators import mapping as mp
 from strandloom.operators import tiles
 from strandloom.operators.results import correlation_by_pairs
 from strandloom.operators.tiles import everywhere, half_up, near, parts_of
@@ -120,3 +122,46 @@ def test_listed_pairs_move_arrays(spark):
 def test_whole_products_meet_in_large_parts(spark):
     for name in ("q1_covariates", "q15_q18_trans", "q17_trans_interaction"):
         assert "CoGroup" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cis_interactions_equal_a_list_of_pairs(spark):
+    g, p, v, t = cohort(spark)
+    s = spark.createDataFrame([(f"S{k:02d}", None if k == 4 else float(k * k % 5)) for k in range(9)], "sample_id string, c double")
+    want = {(r.phenotype_id, r.variant_id): r for r in mp.interaction(g, p, qtl.cis_pairs(v, t, 300), s, "c").collect()}
+    got = {(r.phenotype_id, r.variant_id): r for r in mp.cis_interaction(g, p, v, t, s, "c", 300).collect()}
+    assert got.keys() == want.keys() and len(want) > 10
+    for key, r in got.items():
+        for c in ("tss_distance", "dof", "b_g", "b_i", "b_gi", "b_g_se", "b_i_se", "b_gi_se", "t_gi"):
+            assert r[c] == pytest.approx(want[key][c], rel=1e-9, abs=1e-12), c
+    best = {r.phenotype_id: r for r in mp.top_interaction(g, p, v, t, s, "c", 0.0, 300).collect()}
+    for key in {k[0] for k in want}:
+        own = [r for k, r in want.items() if k[0] == key]
+        first = min(own, key=lambda r: (-round(abs(r.t_gi), 9), r.variant_id))
+        assert (best[key].variant_id, best[key].num_tests) == (first.variant_id, len(own))
+        assert best[key].pval_gi == pytest.approx(first.pval_gi, rel=1e-6)
+
+
+def test_difference_of_groups_is_that_of_their_slopes(spark):
+    g, p, v, t = cohort(spark, 4)
+    s = spark.createDataFrame([(f"S{k:02d}", "ab"[k % 2]) for k in range(9)], "sample_id string, half string")
+    sides = []
+    for half in "ab":
+        ids = s.where(F.col("half") == half)
+        own = [x.join(ids, "sample_id", "left_semi") for x in (g, p)]
+        sides.append({(r.phenotype_id, r.variant_id): r for r in qtl.nominal(*own, qtl.cis_pairs(v, t, 300)).collect()})
+    got = {(r.phenotype_id, r.variant_id): r for r in mp.difference(g, p, v, t, s, "half", "a", 300).collect()}
+    assert got.keys() == sides[0].keys() & sides[1].keys() and len(got) > 10
+    for key, r in got.items():
+        a, b = (x[key] for x in sides)
+        assert (r.slope_a, r.slope_b, r.se_a) == pytest.approx((a.slope, b.slope, a.slope_se)) if r.se_a is not None else a.slope_se is None
+        if a.slope_se is not None and b.slope_se is not None:
+            z = (a.slope - b.slope) / (a.slope_se + b.slope_se)
+            assert (r.z, r.pval) == pytest.approx((z, math.erfc(abs(z) / 2**0.5)), abs=1e-12)
+        else:
+            assert r.z is None and r.pval is None
+
+
+@pytest.mark.parametrize("name", ["q2_difference", "q9_interaction", "q9_top_interaction"])
+def test_no_pair_is_joined(spark, name):
+    top = above(QUERIES[name](spark, SF), "FlatMapGroupsInArrow")
+    assert "Join" not in top and "Window" not in top

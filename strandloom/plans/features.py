@@ -115,8 +115,7 @@ def both_pileups(reads):
 @query("i15_stranded_overlaps", "reads genes", "SELECT gene_id, count(*) AS n, sum(least(r.e, g.end_pos) - greatest(r.pos, g.start_pos))::BIGINT AS bases FROM (SELECT *, pos + 50 AS e, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM reads) r JOIN genes g ON g.chrom = r.chrom AND g.strand = r.strand AND r.pos < g.end_pos AND g.start_pos < r.e GROUP BY gene_id")
 def stranded_overlaps(reads, genes):
     r = reads.withColumn("strand", F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")).select("read_id", "chrom", "strand", F.col("pos").alias("start_pos"), (F.col("pos") + 50).alias("end_pos"))
-    hit = iv.overlaps(iv.stranded(r), iv.stranded(genes), "read_id", "gene_id")
-    return hit.groupBy("gene_id").agg(F.count("*").alias("n"), F.sum("overlap").alias("bases"))
+    return iv.overlap_totals(iv.stranded(genes), iv.stranded(r), "gene_id")
 
 
 @query("i17_distances", "peaks", "SELECT peak_id, -(start_pos - 500000) AS distance FROM peaks WHERE chrom = 'chr4'")

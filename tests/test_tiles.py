@@ -165,3 +165,19 @@ def test_difference_of_groups_is_that_of_their_slopes(spark):
 def test_no_pair_is_joined(spark, name):
     top = above(QUERIES[name](spark, SF), "FlatMapGroupsInArrow")
     assert "Join" not in top and "Window" not in top
+
+
+@pytest.mark.parametrize("most", [1, 60, 1 << 23])
+def test_pairs_by_distance_are_made_in_order(spark, most):
+    r = random.Random(most)
+    v = spark.createDataFrame([(f"rs{k}", r.choice(["c1", "c2", None]), r.choice([None, 7, r.randrange(-200, 900)])) for k in range(150)], "variant_id string, chrom string, pos long")
+    g = spark.createDataFrame([(f"G{k}", r.choice(["c1", "c2", None]), r.choice([7, r.randrange(-200, 900)])) for k in range(90)], "gene_id string, chrom string, start_pos long")
+    for window in (0, 100):
+        got = [tuple(q) for q in tiles.by_distance(v, g, window, most, chunk=40).collect()]
+        assert [abs(q[2]) for q in got] == sorted(abs(q[2]) for q in got) and len(got) > 50
+        assert sorted(got) == sorted(tuple(q) for q in qtl.cis_pairs(v, g, window).collect())
+
+
+def test_no_pair_is_sorted_by_distance(spark):
+    text = QUERIES["p7_by_distance"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "abs(tss_distance" not in text and "rangepartitioning" not in text

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import cut
+from . import along
 from .prefix import base_range, in_ranges, running, shifted
 
 BIN = 10_000
@@ -146,26 +146,6 @@ def adjacent_to(regions: DataFrame, chrom: str, position: int, k: int) -> DataFr
     return before.union(own.where(F.col("start_pos") >= position).orderBy(*names).limit(k))
 
 
-def summed_along(regions: DataFrame, features: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """(key, start_pos, end_pos, _s, _e) of regions that end after they start: sums of values over the features' ends at or
-    before the region's first base (_s) and its last one (_e). A value sees a feature's columns, its end as _p, and
-    whether that is the first as _first.
-
-    Equal places are added up before they are shuffled; the sums run along the places, so no pair is made.
-    """
-    place = F.array(F.struct(F.col("start_pos").alias("p"), F.lit(True).alias("first")), F.struct(F.col("end_pos").alias("p"), F.lit(False).alias("first")))
-    rows = features.withColumn("_at", F.explode(place)).withColumns({"_p": F.col("_at.p").cast("long"), "_first": F.col("_at.first")})
-    rows = rows.groupBy("chrom", "_p").agg(*(F.sum(v.cast("long")).alias(n) for n, v in values.items()))
-    asked = regions.select("chrom", F.explode(F.array(F.col("start_pos").cast("long"), F.col("end_pos").cast("long") - 1)).alias("_p")).distinct()
-    both = rows.unionByName(asked.withColumns({n: F.lit(0).cast("long") for n in values})).groupBy("chrom", "_p").agg(*(F.sum(n).alias(n) for n in values))
-    line = running(both.where("chrom IS NOT NULL AND _p IS NOT NULL").withColumn("_r", base_range(F.col("_p"))), ["chrom"], ["_p"], {f"_to_{n}": F.col(n) for n in values}, F.sum)
-    sums = cut(line.select("chrom", "_p", F.struct(*(F.coalesce(f"_to_{n}", F.lit(0).cast("long")).alias(n) for n in values)).alias("_sums")))
-    own = regions.select(key, "chrom", "start_pos", "end_pos")
-    for name, at in (("_s", F.col("start_pos")), ("_e", F.col("end_pos") - 1)):
-        own = own.withColumn("_p", at.cast("long")).join(sums.withColumnRenamed("_sums", name), ["chrom", "_p"]).drop("_p")
-    return own.drop("chrom")
-
-
 def in_order(regions: DataFrame, strictly: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """The regions that end after they start (or there, if not strictly), and the others, None where there are none."""
     good = F.col("start_pos") < F.col("end_pos") if strictly else F.col("start_pos") <= F.col("end_pos")
@@ -185,40 +165,37 @@ def by_parts(regions: DataFrame, features: DataFrame, sums: Callable[[DataFrame,
 
 
 def feature_counts(regions: DataFrame, features: DataFrame, key: str, feature: str, kinds: list[str]) -> DataFrame:
-    """(key, a column per kind): how many features of each kind a region overlaps; 0 where none.
+    """(key, a column per kind): how many features of each kind a region overlaps; 0 where none. A row per row of regions.
 
-    Those that start before a region's end, less those that end by its start. Only regions without length, and features
-    that end before they start, are joined in pairs.
+    The counts come from running sums along the places. Only regions without length, and features that end before they
+    start, are joined in pairs.
     """
+    of = F.lit(None).cast("int")
+    for i, k in enumerate(kinds):
+        of = F.when(F.col(feature) == k, i).otherwise(of)
+    names = [f"_n{i}" for i in range(len(kinds))]
+    none = [F.lit(0).cast("long").alias(n) for n in names]
 
     def sums(own: DataFrame, kept: DataFrame) -> DataFrame:
-        is_kind = [F.col(feature) == k for k in kinds]
-        values = {f"_{side}{i}": F.when(k & (F.col("_first") == first), 1).otherwise(0) for side, first in (("a", True), ("b", False)) for i, k in enumerate(is_kind)}
-        at = summed_along(own, kept, key, values)
-        return at.select(key, *((F.col(f"_e._a{i}") - F.col(f"_s._b{i}")).alias(f"_n{i}") for i in range(len(kinds))))
+        placed = along.totals(own, kept.withColumn("_kind", of), key, len(kinds)).select(key, "_first", *names)
+        return placed.union(own.where("chrom IS NULL").select(key, F.lit(1).cast("long"), *none))
 
     def pairs(own: DataFrame, others: DataFrame) -> DataFrame:
-        return overlaps(own, others, key, feature).select(key, *(F.when(F.col(feature) == k, 1).otherwise(0).cast("long").alias(f"_n{i}") for i, k in enumerate(kinds)))
+        return overlaps(own, others, key, feature).select(key, F.lit(0).cast("long").alias("_first"), *(F.when(F.col(feature) == k, 1).otherwise(0).cast("long").alias(n) for n, k in zip(names, kinds)))
 
-    counts = by_parts(regions, features, sums, pairs).groupBy(key).agg(*(F.sum(f"_n{i}").alias(k) for i, k in enumerate(kinds)))
-    return regions.select(key).join(counts, key, "left").fillna(0, kinds)
+    others = regions.where(~F.coalesce(F.col("start_pos") < F.col("end_pos"), F.lit(False))).select(key, F.lit(1).cast("long").alias("_first"), *none)
+    counts = by_parts(regions, features, sums, pairs).union(others).groupBy(key).agg(F.sum("_first").cast("int").alias("_m"), *(F.sum(F.when(F.col(key).isNotNull(), F.col(n)).otherwise(0)).alias(k) for n, k in zip(names, kinds)))
+    return counts.withColumn("_m", F.explode(F.array_repeat(F.lit(0), F.col("_m")))).drop("_m")
 
 
 def overlap_totals(regions: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """(key, n, bases): how many features the regions of a key overlap, and by how many bases in all; no row where none.
 
-    Bases up to a place are the place times the features open there, less where those started and ended.
+    Both come from running sums along the places.
     """
 
     def sums(own: DataFrame, kept: DataFrame) -> DataFrame:
-        first, p = F.col("_first"), F.col("_p")
-        values = {"_a": F.when(first, 1).otherwise(0), "_b": F.when(first, 0).otherwise(1), "_m": F.when(first, -p).otherwise(p)}
-        at = summed_along(own, kept, key, values)
-
-        def covered(to: str, place: str) -> Column:
-            return F.col(place) * (F.col(f"{to}._a") - F.col(f"{to}._b")) + F.col(f"{to}._m")
-
-        return at.select(key, (F.col("_e._a") - F.col("_s._b")).alias("n"), (covered("_e", "end_pos") - covered("_s", "start_pos")).alias("bases"))
+        return along.totals(own, kept.withColumn("_kind", F.lit(0)), key, 1).select(key, F.col("_n0").alias("n"), "bases")
 
     def pairs(own: DataFrame, others: DataFrame) -> DataFrame:
         return overlaps(own, others.withColumn("_f", F.lit(0)), key, "_f").select(key, F.lit(1).cast("long").alias("n"), F.col("overlap").cast("long").alias("bases"))

@@ -39,3 +39,27 @@ def test_counts_and_bases_equal_pairs(spark, odd):
 def test_no_pair_of_overlaps_is_made(spark, name):
     text = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "_bin" not in text
+
+
+@pytest.mark.parametrize("name", ["i15_stranded_overlaps", "i22_annotated", "i22_annotations"])
+def test_nothing_is_written_between_places_and_counts(spark, name):
+    df = QUERIES[name](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in text and "Join" not in text
+
+
+@pytest.mark.parametrize("width", [7, 100])
+def test_ranges_add_up_to_whole_regions(spark, width):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import along
+
+    r = random.Random(width)
+    place = lambda most: (lambda s: (r.choice(["c1", "c2"]), s, s + r.randrange(1, most)))(r.randrange(-60, 300))
+    regions = [(f"r{k}", *place(120)) for k in range(80)]
+    features = [(k % 2, *(place(90) if k % 5 else ("c1", k - 60, k - 60))) for k in range(300)]
+    a = spark.createDataFrame(regions, "id string, chrom string, start_pos long, end_pos long")
+    b = spark.createDataFrame(features, "_kind int, chrom string, start_pos long, end_pos long")
+    got = along.totals(a, b, "id", 2, width).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("_first", "_n0", "_n1", "bases"))).collect()
+    hits = {k: [(i, min(e, f) - max(s, t)) for i, d, t, f in features if c == d and t < e and s < f] for k, c, s, e in regions}
+    assert {q.id: tuple(q)[1:] for q in got} == {k: (1, sum(i == 0 for i, _ in h), sum(i == 1 for i, _ in h), sum(n for _, n in h)) for k, h in hits.items()}

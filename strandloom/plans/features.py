@@ -9,6 +9,7 @@ from ..operators import intervals as iv
 from ..operators import reads as rd
 from ..operators import tracks as tr
 from ..sources import formats as fm
+from ..sources import tables as tb
 from ..operators.prefix import base_range, running
 from .fragments import BLOCKS, DEPTH, SPANS
 from .registry import query, rounded
@@ -21,7 +22,7 @@ SAMPLES = [f"S{i}" for i in range(25)]  # the derived tables' samples
 
 @query("a1_vcf", "variants genotypes", "SELECT v.chrom, v.pos, v.variant_id, ref, alt, sample_id, dosage FROM variants v JOIN genotypes g ON g.variant_id = v.variant_id")
 def vcf(variants, genotypes):
-    got = fm.read_vcf(fm.vcf_lines(variants, genotypes, SAMPLES))
+    got = fm.read_vcf(tb.written(fm.vcf_lines(variants, genotypes, SAMPLES), "vcf"))
     return got.select("chrom", "pos", F.col("id").alias("variant_id"), "ref", "alt", "sample_id", fm.dosage(F.col("value")).alias("dosage"))
 
 

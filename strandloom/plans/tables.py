@@ -144,7 +144,7 @@ def passed(variants, genotypes):
     lines = fm.vcf_lines(variants, genotypes, SAMPLES)
     low = (F.get(F.split("value", "\t"), F.lit(1)).try_cast("long") % 4) == 0
     lines = lines.withColumn("value", F.when(low, F.regexp_replace("value", "\tPASS\t", "\tLowQual\t")).otherwise(F.col("value")))
-    return tb.passed(fm.read_vcf(lines)).select(F.col("id").alias("variant_id"), "sample_id")
+    return tb.passed(fm.read_vcf(tb.written(lines, "vcf"))).select(F.col("id").alias("variant_id"), "sample_id")
 
 
 @query("a37_annotation", "genes counts gene_terms", "SELECT gene, location, process, function FROM (SELECT gene_id AS gene, chrom AS location FROM genes WHERE strand = '+') l FULL JOIN (SELECT gene, max(evidence) AS process FROM gene_terms GROUP BY gene) p USING (gene) FULL JOIN (SELECT gene_id AS gene, max(n) AS function FROM counts WHERE n > 40 GROUP BY gene_id) f USING (gene)")

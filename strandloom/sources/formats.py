@@ -51,14 +51,35 @@ def read_vcf(rows: DataFrame, field: str = "GT") -> DataFrame:
 
 
 def vcf_lines(variants: DataFrame, genotypes: DataFrame, samples: list[str]) -> DataFrame:
-    """VCF lines of the variants in the samples' order, the header first. A genotype that is missing is ./. ."""
-    calls = F.when(F.col("dosage") == 0, "0/0").when(F.col("dosage") == 1, "0/1").when(F.col("dosage") == 2, "1/1").otherwise("./.")
-    packed = genotypes.groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", calls))).alias("m"))
-    own = [F.coalesce(F.col("m")[n], F.lit("./.")) for n in samples]
-    line = F.concat_ws(TAB, "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *own)
-    body = variants.join(packed, "variant_id").select(F.lit(1).alias("_o"), "chrom", "pos", line.alias("value"))
-    head = variants.sparkSession.createDataFrame([(0, "", 0, "##fileformat=VCFv4.2"), (0, "", 1, TAB.join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]))], "_o int, chrom string, pos long, value string")
-    return head.union(body).orderBy("_o", "chrom", "pos").select("value")
+    """VCF lines of the variants in the samples' order, the header first. A genotype that is missing is ./. ; two of one sample are an error.
+
+    A variant's calls are two bits each in numbers of 31 samples, which are combined before the shuffle; lines are made
+    of them in order.
+    """
+    parts, at = range(-(-len(samples) // 31)), F.col("_at")
+    call = F.when(F.col("dosage").isin(0, 1, 2), F.col("dosage").cast("int") + 1).otherwise(0).cast("long")
+    own = genotypes.withColumn("_at", F.array_position(F.array(*map(F.lit, samples)).cast("array<string>"), F.col("sample_id")).cast("int") - 1)
+
+    def bits(i: int, value: Column, each: int) -> Column:
+        return F.when((at >= 31 * i) & (at < 31 * (i + 1)), F.call_function("shiftleft", value, (at - 31 * i) * each)).otherwise(0)
+
+    one = F.lit(1).cast("long")
+    sums = [f(bits(i, v, each)).alias(f"{n}{i}") for i in parts for n, f, v, each in (("_p", F.bit_or, call, 2), ("_h", F.bit_or, one, 1))]
+    packed = own.groupBy("variant_id").agg(*sums, F.count_if(at >= 0).alias("_rows"))
+    seen = sum((F.bit_count(f"_h{i}") for i in parts), F.lit(0))
+    twice = F.when(F.col("_rows") != seen, F.raise_error(F.concat(F.lit("a sample twice in "), F.col("variant_id"))).cast("string"))
+    codes = F.array(*map(F.lit, ("./.", "0/0", "0/1", "1/1")))
+
+    def unpacked(i: int) -> Column:
+        places = F.sequence(F.lit(0), F.lit(min(31, len(samples) - 31 * i) - 1))
+        return F.transform(places, lambda k: F.get(codes, F.call_function("shiftright", F.col(f"_p{i}"), k * 2).bitwiseAND(3).cast("int")))
+
+    body = variants.join(packed.select("variant_id", *(f"_p{i}" for i in parts), twice.alias("_twice")), "variant_id")
+    line = F.concat_ws(TAB, "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *map(unpacked, parts), "_twice")
+    columns = ["chrom", "pos", "variant_id", "ref", "alt", *(f"_p{i}" for i in parts), "_twice"]
+    head = variants.sparkSession.createDataFrame([(0, 0, "##fileformat=VCFv4.2"), (0, 1, TAB.join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]))], "_o int, pos long, _head string")
+    both = head.unionByName(body.select(F.lit(1).alias("_o"), *columns), allowMissingColumns=True)
+    return both.orderBy("_o", "chrom", "pos").select(F.coalesce("_head", line).alias("value"))
 
 
 def kept_format(rows: DataFrame, keep: str = "GT") -> DataFrame:

@@ -64,3 +64,18 @@ def test_fits_of_many_equal_those_of_each(spark):
         p = t_two_sided(np.sqrt(d * b / (1 - b)), d)
         assert abs(p.mean() * (p.mean() * (1 - p.mean()) / p.var(ddof=1) - 1) - 1) < 1e-5
         assert fit == pytest.approx(mp.beta_fit(p), rel=1e-6) and not math.isnan(fit[0])
+
+
+def test_shares_of_maxima_come_from_their_order(spark):
+    """One row a pair, no array of maxima beside it; the same shares as counted one by one."""
+    maxima = spark.createDataFrame([("c1", 0.2), ("c1", 0.5), ("c1", 0.5), ("c2", 0.9), (None, 0.4)], "chrom string, r2 double")
+    pairs = spark.createDataFrame([("a", 0.5, "c1"), ("b", 0.51, "c1"), ("c", 0.1, "c2"), ("d", 0.4, None), ("e", 0.5, "c3")], "id string, r2 double, chrom string")
+    found = mp.with_permutations(pairs, maxima)
+    assert {r.id: r.pval_perm for r in found.collect()} == {"a": 3 / 4, "b": 1 / 4, "c": 1.0, "d": 1.0}
+    assert "_max" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q7_full", "q17_dense"])
+def test_pairs_meet_in_tiles(spark, name):
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tss_distance" in plan.partition("FlatMapGroupsInArrow")[2].partition("\n")[0] and "_tss#" not in plan

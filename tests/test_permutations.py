@@ -42,13 +42,15 @@ def test_tiles_give_what_pairs_give(spark):
     same(pm.cis_leads(g, p, v, t, groups, permutations=300, window=1500), mp.leads(g, p, pairs, groups, permutations=300), ["group_id"])
     age = spark.createDataFrame([(f"s{s:02}", float(s * s % 5)) for s in range(14)], "sample_id string, age double")
     same(pm.cis_leads(g, p, v, t, covariates=age, threshold=0.2, permutations=300, window=1500), mp.leads(g, p, pairs, covariates=age, threshold=0.2, permutations=300), ["group_id", "variant_id"])
+    sizes = pairs.groupBy("phenotype_id").agg(F.count("*").alias("n"), F.min("tss_distance").alias("first"), F.max("tss_distance").alias("last"))
+    same(pm.cis_sizes(v, t, 1500), sizes, ["phenotype_id"])
     found = pm.cis_numbers_of_tests(g, v, t, width=4, window=1500, phenotypes=p)
     same(found.select("phenotype_id", "tests"), mp.numbers_of_tests(g, pairs, 4), ["phenotype_id"])
     least = mp.with_pvalues(qtl.nominal(g, p, pairs)).groupBy("phenotype_id").agg(F.min("pval_nominal").alias("least"))
     same(found.where("least IS NOT NULL").select("phenotype_id", "least"), least, ["phenotype_id"])
 
 
-@pytest.mark.parametrize("name", ["q11_permuted", "q12_grouped_leads", "q13_independent", "q14_grouped_independent", "q28_numbers_of_tests"])
+@pytest.mark.parametrize("name", ["q11_permuted", "q12_grouped_leads", "q13_independent", "q14_grouped_independent", "q28_numbers_of_tests", "p8_sizes"])
 def test_no_row_per_pair_is_made(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "tss_distance#" not in plan.partition("FlatMapGroupsInArrow")[2].partition("\n")[2]
